@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import pii, sharding
+from emberline.llm import near_dedup, pii, sharding
 from emberline.llm.common import documents
 
 
@@ -15,6 +15,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component that near-duplicates link it to, over shingles of four words."""
+    return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and how many values of each kind it held."""
     out = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
@@ -23,6 +28,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op4_sharding": op4_sharding,
+    "op6_near_dedup": op6_near_dedup,
     "op8_pii": op8_pii,
 }
 
