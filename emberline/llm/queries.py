@@ -5,10 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import near_dedup, pii, sharding
+from emberline.llm import near_dedup, pii, quality_classifier, sharding
 from emberline.llm.common import documents
 
 
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _remainder(column: str, by: int):
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(by))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score, learned from labels outside the fifth that is held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = _table(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0)
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, labels))
+    return scored.select(
+        "doc_id",
+        F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
+        F.col("quality_score").alias("score"),
+        F.when(F.col("quality_score") >= quality_classifier.THRESHOLD, 1).otherwise(0).alias("predicted"),
+    )
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 of near equal bytes; equal texts share a shard."""
     out = sharding.shard(documents(spark, sf_dir), shards=16)
@@ -27,6 +48,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_sharding": op4_sharding,
     "op6_near_dedup": op6_near_dedup,
     "op8_pii": op8_pii,
