@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import near_dedup, pii, quality_classifier, sharding
+from emberline.llm import near_dedup, pii, quality_classifier, quality_rules, sharding
 from emberline.llm.common import documents
 
 
@@ -17,6 +17,12 @@ def _remainder(column: str, by: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(by))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's counts and distances from its language, and the verdict."""
+    out = quality_rules.judge(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learned from labels outside the fifth that is held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -48,6 +54,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_sharding": op4_sharding,
     "op6_near_dedup": op6_near_dedup,
