@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import near_dedup, pii, quality_classifier, quality_rules, sharding
+from emberline.llm import near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 from emberline.llm.common import documents
 
 
@@ -36,6 +38,21 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def vocabulary_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def vocabulary_text(name: str) -> str:
+    return Path(vocabulary_path(name)).read_text(encoding="utf-8")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces in sequences of at most 2048 ids."""
+    return packing.pack(documents(spark, sf_dir), vocabulary_text("byte_bpe_50k.json"), length=2048, end=0)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 15 of near equal bytes; equal texts share a shard."""
     out = sharding.shard(documents(spark, sf_dir), shards=16)
@@ -56,6 +73,7 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
     "op6_near_dedup": op6_near_dedup,
     "op8_pii": op8_pii,
