@@ -25,11 +25,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "word_distance", "kept")
 
 
+def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels outside the fifth of documents that is held out."""
+    return _table(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's quality score, learned from labels outside the fifth that is held out."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    labels = _table(spark, sf_dir, "labels").where(_remainder("doc_id", 5) != 0)
-    scored = quality_classifier.score(docs, quality_classifier.fit(docs, labels))
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, training_labels(spark, sf_dir)))
     return scored.select(
         "doc_id",
         F.coalesce(_remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"),
