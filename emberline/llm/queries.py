@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from emberline.llm import fingerprints, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 from emberline.llm.common import documents
 
 
@@ -74,6 +74,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n_pii", sum((F.col(f"pii_n_{k}") for k in pii.KINDS), F.lit(0)).cast("int"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and likenesses."""
+    return fingerprints.fingerprint_edits(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -81,6 +86,7 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op6_near_dedup": op6_near_dedup,
     "op8_pii": op8_pii,
+    "op9_fingerprints": op9_fingerprints,
 }
 
 SQL: dict[str, str] = {}
