@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import fingerprints, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from emberline.llm import fingerprints, lm_score, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
 from emberline.llm.common import documents
 
 
@@ -63,6 +63,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the language model and under add-one counts."""
+    return lm_score.score(documents(spark, sf_dir), _remainder("doc_id", 7) == 2)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the component that near-duplicates link it to, over shingles of four words."""
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_packing": op3_packing,
     "op4_sharding": op4_sharding,
+    "op5_lm_score": op5_lm_score,
     "op6_near_dedup": op6_near_dedup,
     "op8_pii": op8_pii,
     "op9_fingerprints": op9_fingerprints,
