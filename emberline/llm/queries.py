@@ -7,7 +7,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm import fingerprints, lm_score, near_dedup, packing, pii, quality_classifier, quality_rules, sharding
+from emberline.llm import chat_format, fingerprints, lm_score, near_dedup, packing, pii, quality_classifier, quality_rules, sentencepiece_codec, sharding
 from emberline.llm.common import documents
 
 
@@ -73,6 +73,12 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir), width=4, percent=80)
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with an earlier reply, as prompt and masked completions."""
+    turns = chat_format.gathered(_table(spark, sf_dir, "conversations"))
+    return chat_format.format_preferences(chat_format.with_earlier_reply(turns))
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data replaced, and how many values of each kind it held."""
     out = pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
@@ -84,6 +90,11 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_edits(documents(spark, sf_dir))
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's SentencePiece ids, as count and checksum, and whether they decode to its text."""
+    return sentencepiece_codec.digests(documents(spark, sf_dir), sentencepiece_codec.Vocabulary(vocabulary_path("piece_bpe_32k.model")))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -91,8 +102,32 @@ QUERIES = {
     "op4_sharding": op4_sharding,
     "op5_lm_score": op5_lm_score,
     "op6_near_dedup": op6_near_dedup,
+    "op7_chat_format": op7_chat_format,
     "op8_pii": op8_pii,
     "op9_fingerprints": op9_fingerprints,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_chat_format": """
+with c as (
+  select conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} order by turn nulls first, role nulls first, text nulls first) as a
+  from conversations group by conv_id),
+p as (
+  select conv_id, a, list_filter(range(1, len(a) + 1), lambda i: a[i].r = 'assistant') as own from c),
+q as (
+  select conv_id, a, own[-1] as k, case when len(own) > 1 then a[own[-2]].t else '' end as e from p),
+b as (
+  select conv_id, a, k, list_transform(range(1, len(a) + 1), lambda i: {'r': a[i].r, 't': case when i = k then e else a[i].t end}) as b from q),
+n as (
+  select conv_id, a, b, coalesce(list_min(list_filter(range(0, len(a)), lambda i: a[i + 1].t <> b[i + 1].t)), len(a)) as n from b),
+r as (
+  select conv_id, n, a[1:n] as p, a[n + 1:] as a, b[n + 1:] as b from n)
+select conv_id, cast(n as integer) as n_prompt_turns,
+  array_to_string(list_transform(p, lambda x: concat('<|im_start|>', x.r, chr(10), x.t, '<|im_end|>', chr(10))), '') as prompt,
+  array_to_string(list_transform(a, lambda x: concat('<|im_start|>', x.r, chr(10), x.t, '<|im_end|>', chr(10))), '') as chosen,
+  array_to_string(list_transform(b, lambda x: concat('<|im_start|>', x.r, chr(10), x.t, '<|im_end|>', chr(10))), '') as rejected,
+  array_to_string(list_transform(a, lambda x: concat(13 + length(x.r), ':0,', length(x.t) + 11, case when x.r = 'assistant' then ':1' else ':0' end)), ',') as chosen_mask,
+  array_to_string(list_transform(b, lambda x: concat(13 + length(x.r), ':0,', length(x.t) + 11, case when x.r = 'assistant' then ':1' else ':0' end)), ',') as rejected_mask
+from r""",
+}
