@@ -7,7 +7,8 @@ is a list of bins, and genes are whole bins: crossover injects well-filled bins
 other, dissolves the bins that now hold a piece twice, and best-fits what that displaced; mutation
 dissolves the worst bins. Between epochs the elite of each island migrates to the next. A deme stops as
 soon as it needs no more bins than its tokens would, cut freely. What the best solution leaves in
-poorly filled bins goes to fewer demes of a further level, until one deme is left.
+poorly filled bins goes to fewer demes of a further level, until one deme is left or a level saves no more
+than a hundredth of the bins.
 
 Defined results: a null text is empty; an empty text is its end id alone. An empty table gives no rows;
 repeated rows are packed each for itself; a null doc_id is carried along. Other columns are not read.
@@ -241,20 +242,17 @@ def pack(docs: DataFrame, vocabulary: str, length: int = LENGTH, end: int = END)
     whole = cut.where(F.col("length") == length).select(*columns, (F.lit(1 << 60) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     placed = [whole]
     rest = scratch.keep(cut.where(F.col("length") < length).withColumn("copy", F.monotonically_increasing_id()), "rest")
-    level, n = 0, rest.count()
+    level, n, before = 0, rest.count(), None
     while n:
         demes = -(-n // DEME)
         dealt = rest.withColumn("deme", F.pmod(F.xxhash64("copy", F.lit(level)), F.lit(demes)))
         done = scratch.keep(_evolve_level(dealt, length, level, scratch), f"level-{level}")
-        number = F.lit(level << 52) + F.col("deme") * 8192 + F.col("bin")
-        out = done if demes == 1 else done.where(F.col("fill") >= WELL_FILLED * length)
-        placed.append(out.select(*columns, number.alias("sequence_id"), "offset"))
-        if demes == 1:
+        poor = F.col("fill") < WELL_FILLED * length
+        seen = done.groupBy("deme", "bin", "fill").agg(F.count("*").alias("n")).agg(F.count("*").alias("bins"), F.count_if(poor).alias("poor"), F.coalesce(F.sum(F.when(poor, F.col("n"))), F.lit(0)).alias("n")).first()
+        # What is left goes on to fewer demes, unless it was so left before and now needs hardly fewer bins.
+        final = demes == 1 or (before is not None and seen.bins > 0.99 * before)
+        placed.append((done if final else done.where(~poor)).select(*columns, (F.lit(level << 52) + F.col("deme") * 8192 + F.col("bin")).alias("sequence_id"), "offset"))
+        if final:
             break
-        rest = done.where(F.col("fill") < WELL_FILLED * length).select(*columns, "copy")
-        m = rest.count()
-        if m * 2 > n:  # the pieces don't fit together any better; they stay where they are
-            placed.append(done.where(F.col("fill") < WELL_FILLED * length).select(*columns, number.alias("sequence_id"), "offset"))
-            break
-        level, n = level + 1, m
+        rest, level, n, before = done.where(poor).select(*columns, "copy"), level + 1, seen.n, seen.poor
     return reduce(DataFrame.unionAll, placed)
