@@ -55,7 +55,7 @@ def effective_window(held: DataFrame, now, window: int) -> DataFrame:
     """instance and effective_window_s: the age, in whole seconds, of the newest span of the oldest finalized segment
     of the shard where that is least; the window where no shard has one."""
     oldest = held.groupBy("instance", "shard").agg(F.min(F.when(F.col("finalized"), F.struct("gen", "t_max_us"))).alias("o"))
-    age = F.least(F.greatest(now - F.col("o.t_max_us"), F.lit(0)), F.lit(window))
+    age = F.when(F.col("o").isNotNull(), F.least(F.greatest(now - F.col("o.t_max_us"), F.lit(0)), F.lit(window)))
     return oldest.groupBy("instance").agg(F.floor(F.coalesce(F.min(age), F.lit(window)) / 1_000_000).cast("bigint").alias("effective_window_s"))
 
 

@@ -457,7 +457,7 @@ def shed_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.shed_causes(retention.segments(held), F.lit(_now(held)), FLOOR, LIMIT)
 
 
-@query("effective_window", f"with {_SEG}, o as (select instance, shard, arg_min(t_max_us, gen) filter (where finalized) as t from seg group by instance, shard) select instance, cast(coalesce(min(least(greatest(now - t, 0), {25 * W})), {25 * W}) // 1000000 as bigint) as effective_window_s from o, clock group by instance")
+@query("effective_window", f"with {_SEG}, o as (select instance, shard, arg_min(t_max_us, gen) filter (where finalized) as t from seg group by instance, shard) select instance, cast(coalesce(min(case when t is not null then least(greatest(now - t, 0), {25 * W}) end), {25 * W}) // 1000000 as bigint) as effective_window_s from o, clock group by instance")
 def effective_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _segmented(spark, sf_dir)
     return retention.effective_window(retention.segments(held), F.lit(_now(held)), 25 * W)
