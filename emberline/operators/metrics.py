@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.values import reason_name
+from emberline.functions.values import REASONS
 
 #: Upper bounds of the histogram of ages at emission, as shares of the window.
 AGE_BOUNDS = (0.1, 0.25, 0.5, 0.75, 0.9, 1.0, 1.25, 1.5)
@@ -28,26 +28,24 @@ def flushes(kept: DataFrame, keys: tuple[str, ...] = ("instance", "trace_id")) -
 
 
 def before_first_hit(detected: DataFrame) -> DataFrame:
-    """The spans that were evaluated: those of a trace's batch up to its first hit."""
-    keys = ["instance", "batch_id", "trace_id"]
-    first = detected.where("reason <> 0").groupBy(*keys).agg(F.min("ord").alias("hit"))
-    return detected.join(first, keys, "left").where("hit is null or ord <= hit").drop("hit")
+    """The spans that were evaluated: those of a trace's batch up to its first hit. One shuffle on the trace's batch."""
+    batch = Window.partitionBy("instance", "batch_id", "trace_id")
+    hit = F.min(F.when(F.col("reason") != 0, F.col("ord"))).over(batch)
+    return detected.withColumn("__hit", hit).where("__hit is null or ord <= __hit").drop("__hit")
 
 
 def chain_counts(detected: DataFrame, policies: list[str]) -> DataFrame:
-    """Rows of what detection counts, over evaluated spans alone; what never happened has no row, as far as it is
-    counted by label."""
-    seen = before_first_hit(detected)
-    name = F.element_at(F.array(*[F.lit(p) for p in policies]), F.col("i") + 1) if policies else F.lit(None).cast("string")
-    parts = [
-        seen.where("reason <> 0").groupBy(reason_name(F.col("reason")).alias("label")).agg(F.count("*").alias("value")).select(F.lit("detected.keeps").alias("instrument"), "label", "value"),
-        seen.where("policy is not null").groupBy(F.col("policy").alias("i")).agg(F.count("*").alias("value")).select(F.lit("policy.matches").alias("instrument"), name.alias("label"), "value"),
-        seen.select(F.explode("policy_errors").alias("i")).groupBy("i").agg(F.count("*").alias("value")).select(F.lit("policy.eval_errors").alias("instrument"), name.alias("label"), "value"),
-        one(seen, "skew.clamped", F.coalesce(F.sum("clamped"), F.lit(0))),
-        one(seen, "baggage.malformed", F.coalesce(F.sum("malformed"), F.lit(0))),
-        one(seen.where("divergence is not null"), "baggage.divergence_ms", F.max(F.struct("ord", "divergence"))["divergence"]),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    """Rows of what detection counts, over evaluated spans alone, in one pass; what is counted by label and never
+    happened has no row, and neither has a divergence that was never seen."""
+    labelled = [("detected.keeps", REASONS[r], F.count_if(F.col("reason") == r)) for r in range(1, 6)]
+    labelled += [("policy.matches", p, F.count_if(F.col("policy") == i)) for i, p in enumerate(policies)]
+    labelled += [("policy.eval_errors", p, F.count_if(F.array_contains("policy_errors", i))) for i, p in enumerate(policies)]
+    plain = [(f"{name}", "", F.coalesce(F.sum(column), F.lit(0))) for name, column in (("skew.clamped", "clamped"), ("baggage.malformed", "malformed"))]
+    last = ("baggage.divergence_ms", "", F.max(F.when(F.col("divergence").isNotNull(), F.struct("ord", "divergence")))["divergence"])
+    all_ = [*labelled, *plain, last]
+    counted = before_first_hit(detected).agg(*[c.cast("bigint").alias(f"c{i}") for i, (_, _, c) in enumerate(all_)])
+    rows = F.array(*[F.struct(F.lit(name).alias("instrument"), F.lit(label).alias("label"), F.col(f"c{i}").alias("value")) for i, (name, label, _) in enumerate(all_)])
+    return counted.select(F.explode(rows).alias("r")).select("r.*").where("value is not null and (label = '' or value > 0)")
 
 
 def one(rows: DataFrame, instrument: str, value: Column) -> DataFrame:
