@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from emberline.session import ship
+
 
 def splitmix64(state: np.ndarray) -> np.ndarray:
     """The published mixer, of states that have been advanced by its increment."""
@@ -43,6 +45,8 @@ def generate(spark: SparkSession, traces: int, spans: int, endpoints: int, error
     """trace, span, instance, trace_id, class, status_code, start_ns, end_ns, attr_baggage_elapsed_ms and arrival_us
     of traces * spans spans; span j goes to endpoint j % endpoints, and what marks a trace is on its span 0."""
 
+    ship(spark)
+
     def ids(column: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for x in column:
             i = x.to_numpy().astype(np.uint64)

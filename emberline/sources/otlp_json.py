@@ -32,7 +32,12 @@ def _attributes(column: Column) -> Column:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per span, in the order of files' lines; a line that isn't JSON gives none."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("batch_id"), F.from_json("value", SCHEMA).alias("r"))
+    return parsed(spark.read.text(path).select(F.monotonically_increasing_id().alias("batch_id"), F.col("value").alias("json")))
+
+
+def parsed(requests: DataFrame) -> DataFrame:
+    """One row per span of requests (batch_id, json)."""
+    lines = requests.select("batch_id", F.from_json("json", SCHEMA).alias("r"))
     resources = lines.select("batch_id", F.posexplode("r.resourceSpans").alias("rp", "rs"))
     scopes = resources.select("batch_id", "rp", "rs", F.posexplode("rs.scopeSpans").alias("sp", "ss"))
     spans = scopes.select("batch_id", "rp", "rs", "sp", "ss", F.posexplode("ss.spans").alias("p", "s"))

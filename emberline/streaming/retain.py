@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from emberline.session import ship
+
 MICRO = 1_000_000
 DECISION = T.StructType([T.StructField("trace_id", T.StringType()), T.StructField("decided_us", T.LongType()), T.StructField("reason", T.IntegerType()), T.StructField("decided_at", T.TimestampType())])
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -45,7 +47,8 @@ class Decider(StatefulProcessor):
 
 
 def prepare(spark: SparkSession) -> None:
-    """State in RocksDB, which stateful processors need."""
+    """State in RocksDB, which stateful processors need, and this package where they run."""
+    ship(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 

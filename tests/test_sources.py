@@ -55,3 +55,47 @@ def test_tables(spark, tmp_path):
         tables.publish(keeps, str(tmp_path / "keeps"), 1)
     got = tables.subscribe(spark, str(tmp_path / "keeps"), 100, 50)
     assert [(r.trace_id) for r in got.collect()] == ["b"] and tables.subscribe(spark, str(tmp_path / "keeps"), 100, 95).count() == 2
+
+
+def test_otlp_protobuf_round_trip(spark):
+    from emberline.sources import otlp_proto
+
+    value = {"kvlistValue": {"values": [{"key": "k", "value": {"bytesValue": "AQI="}}]}}
+    span = _span("a", "p", attributes=[{"key": "z", "value": {"intValue": "0"}}, {"key": "m", "value": value}, {"key": "e", "value": {"stringValue": ""}}], flags=257, status={"message": "boom", "code": 2}, events=[{"timeUnixNano": "3", "name": "x"}], links=[{"traceId": "cd" * 16, "spanId": "ef" * 8}], droppedAttributesCount=3)
+    tree = {"resourceSpans": [{"resource": {"attributes": [{"key": "s", "value": {"stringValue": "a"}}]}, "scopeSpans": [{"scope": {"name": "lib"}, "spans": [span]}], "schemaUrl": "u"}]}
+    payload = otlp_proto.from_json(json.dumps(tree))
+    assert json.loads(otlp_proto.to_json(payload)) == tree and otlp_proto.to_json(b"\xff\xff\xff") is None
+    # Field 1 of the outermost message, then its length.
+    assert payload[0] == 0x0A and payload[1:3] == bytes([(len(payload) - 3) & 0x7F | 0x80, (len(payload) - 3) >> 7])
+    messages = spark.createDataFrame([(1, payload), (2, b"\xff\xff\xff")], "batch_id long, payload binary")
+    spans = otlp_proto.spans(messages)
+    row = spans.select("batch_id", "trace_id", "status_code", "n_events", "n_links", "flags").collect()
+    assert [tuple(r) for r in row] == [(1, "a" * 32, 2, 1, 1, 257)]
+    back = otlp_proto.encode(otlp_json.regrouped(spans, ["trace_id"], ["pos"])).first().payload
+    got = json.loads(otlp_proto.to_json(bytes(back)))["resourceSpans"][0]["scopeSpans"][0]["spans"][0]
+    assert got["traceId"] == "a" * 32 and got["attributes"][0] == span["attributes"][0] and got["status"] == span["status"]
+
+
+def test_segment_files(spark, tmp_path):
+    from emberline.sources import segments
+
+    assert segments.crc32c(b"123456789") == 0xE3069283
+    parts = [(bytes([i] * 16), bytes([65 + i]) * (i * 7 + 1)) for i in range(4)]
+    whole = segments.finish(parts, 5, 9, 0xABCD)
+    (tmp_path / "1.seg").write_bytes(whole)
+    body = b"".join(segments.record(*p) for p in parts)
+    bounds = [sum(len(segments.record(*p)) for p in parts[:k]) for k in range(5)]
+    for cut in range(len(body) + 1):  # torn anywhere, what is whole remains
+        found, end = segments.records(body[:cut])
+        assert len(found) == sum(b <= cut for b in bounds[1:]) and end == bounds[len(found)]
+    (tmp_path / "2.seg").write_bytes(body[:-1])
+    damaged = bytearray(body)
+    damaged[bounds[1] + segments.HEADER.size] ^= 1
+    (tmp_path / "3.seg").write_bytes(bytes(damaged))
+    rows = segments.read(spark, str(tmp_path), 0xABCD).collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.path[-5], []).append(r)
+    assert {k: len(v) for k, v in by.items()} == {"1": 4, "2": 3, "3": 1}
+    assert all(r.finalized and (r.t_min_ns, r.t_max_ns) == (5, 9) for r in by["1"]) and by["2"][0].t_min_ns is None and by["2"][0].bytes_lost > 0
+    assert bytes(by["1"][2].fragment) == parts[2][1] and by["1"][2].trace_id == "02" * 16
