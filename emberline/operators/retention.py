@@ -6,12 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Bytes are summed up within so much arrival time, then over those spans of time.
+STRETCH_US = 3_600_000_000
+
+
 def with_segments(spans: DataFrame, shard, segment_bytes: int) -> DataFrame:
     """spans with shard and gen: a shard's spans in order of arrival fill segments of segment_bytes; a span belongs
-    to the segment in which its first byte lies."""
-    order = Window.partitionBy("instance", "shard").orderBy("arrival_us", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("size_bytes").over(order), F.lit(0))
-    return spans.withColumn("shard", shard).withColumn("gen", F.floor(before / segment_bytes).cast("int"))
+    to the segment in which its first byte lies. A task orders no more than an hour of a shard; what lies before an
+    hour is summed over hours, of which there are few."""
+    keys = ["instance", "shard", "__stretch"]
+    dealt = spans.withColumn("shard", shard).withColumn("__stretch", F.floor(F.col("arrival_us") / STRETCH_US))
+    earlier = Window.partitionBy("instance", "shard").orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*keys).agg(F.sum("size_bytes").alias("bytes")).select(*keys, F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("__earlier"))
+    order = Window.partitionBy(*keys).orderBy("arrival_us", "ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("__earlier") + F.coalesce(F.sum("size_bytes").over(order), F.lit(0))
+    return dealt.join(sums, keys).withColumn("gen", F.floor(before / segment_bytes).cast("int")).drop("__stretch", "__earlier")
 
 
 def segments(spans: DataFrame) -> DataFrame:
