@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BLANKS, bind, words
+from emberline.llm.common import BLANKS, Scratch, bind, words
 
 COMMON = 0.005
 MOST_LANGUAGES = 64
@@ -31,51 +31,51 @@ LEAST_REFERENCE = 1000
 LEAST_LOWER, MOST_SYMBOLS = 0.6, 0.005
 LEAST_CHARACTERS = 200
 LEAST_WORDS = 100
-#: A histogram of n is too far at more than this distance plus NOISE / sqrt(n), as few draws stray by chance.
+#: A histogram of n over k values is too far at more than this distance plus NOISE * sqrt(k / n), as few draws stray
+#: by chance: by about 0.43 * sqrt(k / n) at its expectation.
 MOST_CLASS_DISTANCE = 0.13
 MOST_WORD_DISTANCE = 0.15
-NOISE = 2.0
+NOISE = 0.55
 WINDOW = 8
 CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol")
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-
-
 def class_counts(text: Column) -> Column:
-    """Array of the numbers of characters in CLASSES; letters without case count as lower."""
+    """Array of the numbers of characters in CLASSES; letters other than lower-case ones count as upper."""
 
     def counts(rest: Column) -> Column:
-        upper, digit, blank, mark = (_count(rest, p) for p in (r"\p{Lu}+", r"[0-9]+", r"[\x20\x09-\x0D]+", r"[.,;:'\"!?()\-]+"))
-        return F.array(F.length(text) - F.length(rest), upper, digit, blank, mark, F.length(rest) - upper - digit - blank - mark).cast("array<double>")
-
-    return bind(F.regexp_replace(text, r"[\p{L}&&[^\p{Lu}]]+", ""), counts)
+        # What is left without lower-case letters is a fifth of a text, and without blanks a twentieth.
+        def few(r: Column) -> Column:
+            without = lambda p: F.length(r) - F.length(F.regexp_replace(r, p, ""))
+            upper, digit, mark = without(r"\p{L}+"), without(r"[0-9]+"), without(r"[.,;:'\"!?()\-]+")
+            return F.array(F.length(text) - F.length(rest), upper, digit, F.length(rest) - F.length(r), mark, F.length(r) - upper - digit - mark).cast("array<double>")
 
+        return bind(F.regexp_replace(rest, r"[\x20\x09-\x0D]+", ""), few)
 
-def plain_words(text: Column) -> Column:
-    """Words in lower case without anything but letters."""
-    return words(F.lower(F.regexp_replace(text, r"[^\p{L}\x20\x09-\x0D]+", "")))
+    return bind(F.regexp_replace(text, r"\p{Ll}+", ""), counts)
 
 
 def references(docs: DataFrame) -> list[tuple[str, list[float], dict[str, float]]]:
     """(lang, shares of CLASSES, shares of common words) of the languages that have a reference."""
+    scratch = Scratch(docs.sparkSession, "rules")
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = F.length("text")
-    prose = (F.length(F.regexp_replace("text", r"[\p{Ll}]+", "")) <= (1 - LEAST_LOWER) * size) & (_count(F.col("text"), r"[#*$%&|<>@~^=+\[\]{}\\/_`]+") <= MOST_SYMBOLS * size)
+    prose = (F.length(F.regexp_replace("text", r"\p{Ll}+", "")) <= (1 - LEAST_LOWER) * size) & (F.length(F.regexp_replace("text", r"[^#*$%&|<>@~^=+\[\]{}\\/_`]+", "")) <= MOST_SYMBOLS * size)
     rows = rows.where(prose)
-    counts = rows.select("lang", F.explode(plain_words(F.col("text"))).alias("word")).groupBy("lang", "word").count()
-    classes = rows.select("lang", class_counts(F.col("text")).alias("c"), F.size(plain_words(F.col("text"))).alias("n"))
-    sums = classes.groupBy("lang").agg(F.sum("n").alias("n"), *[F.sum(F.col("c")[i]).alias(x) for i, x in enumerate(CLASSES)])
-    totals = sums.where(F.col("n") >= LEAST_REFERENCE).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = scratch.keep(rows.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").count(), "counts")
+    totals = counts.groupBy("lang").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST_REFERENCE).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
     if not totals:
         return []
-    least = F.element_at(F.create_map(*[F.lit(x) for r in totals for x in (r.lang, float(r.n) * COMMON)]), F.col("lang"))
-    common: dict[str, dict[str, float]] = {r.lang: {} for r in totals}
+    known = [r.lang for r in totals]
+    classes = rows.where(F.col("lang").isin(known)).select("lang", class_counts(F.col("text")).alias("c"))
+    sums = {r.lang: r for r in classes.groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(x) for i, x in enumerate(CLASSES)]).collect()}
     size = {r.lang: r.n for r in totals}
-    for r in counts.where(F.col("lang").isin([r.lang for r in totals])).where(F.col("count") >= least).collect():
+    least = F.element_at(F.create_map(*[F.lit(x) for k, n in size.items() for x in (k, float(n) * COMMON)]), F.col("lang"))
+    common: dict[str, dict[str, float]] = {k: {} for k in known}
+    for r in counts.where(F.col("lang").isin(known)).where(F.col("count") >= least).collect():
         common[r.lang][r.word] = r["count"] / size[r.lang]
-    return [(r.lang, [r[x] / max(1.0, sum(r[y] for y in CLASSES)) for x in CLASSES], dict(sorted(common[r.lang].items()))) for r in totals]
+    scratch.close()
+    return [(k, [sums[k][x] / max(1.0, sum(sums[k][y] for y in CLASSES)) for x in CLASSES], dict(sorted(common[k].items()))) for k in known]
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -105,39 +105,23 @@ def n_repeat_words(all_words: Column) -> Column:
 
         return bind(pairs, lambda s: bind(places(s), total))
 
+    def paired(keys: Column, k: int) -> Column:
+        """Keys of twice the words: each with the one k further on."""
+        n = F.size(keys) - k
+        return F.zip_with(F.slice(keys, F.lit(1), n), F.slice(keys, F.lit(k + 1), n), lambda a, b: F.xxhash64(a, b))
+
     def of(w: Column) -> Column:
-        keys = F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        many = bind(keys, lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), covered(k)).otherwise(F.lit(0).cast("long")))
-        return F.when(F.size(w) > WINDOW, many).otherwise(F.lit(0).cast("long"))
+        one = F.transform(w, lambda x: F.xxhash64(x))
+        many = lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), covered(k)).otherwise(F.lit(0).cast("long"))
+        windows = bind(one, lambda h: bind(paired(h, 1), lambda p: bind(paired(p, 2), lambda q: bind(paired(q, WINDOW // 2), many))))
+        return F.when(F.size(w) > WINDOW, windows).otherwise(F.lit(0).cast("long"))
 
     return bind(all_words, of)
 
 
-def judge(docs: DataFrame, against: list[tuple[str, list[float], dict[str, float]]] | None = None) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, the distances
-    class_distance and word_distance (null where the text is too short), and kept."""
-    against = references(docs) if against is None else against
-    text = F.coalesce(F.col("text"), F.lit(""))
-    all_words = words(text)
-
-    def lines(x: Column) -> Column:
-        return F.size(x) - F.size(F.array_distinct(x))
-
-    some = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    counts = bind(all_words, lambda w: F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words")))
-    out = docs.withColumn("__n", counts)
-    out = (
-        out.withColumn("n_words", F.col("__n.n_words"))
-        .withColumn("word_chars", F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"))
-        .withColumn("n_symbols", F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"))
-        .withColumn("n_dup_lines", bind(some, lines).cast("long"))
-        .withColumn("n_repeat_words", F.col("__n.n_repeat_words"))
-        .drop("__n")
-        .withColumn("base_failed", (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
-    )
-    if not against:
-        far = out.withColumn("class_distance", F.lit(None).cast("double")).withColumn("word_distance", F.lit(None).cast("double"))
-        return far.withColumn("kept", ~F.col("base_failed"))
+def _measures(against: list[tuple[str, list[float], dict[str, float]]], text: Column):
+    """(of_words, of_classes): from a text's words the struct of n_words, n_repeat_words, word_distance, base_failed and
+    word_far, from its counts of classes that of word_chars, class_distance and class_far."""
     refs = F.array(
         *[
             F.struct(
@@ -151,6 +135,7 @@ def judge(docs: DataFrame, against: list[tuple[str, list[float], dict[str, float
     )
     own = F.coalesce(F.col("lang").cast("string"), F.lit(""))
     near = F.when(own.isin([x for x, _, _ in against]), F.filter(refs, lambda r: r["lang"] == own)).otherwise(refs)
+    values_of_words = 1 + max([len(common) for _, _, common in against], default=0)
     known = sorted({w for _, _, common in against for w in common})
 
     def class_distance(c: Column) -> Column:
@@ -170,18 +155,46 @@ def judge(docs: DataFrame, against: list[tuple[str, list[float], dict[str, float
 
             return bind(shares, lambda s: F.array_min(F.transform(near, lambda r: one(s, r))))
 
-        return bind(F.filter(w, lambda x: x.isin(known)) if known else F.array().cast("array<string>"), found)
+        lowered = lambda x: F.lower(x).isin(known) if known else F.lit(False)
+        return bind(F.transform(F.filter(w, lowered), F.lower), found)
 
-    def too_far(distance: str, most: float, n: Column) -> Column:
-        return F.coalesce(F.col(distance) > most + NOISE / F.sqrt(n), F.lit(False))
+    def too_far(distance: Column, most: float, k: int, n: Column) -> Column:
+        return F.coalesce(distance > most + NOISE * F.sqrt(k / n), F.lit(False))
 
-    return (
-        out.withColumn("class_distance", F.when(F.length(text) >= LEAST_CHARACTERS, bind(class_counts(text), class_distance)))
-        .withColumn("word_distance", F.when(F.col("n_words") >= LEAST_WORDS, bind(plain_words(text), lambda w: F.when(F.size(w) >= LEAST_WORDS, word_distance(w)))))
-        .withColumn("kept", ~(F.col("base_failed") | too_far("class_distance", MOST_CLASS_DISTANCE, F.length(text)) | too_far("word_distance", MOST_WORD_DISTANCE, F.col("n_words"))))
-    )
+    def of_words(w: Column) -> Column:
+        far = F.when(F.size(w) >= LEAST_WORDS, word_distance(w)) if against else F.lit(None).cast("double")
+        held = F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"), far.alias("word_distance"))
+
+        def judged(x: Column) -> Column:
+            failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
+            return F.struct(*[x[k].alias(k) for k in ("n_words", "n_repeat_words", "word_distance")], failed.alias("base_failed"), too_far(x["word_distance"], MOST_WORD_DISTANCE, values_of_words, x["n_words"]).alias("word_far"))
 
+        return bind(held, judged)
 
-def accepted(docs: DataFrame) -> DataFrame:
-    """The documents that are kept."""
-    return judge(docs).where("kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    def of_classes(c: Column) -> Column:
+        far = F.when(F.length(text) >= LEAST_CHARACTERS, class_distance(c)) if against else F.lit(None).cast("double")
+        n = (F.length(text) - F.element_at(c, 1 + CLASSES.index("blank"))).cast("long")
+        return bind(far, lambda x: F.struct(n.alias("word_chars"), x.alias("class_distance"), too_far(x, MOST_CLASS_DISTANCE, len(CLASSES), F.length(text)).alias("class_far")))
+
+    return of_words, of_classes
+
+
+def judge(docs: DataFrame, against: list[tuple[str, list[float], dict[str, float]]] | None = None) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, the distances
+    class_distance and word_distance (null where the text is too short), and kept."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    of_words, of_classes = _measures(references(docs) if against is None else against, text)
+    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
+    made = docs.withColumn("__w", bind(words(text), of_words)).withColumn("__c", bind(class_counts(text), of_classes)).withColumn("__l", bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    values = {k: F.col(f"__w.{k}") for k in ("n_words", "n_repeat_words", "word_distance", "base_failed")} | {k: F.col(f"__c.{k}") for k in ("word_chars", "class_distance")}
+    values |= {"n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"), "n_dup_lines": F.col("__l"), "kept": ~(F.col("__w.base_failed") | F.col("__c.class_far") | F.col("__w.word_far"))}
+    return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in values], *[v.alias(k) for k, v in values.items()])
+
+
+def accepted(docs: DataFrame, against: list[tuple[str, list[float], dict[str, float]]] | None = None) -> DataFrame:
+    """The documents that are kept. The verdict is one expression, as a filter on judge's columns would measure a
+    text once for each column that the verdict needs."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    of_words, of_classes = _measures(references(docs) if against is None else against, text)
+    near = bind(class_counts(text), lambda c: bind(of_classes(c), lambda x: ~x["class_far"]))
+    return docs.where(near & bind(words(text), lambda w: bind(of_words(w), lambda x: ~(x["base_failed"] | x["word_far"]))))

@@ -47,6 +47,9 @@ def test_symbols_and_tables_are_far_from_prose(documents):
 def test_nulls_and_empty(documents, spark):
     docs = documents([(None, prose(1, 300)), (1, None)]).withColumn("lang", F.lit(None).cast("string"))
     rows = quality_rules.accepted(docs).collect()
+    mixed = documents(TEXTS)
+    assert {r.doc_id for r in quality_rules.accepted(mixed).collect()} == {r.doc_id for r in quality_rules.judge(mixed).where("kept").collect()}
+    assert quality_rules.accepted(mixed).columns == mixed.columns
     assert [r.doc_id for r in rows] == [None]
     assert quality_rules.judge(documents([])).collect() == []
 
