@@ -35,14 +35,17 @@ from pyspark.sql import functions as F
 from emberline.llm import bytewords as bw
 from emberline.llm.common import Scratch, ship
 
-CHUNK = 16 << 20
+CHUNK = 24 << 20
+#: Words of the table that a sweep takes at once.
+ROWS = 200_000
 #: Tokens that a task counts before it hands on what it has.
 TOKENS = 4_000_000
 SAMPLES = 2
 STRENGTH = 1.0
 END = np.int64(0x7E57AB1E0E0D1CE5)
-#: One context of a word: the context, the customers, and the tables in each sample.
+#: One context of a word: the context, the customers, and the tables in each sample; and the same of up to 255.
 ENTRY = np.dtype([("u", "u1"), ("c", "<i4"), ("t", "<i4", (SAMPLES,))])
+SMALL = np.dtype([("u", "u1"), ("c", "u1"), ("t", "u1", (SAMPLES,))])
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -109,7 +112,7 @@ def totals(state: DataFrame, column: list[str]) -> Totals:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((257, 3 + k), np.int64)
-        for b in batches:
+        for b in grouped(batches):
             u, c, *t = (bw_flat(b.column(i)) for i in range(2 + k))
             at = lists_of(b.column(0))
             for j, x in enumerate([c, c == 1, c == 2, *t]):
@@ -124,6 +127,24 @@ def totals(state: DataFrame, column: list[str]) -> Totals:
     return Totals(rows, k)
 
 
+def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about ROWS."""
+    held, n = [], 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= ROWS:
+            yield joined()
+            held, n = [], 0
+    if n:
+        yield joined()
+
+
 def bw_flat(column: pa.ListArray) -> np.ndarray:
     """All values of a column of lists."""
     return column.flatten().to_numpy(zero_copy_only=False)
@@ -158,9 +179,7 @@ def _sweep(state: DataFrame, seen: Totals, source: str, target: str, number: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         all_, _ = seen.root(0)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in grouped(batches):
             names = b.schema.names
             at = lists_of(b.column("u"))
             u, c, t = (bw_flat(b.column(x)).astype(np.int64) for x in ("u", "c", source))
@@ -191,43 +210,73 @@ def learn(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Totals]:
     return state, totals(state, [f"t{s}" for s in range(SAMPLES)])
 
 
+def _records(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, x): the lists of a word as ENTRY records."""
-    for b in batches:
+    """(w, x, y): the contexts of a word as SMALL records as far as they fit, the others as ENTRY records."""
+    for b in grouped(batches):
         at = lists_of(b.column("u"))
         x = np.zeros(int(at[-1]), ENTRY)
         x["u"], x["c"] = bw_flat(b.column("u")), bw_flat(b.column("c"))
         for s in range(SAMPLES):
             x["t"][:, s] = bw_flat(b.column(f"t{s}"))
-        data = pa.Array.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer((at * ENTRY.itemsize).astype(np.int32)), pa.py_buffer(x.tobytes())])
-        yield pa.RecordBatch.from_arrays([b.column("w"), data], names=["w", "x"])
-
-
-def probabilities(k: np.ndarray, u: np.ndarray, words: np.ndarray, at: np.ndarray, x: np.ndarray, seen: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """(training count, probability) of tokens with keys k in contexts u. words: known keys in order; entry
-    records x of word i are x[at[i]:at[i + 1]]."""
+        little = x["c"] < 256
+        before = np.concatenate([[0], np.cumsum(little)])[at]
+        yield pa.RecordBatch.from_arrays([b.column("w"), _records(x[little].astype(SMALL), before), _records(x[~little], at - before)], names=["w", "x", "y"])
+
+
+class Known:
+    """Words (in order), and of each the training count, the root's customers in each sample, and its contexts."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, x: np.ndarray):
+        self.words, self.x = words, x
+        of = np.repeat(np.arange(len(words)), np.diff(at))
+        n = max(1, len(words))
+        self.count = np.bincount(of, weights=x["c"], minlength=n)
+        self.tables = [np.bincount(of, weights=x["t"][:, s], minlength=n) for s in range(SAMPLES)]
+        self.place = of * 256 + x["u"]
+        if len(of) and (np.diff(self.place) <= 0).any():
+            order = np.argsort(self.place)
+            self.place, self.x = self.place[order], x[order]
+
+    @classmethod
+    def unpack(cls, rows: pa.Table) -> Known:
+        w = rows.column("w").to_numpy().astype(np.int64)
+        order = np.argsort(w)
+        rank = np.empty(len(w), np.int64)
+        rank[order] = np.arange(len(w))
+        parts, owners = [], []
+        for name, kind in (("x", SMALL), ("y", ENTRY)):
+            data, at = bw_binary(rows.column(name))
+            parts.append(np.frombuffer(data, kind).astype(ENTRY))
+            owners.append(np.repeat(rank, np.diff(at) // kind.itemsize))
+        x, of = np.concatenate(parts), np.concatenate(owners)
+        by = np.argsort(of * 256 + x["u"])
+        return cls(w[order], np.searchsorted(of[by], np.arange(len(w) + 1)), x[by])
+
+
+def probabilities(k: np.ndarray, u: np.ndarray, known: Known, seen: Totals) -> tuple[np.ndarray, np.ndarray]:
+    """(training count, probability) of tokens with keys k in contexts u."""
+    words, x = known.words, known.x
     i = np.searchsorted(words, k)
-    known = i < len(words)
-    known[known] = words[i[known]] == k[known]
-    i = np.where(known, i, 0)
-    size = np.diff(at)
-    of = np.repeat(np.arange(len(words)), size)
-    count = np.bincount(of, weights=x["c"], minlength=max(1, len(words)))
-    place = of * 256 + x["u"]  # ascending, as a word's contexts are in order
-    j = np.searchsorted(place, i * 256 + u)
-    met = known & (j < len(place))
-    met[met] = place[j[met]] == (i * 256 + u)[met]
-    j = np.where(met, j, 0)
+    there = i < len(words)
+    there[there] = words[i[there]] == k[there]
+    i = np.where(there, i, 0)
+    key = i * 256 + u
+    j = np.searchsorted(known.place, key)
+    met = there & (j < len(known.place))
+    met[met] = known.place[j[met]] == key[met]
+    j = j[met]
     p = np.zeros(len(k))
+    below = STRENGTH + seen.c
     for s in range(SAMPLES):
         all_, unknown = seen.root(s)
-        tables = np.bincount(of, weights=x["t"][:, s], minlength=max(1, len(words)))
-        root = np.where(known, np.maximum(tables[i] - seen.d0, 0) / all_, unknown)
-        below = STRENGTH + seen.c[u]
-        back = np.where(seen.c[u] > 0, (STRENGTH + seen.d * seen.t[s][u]) / below, 1.0)
-        own = np.where(met, (x["c"][j] - seen.d * x["t"][j, s]) / below, 0.0) if len(x) else 0.0
-        p += (own + back * root) / SAMPLES
-    return np.where(known, count[i], 0), p
+        root = np.where(there, np.maximum(known.tables[s][i] - seen.d0, 0) / all_, unknown)
+        p += np.where(seen.c > 0, (STRENGTH + seen.d * seen.t[s]) / below, 1.0)[u] * root / SAMPLES
+        p[met] += (x["c"][j] - seen.d * x["t"][j, s]) / below[u[met]] / SAMPLES
+    return np.where(there, known.count[i], 0), p
 
 
 def score(docs: DataFrame, held_out) -> DataFrame:
@@ -252,22 +301,17 @@ def score(docs: DataFrame, held_out) -> DataFrame:
         return pa.table({"chunk": pa.array(np.full(len(w), t.column("chunk")[0].as_py(), np.int32)), "w": pa.array(w)})
 
     requests = dealt.groupBy("chunk").applyInArrow(asked, "chunk int, w long")
-    packed = state.mapInArrow(_pack, "w long, x binary")
-    answers = requests.join(packed, "w").select("chunk", "w", "x")
-
-    def scored(t: pa.Table, known: pa.Table) -> pa.Table:
-        order = np.argsort(known.column("w").to_numpy()) if known.num_rows else np.zeros(0, np.int64)
-        own = known.take(pa.array(order)).combine_chunks()
-        words = own.column("w").to_numpy().astype(np.int64)
-        bytes_, at = bw_binary(own.column("x"))
-        x = np.frombuffer(bytes_, ENTRY)
-        at = at // ENTRY.itemsize
+    packed = state.mapInArrow(_pack, "w long, x binary, y binary")
+    answers = requests.join(packed, "w").select("chunk", "w", F.nullif("x", F.lit(b"")).alias("x"), F.nullif("y", F.lit(b"")).alias("y"))
+
+    def scored(t: pa.Table, answered: pa.Table) -> pa.Table:
+        known = Known.unpack(answered)
         raw, offsets = bw.texts(t.column("text"))
         n = t.num_rows
         out = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n)}
         for lo, hi, r, o in bw.chunks(raw, offsets):
             k, u, first = tokens(r, o)
-            c, p = probabilities(k, u, words, at, x, seen)
+            c, p = probabilities(k, u, known, seen)
             out["n_tokens"][lo:hi] = np.diff(first)
             for name, values in (("n_known", c > 0), ("base_score", np.log10((c + 1) / (total + seen.words + 1))), ("score", np.log10(p))):
                 out[name][lo:hi] = np.add.reduceat(values.astype(out[name].dtype), first[:-1])
@@ -281,6 +325,8 @@ def score(docs: DataFrame, held_out) -> DataFrame:
 def bw_binary(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
     """All bytes of a binary column, and where each value begins (n + 1 values)."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if column.null_count:
+        column = column.fill_null(b"")
     column = column.cast(pa.large_binary())
     if not len(column):
         return b"", np.zeros(1, np.int64)

@@ -49,7 +49,7 @@ def test_probabilities_add_up_to_one(documents, spark):
     assert (x["t"] >= 1).all() and (x["t"] <= x["c"][:, None]).all()
     for u in [0, ord("e"), ord("."), 200]:
         k = np.append(words, words.max() + 1)  # all known words, and the unknown
-        _, p = lm.probabilities(k, np.full(len(k), u, np.uint8), words, at, x, seen)
+        _, p = lm.probabilities(k, np.full(len(k), u, np.uint8), lm.Known(words, at, x), seen)
         assert abs(p.sum() - 1) < 1e-9
 
 
