@@ -8,8 +8,8 @@ then exactly on their full sets; only exact comparisons make links.
 
 Big bands do not give all their pairs. Each round compares a band's members with one pivot, the member
 that shares the most bands with others, and joins what is linked into components. Members that are still
-in different components of a band after PIVOT_ROUNDS are compared in blocks of bounded size, so that no
-link between different texts depends on the choice of pivots. What is left to chance is banding alone: a
+in different components of a band after PIVOT_ROUNDS are compared in blocks of bounded size, on full sets where
+they lie and until they are joined, so that no link that matters depends on the choice of pivots. What is left to chance is banding alone: a
 pair at similarity 0.8 shares no band with a probability of (1 - 0.8^5)^30 < 1e-5, less if more similar.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing. A row whose
@@ -34,8 +34,11 @@ from emberline.llm.common import Scratch, few, ship
 ROWS, BANDS = 5, 30
 K = ROWS * BANDS
 #: Share of equal (8-bit) coordinates below which a pair isn't compared exactly; at similarity 0.8 a
-#: signature falls below it with a probability of about 1e-8.
-LEAST_AGREEMENT = 0.62
+#: signature falls below it with a probability of about 2e-6.
+LEAST_AGREEMENT = 0.65
+#: Before that, of 128 coordinates' lowest bits so many may differ: 12.8 are expected to at similarity 0.8,
+#: over 30 with a probability below 1e-6.
+MOST_BITS = 30
 PIVOT_ROUNDS = 2
 #: Members of a band that one task compares with as many others.
 BLOCK = 512
@@ -79,7 +82,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def _signatures(width: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("x1", pa.int64()), ("x2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band = np.arange(BANDS, dtype=bw.U) * bw.U(0x9E3779B97F4A7C15)
@@ -101,10 +104,11 @@ def _signatures(width: int):
                 h = bw.mix(h * bw.U(0xD6E8FEB86659FD93) + m[:, j::ROWS].astype(bw.U))
             two = np.array(ids, dtype=bw.U).reshape(-1, 2).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS, dtype=np.int32)), pa.array(h.view(np.int64).ravel()))
+            bits = np.packbits((m[:, :128] & 1).astype(np.uint8), axis=1).view(np.int64)
             sig8 = pa.FixedSizeBinaryArray.from_buffers(pa.binary(K), len(m), [None, pa.py_buffer(np.ascontiguousarray(m.astype(np.uint8)))]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists, sig8], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists, sig8, pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1]))], schema=schema)
 
-    return run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary"
+    return run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary, x1 long, x2 long"
 
 
 def _sets(width: int):
@@ -180,28 +184,36 @@ def components(links: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
             return edges.select(F.col("u").alias("v"), F.col("v").alias("label"))
 
 
-def _blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Alike pairs of different labels among members (key, rep, label, size) of a key, compared block by block."""
+def _blocks(members: DataFrame, sigs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among members (key, rep, label, size) of a key that join different labels, compared block by block on
+    full sets. A block gives no more links than it has members: a pair that its links join already isn't compared."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rep"), n).cast("int")
     dealt = (
         members.withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), n - 1)))
         .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label")
-        .join(sigs.select("rep", "sig"), "rep")
+        .join(sigs, "rep")
+        .join(sets.withColumnRenamed("v", "rep"), "rep")
     )
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame | None:
-        label, rep, own = (g[c].to_numpy() for c in ("label", "rep", "own"))
+    def links(g: pd.DataFrame) -> pd.DataFrame | None:
+        label, rep, own, n, sets = (g[c].to_numpy() for c in ("label", "rep", "own", "n", "shingles"))
         if (label == label[0]).all():
             return None
         s = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(-1, K)
         cross = g["i"].iloc[0] != g["j"].iloc[0]
+        group = np.unique(label, return_inverse=True)[1]  # what is joined so far
         found = []
         for x in range(len(g) - 1):
-            rest = np.flatnonzero((label[x + 1 :] != label[x]) & ((own[x + 1 :] != own[x]) | (not cross))) + x + 1
-            near = rest[(s[rest] == s[x]).mean(axis=1) >= LEAST_AGREEMENT] if len(rest) else rest
-            found += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in near]
+            sized = 100 * np.minimum(n[x + 1 :], n[x]) >= percent * np.maximum(n[x + 1 :], n[x])
+            rest = np.flatnonzero(sized & (group[x + 1 :] != group[x]) & ((own[x + 1 :] != own[x]) | (not cross))) + x + 1
+            for y in rest[(s[rest] == s[x]).mean(axis=1) >= LEAST_AGREEMENT] if len(rest) else ():
+                if group[x] != group[y]:
+                    both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+                    if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                        found.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
+                        group[group == group[y]] = group[x]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64") if found else None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -210,12 +222,12 @@ def _blocks(members: DataFrame, sigs: DataFrame) -> DataFrame:
         for batch in batches:
             for key, g in batch.groupby(["key", "i", "j"], sort=False):
                 if key != at and held:
-                    if (out := pairs(pd.concat(held))) is not None:
+                    if (out := links(pd.concat(held))) is not None:
                         yield out
                     held = []
                 at = key
                 held.append(g)
-        if held and (out := pairs(pd.concat(held))) is not None:
+        if held and (out := links(pd.concat(held))) is not None:
             yield out
 
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInPandas(run, "a long, b long").distinct()
@@ -232,19 +244,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     run, schema = _signatures(width)
     sigs = scratch.keep(docs.mapInArrow(run, schema), "sigs")
     nodes = scratch.keep(
-        sigs.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes"
+        sigs.where("n_shingles > 0 and doc_id is not null").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "sig", "x1", "x2", "n_shingles")]), "nodes"
     )
-    keyed = nodes.select("rep", F.explode("bands").alias("key")).distinct()
+    own = ["rep", F.col("n_shingles").alias("n"), "x1", "x2"]
+    keyed = nodes.select(*own, F.explode("bands").alias("key")).distinct()
     shared = scratch.keep(nodes.select(F.explode("bands").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = scratch.keep(keyed.join(few(shared), "key"), "members")
     popular = members.groupBy("rep").agg(F.sum("size").alias("pop"))
     open_ = scratch.keep(members.join(popular, "rep"), "open-0")
-    used = scratch.keep(nodes.join(few(members.select("rep").distinct()), "rep", "left_semi").select("rep", "sig"), "used")
+    used = scratch.keep(nodes.join(few(members.select("rep").distinct()), "rep", "left_semi").select("rep", "sig", F.col("n_shingles").alias("n")), "used")
     links, labels = None, None
     for step in range(PIVOT_ROUNDS):
-        best = open_.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("minus"))).alias("best")).select("key", (-F.col("best.minus")).alias("pivot"))
+        best = open_.groupBy("key").agg(F.max(F.struct("pop", (-F.col("rep")).alias("minus"), "n", "x1", "x2")).alias("best")).select("key", (-F.col("best.minus")).alias("pivot"), *[F.col(f"best.{c}").alias(f"pivot_{c}") for c in ("n", "x1", "x2")])
         against = members if labels is None else _labelled(members, labels)
-        pairs = against.join(best, "key").where("rep <> pivot")
+        # Sizes and a few bits rule out most pairs where they arise.
+        sized = 100 * F.least("n", "pivot_n") >= percent * F.greatest("n", "pivot_n")
+        bits = sum(F.bit_count(F.col(x).bitwiseXOR(F.col(f"pivot_{x}"))) for x in ("x1", "x2"))
+        pairs = against.join(best, "key").where((F.col("rep") != F.col("pivot")) & sized & (bits <= MOST_BITS))
         if labels is not None:
             pairs = pairs.join(labels.select(F.col("v").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").where("label <> coalesce(pivot_label, pivot)")
         pairs = pairs.select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()
@@ -256,7 +272,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         labels = components(links, scratch, f"labels-{step}")
         rest = _labelled(open_, labels).join(best, "key")
         rest = rest.join(labels.select(F.col("v").alias("pivot"), F.col("label").alias("pivot_label")), "pivot", "left").where("label <> coalesce(pivot_label, pivot)")
-        open_ = scratch.keep(rest.select("key", "rep", "size", "pop"), f"open-{step + 1}")
+        open_ = scratch.keep(rest.select(*open_.columns), f"open-{step + 1}")
         if open_.isEmpty():
             break
     # What lay open after the first round was compared with all of its band if it is one member only.
@@ -265,10 +281,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     divided = scratch.keep(_labelled(members.join(several, "key", "left_semi"), labels), "divided")
     split = divided.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
     divided = divided.join(split, "key", "left_semi")
-    done = scratch.keep(_blocks(divided, used), "pairs-last")
-    if not done.isEmpty():
-        links = links.union(_linked(done, docs, width, percent, scratch, "round-last"))
-        labels = components(links, scratch, "labels-last")
+    run, schema = _sets(width)
+    sets = scratch.keep(docs.join(few(divided.select(F.col("rep").alias("doc_id")).distinct()), "doc_id").select("doc_id", "text").mapInArrow(run, schema), "divided-sets")
+    last = scratch.keep(_blocks(divided, used, sets, percent), "links-last")
+    scratch.drop("divided-sets")
+    if not last.isEmpty():
+        labels = components(links.union(last), scratch, "labels-last")
     named = nodes.select("s1", "s2", "rep").join(labels.withColumnRenamed("v", "rep"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("label"))
     return (
         sigs.select("doc_id", "n_shingles", "s1", "s2")
