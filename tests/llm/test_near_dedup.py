@@ -1,8 +1,10 @@
 import itertools
 import re
 
+import pyarrow as pa
 import pytest
 
+from emberline.llm import bytewords as bw
 from emberline.llm import near_dedup
 from tests.llm.conftest import prose
 
@@ -54,6 +56,29 @@ def test_components_equal_brute_force(documents, rows):
     assert got == brute(rows, 4, 80)
 
 
+def test_blocks_join_all_that_is_linked(spark, rows, monkeypatch):
+    """All documents in one band of which nothing is joined yet, in blocks of four."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    raw, offsets = bw.texts(pa.array([t for _, t in rows]))
+    sets = {i: s for (i, _), s in zip(rows, near_dedup.shingle_sets(raw, offsets, 4)) if len(s)}
+    members = spark.createDataFrame([(7, i, i, len(sets)) for i in sets], "key long, rep long, label long, size long")
+    sigs = spark.createDataFrame([(i, bytearray(near_dedup.signature(s).astype("uint8").tobytes()), len(s)) for i, s in sets.items()], "rep long, sig binary, n long")
+    held = spark.createDataFrame([(i, s.view("int64").tolist()) for i, s in sets.items()], "v long, shingles array<long>")
+    links = near_dedup._blocks(members, sigs, held, 80).collect()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in links:
+        a, b = find(r.a), find(r.b)
+        parent[max(a, b)] = min(a, b)
+    want = brute(rows, 4, 80)
+    assert links and {i: find(i) for i in sets} == {i: want[i][1] for i in sets}
+
+
 def test_deduplicated_keeps_one_of_each_group_and_columns(documents, rows, spark):
     docs = documents([*rows, (None, "no id"), (None, None)]).withColumn("label", near_dedup.F.lit(1)).withColumn("rep", near_dedup.F.lit("x"))
     out = near_dedup.deduplicated(docs, 5, 80)
