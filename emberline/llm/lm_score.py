@@ -1,22 +1,27 @@
 """A hierarchical Pitman-Yor language model, its seating sampled by Gibbs, over words and their contexts.
 
-Tokens are a text's words, A-Z lowered, and one end. A token's context is the last byte of the word before
-it, 0 at the beginning. Every context is a restaurant; all share one parent, the root, whose customers are
-the tables of the restaurants below. The root's base is an open vocabulary, so every known word has one
+Tokens are a text's words, A-Z lowered, and one end. A token's context is the whole word before it, or the
+beginning. Every context is a restaurant, however rare; its parent is that of all contexts with the same
+last byte (0 at the beginning), and all of those share one parent, the root. The customers of a parent are
+the tables of the restaurants below it. The root's base is an open vocabulary, so every known word has one
 table there and what the root keeps for new tables is the probability of any unknown word. Probabilities
-of known words and of the unknown add up to 1 in every context.
-
-What the corpus gives is a table with one row for each word: its contexts, customers and tables. Gibbs
-sweeps go over that table in parallel. A sweep takes, for each word and context, all its customers out and
-seats them anew one by one, given the tables of the other contexts; a customer opens a table with the
-probability of the Chinese restaurant process. From the 64th customer of a dish on, they are seated in
-blocks of a sixteenth of those before, by a binomial draw. Only 256 totals per sweep go to the driver;
-tasks of a sweep see the totals of the sweep before. The first sweep is dropped, and probabilities are
-averaged over SAMPLES further ones. Discounts are n1 / (n1 + 2 n2) of the counts of counts.
-
-To score, texts are dealt into chunks of about CHUNK bytes. Each chunk asks the table for its distinct
-words and gets their rows, so what a task holds is bounded, and nothing that grows with the corpus is
-broadcast.
+of known words and of the unknown add up to 1 in every context. A context that was never seen has the
+probabilities of its parent.
+
+What the corpus gives are a table with one row for each pair of words, (v, w, u, c, t), and from its tables
+one with a row for each word: its last-byte contexts, customers and tables. Gibbs sweeps go over both in
+parallel. A sweep takes, for each word and context, all its customers out and seats them anew one by one,
+given the tables of the other contexts; a customer opens a table with the probability of the Chinese
+restaurant process. From the 64th customer of a dish on, they are seated in blocks of a sixteenth of those
+before, by a binomial draw. Only 256 totals per sweep go to the driver; tasks of a sweep see the totals of
+the sweep before. Pairs are swept PAIR_SWEEPS times, each time given one sweep of the restaurants above; a
+pair seen once has one table. Their last draw stays; given it, the first sweep of the restaurants above is
+dropped and probabilities are averaged over SAMPLES further ones. Discounts are n1 / (n1 + 2 n2) of the
+counts of counts.
+
+To score, texts are dealt into chunks of about CHUNK bytes. Each chunk asks the tables for its distinct
+words and pairs and gets their rows, so what a task holds is bounded, and nothing that grows with the corpus
+is broadcast.
 
 Defined results: a null, empty or blank text is its end alone. Without training tokens all words are
 unknown. A null doc_id counts as not held out. Repeated rows count and score each for itself. An empty
@@ -29,20 +34,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import bytewords as bw
 from emberline.llm.common import Scratch, ship
 
-CHUNK = 24 << 20
+CHUNK = 12 << 20
 #: Words of the table that a sweep takes at once.
 ROWS = 200_000
 #: Tokens that a task counts before it hands on what it has.
 TOKENS = 4_000_000
 SAMPLES = 2
+PAIR_SWEEPS = 2
 STRENGTH = 1.0
 END = np.int64(0x7E57AB1E0E0D1CE5)
+#: The word before the first.
+BEGIN = np.int64(0)
 #: One context of a word: the context, the customers, and the tables in each sample; and the same of up to 255.
 ENTRY = np.dtype([("u", "u1"), ("c", "<i4"), ("t", "<i4", (SAMPLES,))])
 SMALL = np.dtype([("u", "u1"), ("c", "u1"), ("t", "u1", (SAMPLES,))])
@@ -60,27 +69,42 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, u, first + np.arange(docs + 1)
 
 
+def before(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The key of the word before each token."""
+    v = np.empty_like(keys)
+    v[1:] = keys[:-1]
+    v[first[:-1]] = BEGIN
+    return v
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return bw.mix(bw.mix(v.view(bw.U)) * bw.BASE + w.view(bw.U)).view(np.int64)
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, u, c) of the training texts, summed over up to TOKENS tokens."""
+    """(v, w, u, c) of the training texts, summed over up to TOKENS tokens."""
 
-    def summed(keys: list[np.ndarray], contexts: list[np.ndarray]) -> pa.RecordBatch:
-        words, back = np.unique(np.concatenate(keys), return_inverse=True)
-        pairs, c = np.unique(back * 256 + np.concatenate(contexts), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(words[pairs >> 8]), pa.array((pairs & 255).astype(np.int16)), pa.array(c)], names=["w", "u", "c"])
+    def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        v, w, u = (np.concatenate(x) for x in zip(*parts))
+        _, at, c = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(w[at]), pa.array(u[at].astype(np.int16)), pa.array(c)], names=["v", "w", "u", "c"])
 
-    keys, contexts, n = [], [], 0
+    parts, n = [], 0
     for b in batches:
         raw, offsets = bw.texts(b.column(0))
         for _, _, r, o in bw.chunks(raw, offsets):
-            k, u, _ = tokens(r, o)
-            keys.append(k)
-            contexts.append(u)
+            k, u, first = tokens(r, o)
+            parts.append((before(k, first), k, u))
             n += len(k)
             if n >= TOKENS:
-                yield summed(keys, contexts)
-                keys, contexts, n = [], [], 0
+                yield summed(parts)
+                parts, n = [], 0
     if n:
-        yield summed(keys, contexts)
+        yield summed(parts)
+
+
+def discount(n1: int, n2: int) -> float:
+    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
 class Totals:
@@ -97,8 +121,7 @@ class Totals:
                 self.n1, self.n2 = self.n1 + r.n1, self.n2 + r.n2
             else:
                 self.words, self.r1, self.r2 = r.c, r.n1, r.n2
-        share = lambda a, b: min(0.95, max(0.05, a / (a + 2 * b))) if a else 0.5
-        self.d, self.d0 = share(self.n1, self.n2), share(self.r1, self.r2)
+        self.d, self.d0 = discount(self.n1, self.n2), discount(self.r1, self.r2)
 
     def root(self, s: int) -> tuple[float, float]:
         """(what divides the root's counts, the probability of an unknown word)."""
@@ -156,18 +179,18 @@ def lists_of(column: pa.ListArray) -> np.ndarray:
     return offsets - offsets[0]
 
 
-def seat(c: np.ndarray, t_other: np.ndarray, open_: np.ndarray, d: float, d0: float, all_: float, rng: np.random.Generator) -> np.ndarray:
-    """New numbers of tables of dishes with c customers each. t_other: the root's customers of the same word from
+def seat(c: np.ndarray, t_other: np.ndarray, open_: np.ndarray, d: float, d0: float, all_: float | np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """New numbers of tables of dishes with c customers each. t_other: the parent's customers of the same word from
     other contexts; open_: strength + discount * tables of the restaurant without this dish; all_: what
-    divides the root's counts."""
-    t = np.ones(len(c), np.int64)
+    divides the parent's counts."""
+    t, all_ = np.ones(len(c), np.int64), np.broadcast_to(all_, len(c))
     live = np.flatnonzero(c > 1)
     k = 1
     while len(live):
         step = 1 if k < 64 else k // 16
         n = np.minimum(step, c[live] - k)
         own = t[live]
-        fresh = (open_[live] + d * own) * np.maximum(t_other[live] + own - d0, 0) / all_
+        fresh = (open_[live] + d * own) * np.maximum(t_other[live] + own - d0, 0) / all_[live]
         t[live] += rng.binomial(n, fresh / (fresh + np.maximum(k - d * own, 1e-9)))
         k += step
         live = live[c[live] > k]
@@ -195,12 +218,59 @@ def _sweep(state: DataFrame, seen: Totals, source: str, target: str, number: int
     return state.mapInArrow(run, schema)
 
 
-def learn(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Totals]:
-    """(w, u, c, t0, ...): the contexts, customers and sampled tables of every word of the texts, and totals."""
-    pairs = docs.select("text").mapInArrow(_counted, "w long, u short, c long").groupBy("w", "u").agg(F.sum("c").cast("int").alias("c"))
-    held = pairs.repartition("w").groupBy("w").agg(F.array_sort(F.collect_list(F.struct("u", "c"))).alias("x"))  # at most 256 a word
+def _above(pairs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
+    """(w, u, c, n, t): of every word the last-byte contexts, their customers, which are the tables of pairs, the
+    word's tokens and one table each."""
+    held = pairs.groupBy("w", "u").agg(F.sum("t").cast("int").alias("c"), F.sum("c").alias("n")).repartition("w").groupBy("w")
+    held = held.agg(F.array_sort(F.collect_list(F.struct("u", "c"))).alias("x"), F.sum("n").alias("n"))  # at most 256 a word
     ones = F.transform("x", lambda x: F.lit(1))
-    state = scratch.keep(held.select("w", F.col("x.u").cast("array<int>").alias("u"), F.col("x.c").alias("c"), ones.alias("t")), "state-0")
+    return scratch.keep(held.select("w", F.col("x.u").cast("array<int>").alias("u"), F.col("x.c").alias("c"), "n", ones.alias("t")), f"{tag}-0")
+
+
+def _pair_sweep(pairs: DataFrame, state: DataFrame, seen: Totals, d: float, number: int) -> DataFrame:
+    """pairs (v, w, u, c, t) of several customers with tables drawn given those of state."""
+
+    def parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(w, u, a): the probability of w in u, times what divides the counts of u."""
+        all_, _ = seen.root(0)
+        for b in grouped(batches):
+            at = lists_of(b.column("u"))
+            u, c, t = (bw_flat(b.column(x)).astype(np.int64) for x in ("u", "c", "t"))
+            of = np.repeat(np.arange(b.num_rows), np.diff(at))
+            root = np.maximum(np.add.reduceat(t, at[:-1])[of] - seen.d0, 0) / all_
+            a = c - seen.d * t + (STRENGTH + seen.d * seen.t[0][u]) * root
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("w").to_numpy()[of]), pa.array(u.astype(np.int16)), pa.array(a)], names=["w", "u", "a"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in grouped(batches):
+            v, w, u, c, t, a, open_ = (b.column(x).to_numpy(zero_copy_only=False) for x in ("v", "w", "u", "c", "t", "a", "tables"))
+            rng = np.random.default_rng([1, number, int(pair_keys(v[:1], w[:1])[0]) & ((1 << 63) - 1)])
+            new = seat(c.astype(np.int64), a - t, STRENGTH + d * (open_ - t), d, 0.0, STRENGTH + seen.c[u], rng)
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("v", "w", "u", "c")), pa.array(new)], names=["v", "w", "u", "c", "t"])
+
+    above = state.select("w", "u", "c", "t").mapInArrow(parents, "w long, u short, a double")
+    tables = pairs.groupBy("v").agg(F.sum("t").alias("tables"))
+    return pairs.where("c > 1").join(above, ["w", "u"]).join(tables, "v").mapInArrow(run, "v long, w long, u short, c long, t long")
+
+
+def learn_pairs(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
+    """((v, w, u, c, t), discount): customers and tables of every word w after every word v, u the last byte of v."""
+    counted = docs.select("text").mapInArrow(_counted, "v long, w long, u short, c long").groupBy("v", "w").agg(F.first("u").alias("u"), F.sum("c").alias("c"))
+    pairs = counted = scratch.keep(counted.withColumn("t", F.lit(1).cast("long")), "pairs")
+    few_ = counted.agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
+    d = discount(few_.n1, few_.n2)
+    for k in range(PAIR_SWEEPS):
+        state = _above(pairs, scratch, f"above-{k}")
+        state = scratch.keep(_sweep(state, totals(state, ["t"]), "t", "t", 100 + k), f"above-{k}-1")
+        drawn = scratch.keep(_pair_sweep(pairs, state, totals(state, ["t"]), d, k), f"pairs-{k}")
+        pairs = counted.where("c = 1").unionByName(drawn)
+        scratch.drop(f"above-{k}-0", f"above-{k}-1", f"pairs-{k - 1}")
+    return pairs, d
+
+
+def learn_above(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Totals]:
+    """(w, u, c, n, t, t0, ...): the last-byte contexts, customers and sampled tables of every word, and totals."""
+    state = _above(pairs, scratch, "state")
     for k in range(1 + SAMPLES):
         # The chain goes on from the last draw; all but the first are kept.
         source = "t" if k < 2 else f"t{k - 2}"
@@ -210,12 +280,17 @@ def learn(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Totals]:
     return state, totals(state, [f"t{s}" for s in range(SAMPLES)])
 
 
+def learn(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Totals]:
+    """The restaurants above those of whole words, learned from texts."""
+    return learn_above(learn_pairs(docs, scratch)[0], scratch)
+
+
 def _records(values: np.ndarray, at: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, x, y): the contexts of a word as SMALL records as far as they fit, the others as ENTRY records."""
+    """(w, x, y, n): the contexts of a word as SMALL records as far as they fit, the others as ENTRY records."""
     for b in grouped(batches):
         at = lists_of(b.column("u"))
         x = np.zeros(int(at[-1]), ENTRY)
@@ -224,11 +299,17 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x["t"][:, s] = bw_flat(b.column(f"t{s}"))
         little = x["c"] < 256
         before = np.concatenate([[0], np.cumsum(little)])[at]
-        yield pa.RecordBatch.from_arrays([b.column("w"), _records(x[little].astype(SMALL), before), _records(x[~little], at - before)], names=["w", "x", "y"])
+        yield pa.RecordBatch.from_arrays([b.column("w"), _records(x[little].astype(SMALL), before), _records(x[~little], at - before), b.column("n")], names=["w", "x", "y", "n"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, c, t) of pairs."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(b.column("v").to_numpy(), b.column("w").to_numpy())), b.column("c"), b.column("t")], names=["key", "c", "t"])
 
 
 class Known:
-    """Words (in order), and of each the training count, the root's customers in each sample, and its contexts."""
+    """Words (in order), and of each the customers, the root's customers in each sample, and its contexts."""
 
     def __init__(self, words: np.ndarray, at: np.ndarray, x: np.ndarray):
         self.words, self.x = words, x
@@ -258,7 +339,7 @@ class Known:
 
 
 def probabilities(k: np.ndarray, u: np.ndarray, known: Known, seen: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """(training count, probability) of tokens with keys k in contexts u."""
+    """(customers of last-byte contexts, probability given the last byte) of tokens with keys k in contexts u."""
     words, x = known.words, known.x
     i = np.searchsorted(words, k)
     there = i < len(words)
@@ -279,6 +360,36 @@ def probabilities(k: np.ndarray, u: np.ndarray, known: Known, seen: Totals) -> t
     return np.where(there, known.count[i], 0), p
 
 
+def placed(k: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether each of k is in sorted_, where)."""
+    i = np.searchsorted(sorted_, k)
+    there = i < len(sorted_)
+    there[there] = sorted_[i[there]] == k[there]
+    return there, np.where(there, i, 0)
+
+
+class Pairs:
+    """Contexts (words in order, their customers and tables) and pairs (keys in order, theirs), as far as asked for."""
+
+    def __init__(self, contexts: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], d: float):
+        self.contexts, self.pairs = ([x[np.argsort(t[0])] for x in t] for t in (contexts, pairs))
+        self.d = d
+
+    def refined(self, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Probabilities of words w after the words v, given those of the parents."""
+        out = p.copy()
+        met, i = placed(v, self.contexts[0])
+        i = i[met]
+        customers, tables = self.contexts[1][i], self.contexts[2][i]
+        out[met] *= (STRENGTH + self.d * tables) / (STRENGTH + customers)
+        both, j = placed(pair_keys(v, w), self.pairs[0])
+        j = j[both]
+        below = np.zeros(len(v))
+        below[met] = customers
+        out[both] += (self.pairs[1][j] - self.d * self.pairs[2][j]) / (STRENGTH + below[both])
+        return out
+
+
 def score(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; held_out is a boolean
     expression, and only rows where it is false are learned from."""
@@ -287,31 +398,49 @@ def score(docs: DataFrame, held_out) -> DataFrame:
     scratch = Scratch(spark, "lm")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    state, seen = learn(rows.where("not held_out"), scratch)
-    total = int(seen.c.sum())
+    pairs, d = learn_pairs(rows.where("not held_out"), scratch)
+    state, seen = learn_above(pairs, scratch)
+    total = state.agg(F.sum("n")).first()[0] or 0
     chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // CHUNK)))).cast("int")
     dealt = rows.withColumn("chunk", chunk).repartition("chunk")
 
     def asked(t: pa.Table) -> pa.Table:
-        words = [np.array([END])]
+        words, both = [np.array([END, BEGIN])], [np.zeros(0, np.int64)]
         raw, offsets = bw.texts(t.column("text"))
         for _, _, r, o in bw.chunks(raw, offsets):
-            words.append(np.unique(tokens(r, o)[0]))
-        w = np.unique(np.concatenate(words))
-        return pa.table({"chunk": pa.array(np.full(len(w), t.column("chunk")[0].as_py(), np.int32)), "w": pa.array(w)})
-
-    requests = dealt.groupBy("chunk").applyInArrow(asked, "chunk int, w long")
-    packed = state.mapInArrow(_pack, "w long, x binary, y binary")
-    answers = requests.join(packed, "w").select("chunk", "w", F.nullif("x", F.lit(b"")).alias("x"), F.nullif("y", F.lit(b"")).alias("y"))
+            k, _, first = tokens(r, o)
+            words.append(np.unique(k))
+            both.append(np.unique(pair_keys(before(k, first), k)))
+        w, p = np.unique(np.concatenate(words)), np.unique(np.concatenate(both))
+        n = len(w) + len(p)
+        return pa.table({"chunk": pa.array(np.full(n, t.column("chunk")[0].as_py(), np.int32)), "key": pa.array(np.concatenate([w, p])), "pair": pa.array(np.arange(n) >= len(w))})
+
+    requests = dealt.groupBy("chunk").applyInArrow(asked, "chunk int, key long, pair boolean")
+    # A word's row has what it is as a context, too: c and t are the customers and tables of the restaurant after it.
+    contexts = pairs.groupBy(F.col("v").alias("w")).agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
+    words = state.mapInArrow(_pack, "w long, x binary, y binary, n long").join(contexts, "w", "full")
+    words = words.select(F.col("w").alias("key"), F.lit(False).alias("pair"), F.nullif("x", F.lit(b"")).alias("x"), F.nullif("y", F.lit(b"")).alias("y"), "n", "c", "t")
+    keyed = pairs.select("v", "w", "c", "t").mapInArrow(_keyed, "key long, c long, t long")
+    keyed = keyed.select("key", F.lit(True).alias("pair"), *[F.lit(None).cast(kind).alias(x) for x, kind in (("x", "binary"), ("y", "binary"), ("n", "long"))], "c", "t")
+    answers = requests.join(words.unionByName(keyed), ["key", "pair"]).select("chunk", F.col("key").alias("w"), "pair", "x", "y", "n", "c", "t")
 
     def scored(t: pa.Table, answered: pa.Table) -> pa.Table:
-        known = Known.unpack(answered)
+        is_pair = answered.column("pair")
+        own = answered.filter(pa.compute.invert(is_pair))
+        column = lambda rows, x: rows.column(x).fill_null(0).to_numpy().astype(np.int64)
+        three = lambda rows: tuple(column(rows, x) for x in ("w", "c", "t"))
+        refine = Pairs(three(own), three(answered.select(["w", "c", "t"]).filter(is_pair)), d)
+        counts = column(own, "n")[np.argsort(column(own, "w"))]
+        known = Known.unpack(own)
         raw, offsets = bw.texts(t.column("text"))
         n = t.num_rows
         out = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n)}
         for lo, hi, r, o in bw.chunks(raw, offsets):
             k, u, first = tokens(r, o)
-            c, p = probabilities(k, u, known, seen)
+            p = refine.refined(before(k, first), k, probabilities(k, u, known, seen)[1])
+            there, i = placed(k, known.words)
+            c = np.zeros(len(k), np.int64)
+            c[there] = counts[i[there]]
             out["n_tokens"][lo:hi] = np.diff(first)
             for name, values in (("n_known", c > 0), ("base_score", np.log10((c + 1) / (total + seen.words + 1))), ("score", np.log10(p))):
                 out[name][lo:hi] = np.add.reduceat(values.astype(out[name].dtype), first[:-1])

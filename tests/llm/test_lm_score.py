@@ -71,3 +71,26 @@ def test_empty(documents):
     assert lm.score(documents([]), F.lit(False)).collect() == []
     rows = lm.score(documents(["a b"]), F.lit(True)).collect()
     assert rows[0].n_known == 0 and rows[0].train_tokens == 0
+
+
+def test_whole_previous_word_is_the_context(documents):
+    """cat and bat end in the same byte, so only the whole word tells what follows."""
+    train = ["cat sat . bat ran . " * 8] * 6
+    rows = {r.doc_id: r for r in lm.score(documents([*enumerate(train), (100, "cat sat bat ran"), (101, "cat ran bat sat")]), F.col("doc_id") >= 100).collect()}
+    assert rows[100].score > rows[101].score + 1
+
+
+def test_refined_probabilities_add_up_to_one(documents, spark):
+    from emberline.llm.common import ship
+
+    ship(spark)
+    pairs, d = lm.learn_pairs(documents([prose(i, 80) for i in range(20)]), Scratch(spark, "t"))
+    rows = pairs.collect()
+    assert all(1 <= r.t <= r.c for r in rows) and any(r.t > 1 for r in rows)
+    v, w, c, t = (np.array([r[x] for r in rows]) for x in ("v", "w", "c", "t"))
+    words, contexts = np.unique(w), np.unique(v)
+    sums = [np.array([x[v == k].sum() for k in contexts]) for x in (c, t)]
+    refine = lm.Pairs((contexts, *sums), (lm.pair_keys(v, w), c, t), d)
+    for k in [lm.BEGIN, *contexts[:5], np.int64(12345)]:
+        p = refine.refined(np.full(len(words) + 1, k), np.append(words, words.max() + 1), np.full(len(words) + 1, 1 / (len(words) + 1)))
+        assert abs(p.sum() - 1) < 1e-9
