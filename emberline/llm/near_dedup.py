@@ -34,11 +34,12 @@ from emberline.llm.common import Scratch, few, ship
 ROWS, BANDS = 5, 30
 K = ROWS * BANDS
 #: Share of equal (8-bit) coordinates below which a pair isn't compared exactly; at similarity 0.8 a
-#: signature falls below it with a probability of about 2e-6.
-LEAST_AGREEMENT = 0.65
-#: Before that, of 128 coordinates' lowest bits so many may differ: 12.8 are expected to at similarity 0.8,
-#: over 30 with a probability below 1e-6.
-MOST_BITS = 30
+#: signature falls below it with a probability of about 1e-7.
+LEAST_AGREEMENT = 0.62
+#: Before that, of a bit of each of 128 coordinates so many may differ: 12.8 are expected to at similarity 0.8,
+#: over 38 with a probability of about 1e-10. A coordinate is mixed before its bit is taken, as the lowest bits of
+#: neighbouring coordinates depend on each other where a set is small.
+MOST_BITS = 38
 PIVOT_ROUNDS = 2
 #: Members of a band that one task compares with as many others.
 BLOCK = 512
@@ -81,6 +82,11 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def few_bits(m: np.ndarray) -> np.ndarray:
+    """A bit of each of the first 128 coordinates of signatures (a row each), as two integers."""
+    return np.packbits((bw.mix(m[:, :128].astype(bw.U)) & bw.U(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
 def _signatures(width: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary()), ("x1", pa.int64()), ("x2", pa.int64())])
 
@@ -104,7 +110,7 @@ def _signatures(width: int):
                 h = bw.mix(h * bw.U(0xD6E8FEB86659FD93) + m[:, j::ROWS].astype(bw.U))
             two = np.array(ids, dtype=bw.U).reshape(-1, 2).view(np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS, dtype=np.int32)), pa.array(h.view(np.int64).ravel()))
-            bits = np.packbits((m[:, :128] & 1).astype(np.uint8), axis=1).view(np.int64)
+            bits = few_bits(m)
             sig8 = pa.FixedSizeBinaryArray.from_buffers(pa.binary(K), len(m), [None, pa.py_buffer(np.ascontiguousarray(m.astype(np.uint8)))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(two[:, 0]), pa.array(two[:, 1]), lists, sig8, pa.array(np.ascontiguousarray(bits[:, 0])), pa.array(np.ascontiguousarray(bits[:, 1]))], schema=schema)
 

@@ -106,3 +106,13 @@ def test_signature_shares_match_similarity():
             a, b = pool[: n + half], np.concatenate([pool[:n], pool[n + half :]])
             seen.append((near_dedup.signature(a) == near_dedup.signature(b)).mean())
         assert abs(np.mean(seen) - overlap) < 0.04
+
+
+def test_filters_keep_small_sets_at_the_threshold(documents):
+    """Four shingles, and the same with one more: many lowest bits of these signatures differ."""
+    rows = []
+    for i, k in enumerate((689, 1173, 1682, 2240, 3096, 5149, 5758, 8176)):
+        text = " ".join(f"w{k}x{j}" for j in range(7))
+        rows += [(2 * i, text), (2 * i + 1, text + " more")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(rows), 4, 80).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
