@@ -1,6 +1,9 @@
 """Document fingerprints as invertible Bloom lookup sketches of paragraph digests.
 
-A paragraph is a line that holds a word; its digest has 64 bits. A sketch has three tables of 2^b cells;
+A paragraph is a line that holds a word, or a piece of one of more than SHORT units. A unit is a word with the
+blank after it, and a character beyond ASCII ends one, too. Pieces end after units that their own hash
+chooses, one in SHARE, and after MOST units at the latest, so that an edit moves only the pieces around it. A
+paragraph's digest has 64 bits. A sketch has three tables of 2^b cells;
 a digest goes to one cell of each, which counts it and adds it, and a check of it, by exclusive or. The
 sketches of two versions are subtracted cell by cell, so that what both have cancels. Peeling then takes a
 cell that is left with one digest, as its check shows, takes that digest out of the other two tables, and
@@ -12,7 +15,7 @@ Everything is DataFrame expressions. A pair's cells are rows that stay in one pa
 rounds, and a round is an aggregation, so cost grows with the number of paragraphs, whatever the text.
 
 Defined results: a null text is empty. A text without a line that holds a word has no paragraphs; two such
-are alike by 1. Lines that repeat within a text count once. Rows with a null doc_id come after all others
+are alike by 1. Paragraphs that repeat within a text count once. Rows with a null doc_id come after all others
 in descending order, rows of equal doc_id in the order of their texts' hashes. A single row is followed by
 itself. An empty table gives no rows. Other columns are not read.
 """
@@ -24,6 +27,8 @@ from pyspark.sql import functions as F
 
 from emberline.llm.common import BLANKS, Scratch, bind, few
 
+#: Lines of more units than SHORT are cut, after one unit in SHARE and after MOST of them.
+SHORT, SHARE, MOST = 12, 8, 32
 #: Cells of a table of the fingerprint that is returned.
 SMALL = 4
 TABLES = 3
@@ -35,9 +40,27 @@ EDGES = 256
 LOWEST = -(1 << 63)
 
 
+def _pieces(line: Column) -> Column:
+    """The digests of a line's pieces."""
+
+    def cut(units: Column) -> Column:
+        n = F.size(units)
+
+        def between(ends: Column) -> Column:
+            # (end of the piece before, end), in numbers of units; long pieces are cut from their beginning on.
+            spans = F.transform(ends, lambda e, i: F.struct(F.coalesce(F.get(ends, i - 1), F.lit(0)).alias("from"), e.alias("to")))
+            starts = F.flatten(F.transform(spans, lambda x: F.transform(F.sequence(x["from"], x["to"] - 1, F.lit(MOST)), lambda o: F.struct(o.alias("at"), F.least(F.lit(MOST), x["to"] - o).alias("n")))))
+            return F.transform(starts, lambda x: F.xxhash64(F.concat_ws("", F.slice(units, x["at"] + 1, x["n"]))))
+
+        ends = F.filter(F.sequence(F.lit(1), n), lambda i: (i == n) | (F.pmod(F.xxhash64(F.get(units, i - 1)), F.lit(SHARE)) == 0))
+        return F.when(n <= SHORT, F.array(F.xxhash64(line))).otherwise(bind(ends, between))
+
+    return bind(F.filter(F.split(line, r"(?<=[\x20\x09-\x0D])|(?<=[^\x00-\x7F])"), lambda x: x != ""), cut)
+
+
 def digests(text: Column) -> Column:
     """The distinct digests of a text's paragraphs."""
-    return F.array_distinct(F.transform(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), lambda x: F.xxhash64(x)))
+    return F.array_distinct(F.flatten(F.transform(F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != ""), _pieces)))
 
 
 def _cell(digest: Column, table, cells: Column) -> Column:

@@ -57,3 +57,10 @@ def test_few_rows(documents):
     assert r.near_next == 1.0 and r.edited_sha256 == hashlib.sha256(b"a\na").hexdigest()
     rows = fingerprints.fingerprint_edits(documents([(None, "x y\nz"), (1, "p"), (1, "p"), (None, None)])).collect()
     assert len(rows) == 4
+
+
+def test_texts_of_one_line_keep_likeness(documents):
+    """Half of each text is edited; words, and characters of a script without blanks, in one line."""
+    texts = [" ".join(f"w{i}x{k}" for k in range(400)) for i in range(3)] + ["".join(chr(0x4E00 + (i * 977 + k * 31) % 5000) for k in range(600)) for i in range(3)]
+    for r in fingerprints.fingerprint_edits(documents(texts)).collect():
+        assert 0.15 < r.near_edited < 0.6 and r.near_next < r.near_edited
