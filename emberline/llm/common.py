@@ -19,6 +19,9 @@ ROWS_PER_BATCH = 400
 #: A side with at most this many narrow rows (about 16 bytes each) may be broadcast.
 BROADCAST_ROWS = 1_000_000
 
+#: Spark's setting to delete the files of a query's shuffles when it ends.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: The white space that separates words: U+0020 and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\f\r"
 
@@ -60,9 +63,15 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+    def keep(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
+        """df, written and read again; in a folder for each value of column `by`. Its shuffles' files go at once."""
         path = f"{self.root}/{tag}"
-        df.write.mode("overwrite").parquet(path)
+        before = self.spark.conf.get(CLEAN_UP, None)
+        self.spark.conf.set(CLEAN_UP, "true")
+        try:
+            (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
+        finally:
+            self.spark.conf.set(CLEAN_UP, before) if before is not None else self.spark.conf.unset(CLEAN_UP)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *tags: str) -> None:

@@ -8,20 +8,21 @@ table there and what the root keeps for new tables is the probability of any unk
 of known words and of the unknown add up to 1 in every context. A context that was never seen has the
 probabilities of its parent.
 
-What the corpus gives are a table with one row for each pair of words, (v, w, u, c, t), and from its tables
-one with a row for each word: its last-byte contexts, customers and tables. Gibbs sweeps go over both in
-parallel. A sweep takes, for each word and context, all its customers out and seats them anew one by one,
-given the tables of the other contexts; a customer opens a table with the probability of the Chinese
-restaurant process. From the 64th customer of a dish on, they are seated in blocks of a sixteenth of those
-before, by a binomial draw. Only 256 totals per sweep go to the driver; tasks of a sweep see the totals of
-the sweep before. Pairs are swept PAIR_SWEEPS times, each time given one sweep of the restaurants above; a
-pair seen once has one table. Their last draw stays; given it, the first sweep of the restaurants above is
-dropped and probabilities are averaged over SAMPLES further ones. Discounts are n1 / (n1 + 2 n2) of the
-counts of counts.
-
-To score, texts are dealt into chunks of about CHUNK bytes. Each chunk asks the tables for its distinct
-words and pairs and gets their rows, so what a task holds is bounded, and nothing that grows with the corpus
-is broadcast.
+A Gibbs sweep takes, for each dish of each restaurant, all its customers out and seats them anew one by one,
+given the tables of all others; a customer opens a table with the probability of the Chinese restaurant
+process. From the 64th customer of a dish on, they are seated in blocks of a sixteenth of those before, by a
+binomial draw. A sweep seats the words' contexts given the sweep before, then ABOVE times the restaurants
+above; tasks see the totals of the draw before. Probabilities are averaged over the sweeps after the first
+BURN. Discounts are n1 / (n1 + 2 n2) of the counts of counts. Draws depend on the words and the number of the
+sweep alone, so that every task which needs a dish's tables draws the same ones, also when it runs again.
+
+The corpus is cut into pieces of about PIECE tokens, each one row: its distinct words and pairs, and its
+texts as numbers of pairs. A piece deals the keys of its pairs to parts by their hash, so no word is a hot key;
+a part adds up their counts over all pieces and answers each piece in the order it asked. In every sweep a
+piece draws the tables of its pairs, and of what it counts (one of the pieces that hold a pair does) hands
+on the sums of each word to the word's range, which seats the restaurants above and answers likewise. What a
+task holds is bounded by PIECE, PART and RANGE; only 256 totals of a draw go to the driver. A single text is
+never cut, so a piece is as long as its longest text at least.
 
 Defined results: a null, empty or blank text is its end alone. Without training tokens all words are
 unknown. A null doc_id counts as not held out. Repeated rows count and score each for itself. An empty
@@ -31,34 +32,32 @@ table gives no rows. Other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import bytewords as bw
+from emberline.llm.blocks import cuts_of, joined, pack, pack_sorted, unpack, unpack_sorted
 from emberline.llm.common import Scratch, ship
 
-CHUNK = 12 << 20
-#: Words of the table that a sweep takes at once.
-ROWS = 200_000
-#: Tokens that a task counts before it hands on what it has.
-TOKENS = 4_000_000
-SAMPLES = 2
-PAIR_SWEEPS = 2
+#: Tokens of a piece, and for each part of the pairs and each range of the words.
+PIECE, PART, RANGE = 1_000_000, 500_000, 1_000_000
+SWEEPS, BURN, ABOVE = 3, 1, 2
 STRENGTH = 1.0
 END = np.int64(0x7E57AB1E0E0D1CE5)
 #: The word before the first.
 BEGIN = np.int64(0)
-#: One context of a word: the context, the customers, and the tables in each sample; and the same of up to 255.
-ENTRY = np.dtype([("u", "u1"), ("c", "<i4"), ("t", "<i4", (SAMPLES,))])
-SMALL = np.dtype([("u", "u1"), ("c", "u1"), ("t", "u1", (SAMPLES,))])
+#: Kinds of rows.
+REQUEST, COUNTS, TABLES, WORDS = 0, 1, 100, 200
+_BLOCKS = [*"abcdef"]
+_ROW = f"kind int, part int, piece long, {', '.join(f'{x} binary' for x in _BLOCKS)}"
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys and contexts of all tokens, and the first token of each text (n + 1 values)."""
+    """Keys and parents' contexts (the last byte before) of all tokens, and the first token of each text (n + 1 values)."""
     keys, first, starts, ends = bw.word_keys(raw, offsets)
     n, docs = len(keys), len(offsets) - 1
     last = bw.LOWER[raw[ends - 1]] if n else np.zeros(0, np.uint8)
@@ -78,387 +77,453 @@ def before(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return bw.mix(bw.mix(v.view(bw.U)) * bw.BASE + w.view(bw.U)).view(np.int64)
+    return bw.mix(bw.mix(v.view(bw.U)) * bw.BASE + w.view(bw.U))
+
+
+def sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of integers by place."""
+    return np.bincount(at, weights=values, minlength=n).astype(np.int64)[:n]
+
+
+# --- Pieces.
+
+
+def _piece(number: int, held: list) -> pa.RecordBatch:
+    """One row for texts (ids, held out, keys, parents' contexts, first tokens)."""
+    ids = pa.concat_arrays([x[0] for x in held])
+    out = np.concatenate([x[1] for x in held])
+    k = np.concatenate([x[2] for x in held])
+    size = np.concatenate([np.diff(x[4]) for x in held])
+    first = np.concatenate([[0], np.cumsum(size)])
+    words, w = np.unique(np.append(k, BEGIN).view(bw.U), return_inverse=True)
+    begin, w = w[-1], w[:-1]
+    v = np.empty_like(w)
+    v[1:] = w[:-1]
+    v[first[:-1]] = begin
+    last = np.zeros(len(words), np.uint8)
+    last[v] = np.concatenate([x[3] for x in held])
+    pairs, token = np.unique(w * len(words) + v, return_inverse=True)
+    learned = np.repeat(~out, size)
+    n = np.bincount(w[learned], minlength=len(words))
+    n[begin] = (~out).sum()
+    columns = {
+        "keys": pack_sorted(words),
+        "last": last.tobytes(),
+        "n": pack(n),
+        "pw": pack(np.bincount(pairs // len(words), minlength=len(words))),
+        "pv": pack(pairs % len(words)),
+        "pc": pack(np.bincount(token[learned], minlength=len(pairs))),
+        "held": out.astype(np.uint8).tobytes(),
+        "size": pack(size),
+        "token": pack(token),
+    }
+    ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([len(k)], pa.int64()), *[pa.array([x], pa.binary()) for x in columns.values()]], names=["piece", "ids", "tokens", *columns])
+
+
+def _cut(limit: int):
+    """doc_id, text and held_out as pieces of about limit tokens."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(v, w, u, c) of the training texts, summed over up to TOKENS tokens."""
+        number = TaskContext.get().partitionId() << 32
+        held, n = [], 0
+        for b in batches:
+            raw, offsets = bw.texts(b.column(1))
+            out = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
+            for lo, hi, r, o in bw.chunks(raw, offsets, min(bw.CHUNK, 8 * limit)):
+                k, u, first = tokens(r, o)
+                held.append((b.column(0).slice(lo, hi - lo), out[lo:hi], k, u, first))
+                n += len(k)
+                if n >= limit:
+                    yield _piece(number, held)
+                    number, held, n = number + 1, [], 0
+        if held:
+            yield _piece(number, held)
 
-    def summed(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        v, w, u = (np.concatenate(x) for x in zip(*parts))
-        _, at, c = np.unique(pair_keys(v, w), return_index=True, return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(v[at]), pa.array(w[at]), pa.array(u[at].astype(np.int16)), pa.array(c)], names=["v", "w", "u", "c"])
+    return run
 
-    parts, n = [], 0
-    for b in batches:
-        raw, offsets = bw.texts(b.column(0))
-        for _, _, r, o in bw.chunks(raw, offsets):
-            k, u, first = tokens(r, o)
-            parts.append((before(k, first), k, u))
-            n += len(k)
-            if n >= TOKENS:
-                yield summed(parts)
-                parts, n = [], 0
-    if n:
-        yield summed(parts)
 
+_PIECE = "keys binary, last binary, n binary, pw binary, pv binary, pc binary, held binary, size binary, token binary"
 
-def discount(n1: int, n2: int) -> float:
-    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
+class Piece:
+    """The words and pairs of a piece. Pairs lie by word, then context; `order` sorts them by key."""
 
-class Totals:
-    """What a sweep and the scores need of the whole table: of each context the customers and tables, and
-    the numbers of words, tokens and discounts."""
+    def __init__(self, get):
+        self.keys = unpack_sorted(get("keys"))
+        of = unpack(get("pw"))
+        self.w, self.v = np.repeat(np.arange(len(of)), of), unpack(get("pv"))
+        self.pairs = pair_keys(self.keys[self.v], self.keys[self.w])
+        self.order = np.argsort(self.pairs)
 
-    def __init__(self, rows: list, samples: int):
-        self.c = np.zeros(256)
-        self.t = np.zeros((samples, 256))
-        self.words = self.n1 = self.n2 = self.r1 = self.r2 = 0
-        for r in rows:
-            if r.u >= 0:
-                self.c[r.u], self.t[:, r.u] = r.c, r.t
-                self.n1, self.n2 = self.n1 + r.n1, self.n2 + r.n2
-            else:
-                self.words, self.r1, self.r2 = r.c, r.n1, r.n2
-        self.d, self.d0 = discount(self.n1, self.n2), discount(self.r1, self.r2)
+    def with_parents(self, get) -> Piece:
+        """Also the restaurants above that the words are dishes of (word * 256 + last byte before), and that of each pair."""
+        self.u = np.frombuffer(get("last"), np.uint8)[self.v]
+        self.dishes, self.dish = np.unique(self.w * 256 + self.u, return_inverse=True)
+        return self
 
-    def root(self, s: int) -> tuple[float, float]:
-        """(what divides the root's counts, the probability of an unknown word)."""
-        all_ = STRENGTH + self.t[s].sum()
-        return all_, (STRENGTH + self.d0 * self.words) / all_
 
+def _getter(rows: pa.Table | pa.RecordBatch, i: int):
+    return lambda name: rows.column(name)[i].as_py()
 
-def totals(state: DataFrame, column: list[str]) -> Totals:
-    """Totals of a table (w, u, c, and the columns of tables named)."""
-    k = len(column)
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((257, 3 + k), np.int64)
-        for b in grouped(batches):
-            u, c, *t = (bw_flat(b.column(i)) for i in range(2 + k))
-            at = lists_of(b.column(0))
-            for j, x in enumerate([c, c == 1, c == 2, *t]):
-                out[:256, j] += np.bincount(u, weights=x, minlength=256).astype(np.int64)
-            root = np.add.reduceat(t[0], at[:-1]) if len(at) > 1 and len(t[0]) else np.zeros(0)
-            out[256, :3] += [len(root), (root == 1).sum(), (root == 2).sum()]
-        names = [*range(256), -1]
-        yield pa.RecordBatch.from_arrays([pa.array(np.array(names, np.int32)), *[pa.array(out[:, j]) for j in range(3)], pa.array(out[:, 3:].tolist(), pa.list_(pa.int64()))], names=["u", "c", "n1", "n2", "t"])
+def _row(kind: int, part: int, piece: int, *blocks: bytes) -> tuple:
+    return (kind, part, piece, *blocks, *[None] * (len(_BLOCKS) - len(blocks)))
 
-    parts = state.select("u", "c", *column).mapInArrow(partial, "u int, c long, n1 long, n2 long, t array<long>")
-    rows = parts.groupBy("u").agg(*[F.sum(x).alias(x) for x in ("c", "n1", "n2")], F.array(*[F.sum(F.col("t")[i]) for i in range(k)]).alias("t")).collect()  # 257 rows
-    return Totals(rows, k)
 
+def _table(rows: list[tuple]) -> pa.Table:
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * len(_BLOCKS)]
+    columns = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["kind", "part", "piece", *_BLOCKS])
 
-def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about ROWS."""
-    held, n = [], 0
 
-    def joined() -> pa.RecordBatch:
-        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+def _ask_counts(parts: int):
+    """The keys of each piece's pairs and their counts, for each part."""
 
-    for b in batches:
-        if b.num_rows:
-            held.append(b)
-            n += b.num_rows
-        if n >= ROWS:
-            yield joined()
-            held, n = [], 0
-    if n:
-        yield joined()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                get = _getter(b, i)
+                p = Piece(get)
+                keys, c = p.pairs[p.order], unpack(get("pc"))[p.order]
+                at = cuts_of(keys, parts)
+                rows = [_row(REQUEST, r, get("piece"), pack_sorted(keys[x:y]), pack(c[x:y])) for r, (x, y) in enumerate(zip(at[:-1], at[1:])) if x < y]
+                yield from _table(rows).to_batches()
+
+    return run
+
+
+def _add_counts(t: pa.Table) -> pa.Table:
+    """For each piece its pairs' counts over all pieces, and of which it is the one that counts them; and a row
+    of no piece with the numbers of pairs seen once and twice."""
+    blocks = [(unpack_sorted(k), unpack(c)) for k, c in zip(t.column("a").to_pylist(), t.column("b").to_pylist())]
+    sizes = [len(k) for k, _ in blocks]
+    piece = t.column("piece").to_numpy()
+    at = np.repeat(np.arange(len(blocks)), sizes)
+    c = np.concatenate([c for _, c in blocks])
+    keys, which = np.unique(np.concatenate([k for k, _ in blocks]), return_inverse=True)
+    total = sums(which, c, len(keys))
+    # Of the pieces that learn a pair the one with the least hash counts it, so that all count about as many.
+    there = np.flatnonzero(c > 0)
+    by = there[np.lexsort((bw.mix(keys[which[there]] ^ bw.mix(piece[at[there]].view(bw.U))), which[there]))]
+    own = np.zeros(len(c), np.int64)
+    own[by[np.diff(which[by], prepend=-1) > 0]] = 1
+    cuts = np.cumsum([0, *sizes])
+    part = t.column("part")[0].as_py()
+    rows = [_row(COUNTS, part, int(p), pack(total[which[x:y]]), pack(own[x:y])) for p, x, y in zip(piece, cuts[:-1], cuts[1:])]
+    rows.append(_row(COUNTS, part, -1, pack(np.array([(total == 1).sum(), (total == 2).sum()]))))
+    return _table(rows)
+
+
+# --- Seating.
 
 
-def bw_flat(column: pa.ListArray) -> np.ndarray:
-    """All values of a column of lists."""
-    return column.flatten().to_numpy(zero_copy_only=False)
+def discount(n1: int, n2: int) -> float:
+    return min(0.95, max(0.05, n1 / (n1 + 2 * n2))) if n1 else 0.5
 
 
-def lists_of(column: pa.ListArray) -> np.ndarray:
-    """Where each list begins among the flat values (n + 1 values)."""
-    offsets = column.offsets.to_numpy(zero_copy_only=False).astype(np.int64)
-    return offsets - offsets[0]
+def binomial(n: np.ndarray, p: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """Binomial draws that depend on seeds alone; where the variance is above 25, rounded normal ones."""
+    h = bw.mix(seeds)
+    x = (h >> bw.U(11)).astype(np.float64) * 2.0**-53
+    if (n == 1).all():
+        return (x < p).astype(np.int64)
+    low = np.minimum(p, 1 - p)
+    mean, spread = n * low, np.sqrt(n * low * (1 - low))
+    y = ((bw.mix(h ^ bw.BASE) >> bw.U(11)).astype(np.float64) + 1) * 2.0**-53
+    out = np.clip(np.rint(mean + spread * np.sqrt(-2 * np.log(y)) * np.cos(2 * np.pi * x)), 0, n).astype(np.int64)
+    live = np.flatnonzero(spread <= 5)
+    out[live] = 0
+    mass = (1 - low[live]) ** n[live]
+    up, k = mass.copy(), 0
+    while len(live):
+        more = (x[live] >= up) & (k < n[live])
+        live, mass, up = live[more], mass[more], up[more]
+        out[live] += 1
+        mass = mass * (n[live] - k) / (k + 1) * low[live] / (1 - low[live])
+        up, k = up + mass, k + 1
+    return np.where(p > 0.5, n - out, out)
 
 
-def seat(c: np.ndarray, t_other: np.ndarray, open_: np.ndarray, d: float, d0: float, all_: float | np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """New numbers of tables of dishes with c customers each. t_other: the parent's customers of the same word from
+def seat(c: np.ndarray, others: np.ndarray, open_: np.ndarray, d: float, d0: float, all_: float | np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """New numbers of tables of dishes with c customers each. others: the parent's customers of the same word from
     other contexts; open_: strength + discount * tables of the restaurant without this dish; all_: what
     divides the parent's counts."""
-    t, all_ = np.ones(len(c), np.int64), np.broadcast_to(all_, len(c))
+    t, all_ = np.minimum(c, 1).astype(np.int64), np.broadcast_to(all_, len(c))
     live = np.flatnonzero(c > 1)
     k = 1
     while len(live):
         step = 1 if k < 64 else k // 16
         n = np.minimum(step, c[live] - k)
         own = t[live]
-        fresh = (open_[live] + d * own) * np.maximum(t_other[live] + own - d0, 0) / all_[live]
-        t[live] += rng.binomial(n, fresh / (fresh + np.maximum(k - d * own, 1e-9)))
+        fresh = (open_[live] + d * own) * np.maximum(others[live] + own - d0, 0) / all_[live]
+        t[live] += binomial(n, fresh / (fresh + np.maximum(k - d * own, 1e-9)), seeds[live] ^ bw.mix(np.array([k], bw.U)))
         k += step
         live = live[c[live] > k]
     return t
 
 
-def _sweep(state: DataFrame, seen: Totals, source: str, target: str, number: int) -> DataFrame:
-    """state with the column target: tables drawn given those in source."""
+class Totals:
+    """What a draw and the scores need of all restaurants above: of each the customers and tables, and the numbers
+    of words, tokens and discounts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_, _ = seen.root(0)
-        for b in grouped(batches):
-            names = b.schema.names
-            at = lists_of(b.column("u"))
-            u, c, t = (bw_flat(b.column(x)).astype(np.int64) for x in ("u", "c", source))
-            of = np.repeat(np.arange(b.num_rows), np.diff(at))
-            others = np.add.reduceat(t, at[:-1])[of] - t
-            rng = np.random.default_rng([number, int(b.column("w")[0].as_py()) & ((1 << 63) - 1)])
-            new = seat(c, others, STRENGTH + seen.d * (seen.t[0][u] - t), seen.d, seen.d0, all_, rng)
-            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(new.astype(np.int32)))
-            columns = {x: b.column(x) for x in names} | {target: lists}
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-    schema = ", ".join(f"{x} {kind}" for x, kind in state.dtypes if x != target) + f", {target} array<int>"
-    return state.mapInArrow(run, schema)
-
-
-def _above(pairs: DataFrame, scratch: Scratch, tag: str) -> DataFrame:
-    """(w, u, c, n, t): of every word the last-byte contexts, their customers, which are the tables of pairs, the
-    word's tokens and one table each."""
-    held = pairs.groupBy("w", "u").agg(F.sum("t").cast("int").alias("c"), F.sum("c").alias("n")).repartition("w").groupBy("w")
-    held = held.agg(F.array_sort(F.collect_list(F.struct("u", "c"))).alias("x"), F.sum("n").alias("n"))  # at most 256 a word
-    ones = F.transform("x", lambda x: F.lit(1))
-    return scratch.keep(held.select("w", F.col("x.u").cast("array<int>").alias("u"), F.col("x.c").alias("c"), "n", ones.alias("t")), f"{tag}-0")
-
-
-def _pair_sweep(pairs: DataFrame, state: DataFrame, seen: Totals, d: float, number: int) -> DataFrame:
-    """pairs (v, w, u, c, t) of several customers with tables drawn given those of state."""
-
-    def parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """(w, u, a): the probability of w in u, times what divides the counts of u."""
-        all_, _ = seen.root(0)
-        for b in grouped(batches):
-            at = lists_of(b.column("u"))
-            u, c, t = (bw_flat(b.column(x)).astype(np.int64) for x in ("u", "c", "t"))
-            of = np.repeat(np.arange(b.num_rows), np.diff(at))
-            root = np.maximum(np.add.reduceat(t, at[:-1])[of] - seen.d0, 0) / all_
-            a = c - seen.d * t + (STRENGTH + seen.d * seen.t[0][u]) * root
-            yield pa.RecordBatch.from_arrays([pa.array(b.column("w").to_numpy()[of]), pa.array(u.astype(np.int16)), pa.array(a)], names=["w", "u", "a"])
+    def __init__(self, rows: list):
+        self.c, self.t = np.zeros(256), np.zeros(256)
+        self.words = self.tokens = self.n1 = self.n2 = self.r1 = self.r2 = 0
+        for r in rows:
+            if r.u >= 0:
+                self.c[r.u], self.t[r.u] = r.c, r.t
+                self.n1, self.n2 = self.n1 + r.n1, self.n2 + r.n2
+            else:
+                self.words, self.tokens, self.r1, self.r2 = r.c, r.t, r.n1, r.n2
+        self.d, self.d0 = discount(self.n1, self.n2), discount(self.r1, self.r2)
+        #: What divides the root's counts, and the probability of an unknown word.
+        self.all = STRENGTH + self.t.sum()
+        self.unknown = (STRENGTH + self.d0 * self.words) / self.all
+
+    def root(self, n: np.ndarray, tables: np.ndarray) -> np.ndarray:
+        """Probabilities at the root of words with n training tokens and so many customers there."""
+        return np.where(n > 0, np.maximum(tables - self.d0, 0) / self.all, self.unknown)
+
+    def parent(self, u: np.ndarray, c: np.ndarray, t: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """Probabilities in the restaurants u, times what divides their counts, of dishes with c customers and t tables."""
+        return c - self.d * t + (STRENGTH + self.d * self.t[u]) * root
+
+
+class Words:
+    """A range's words: tokens, tables of the restaurants after them; and their dishes above (place * 256 + last byte
+    before) with customers and tables."""
+
+    def __init__(self, get, history: list[Totals], salt: int):
+        self.keys, self.n, self.after = unpack_sorted(get("keys")), unpack(get("n")), unpack(get("after"))
+        self.dishes, self.c = unpack_sorted(get("dishes")).astype(np.int64), unpack(get("c"))
+        self.of, self.u = self.dishes >> 8, self.dishes & 255
+        self.t = np.minimum(self.c, 1)
+        self.root = sums(self.of, self.t, len(self.keys))
+        seeds = bw.mix(self.keys[self.of] * bw.BASE + self.u.astype(bw.U))
+        for j, seen in enumerate(history):
+            own = seeds ^ bw.mix(np.array([salt * 1009 + j], bw.U))
+            self.t = seat(self.c, self.root[self.of] - self.t, STRENGTH + seen.d * (seen.t[self.u] - self.t), seen.d, seen.d0, seen.all, own)
+            self.root = sums(self.of, self.t, len(self.keys))
+
+
+def _add_words(t: pa.Table) -> pa.Table:
+    """One row for a range: what its words' pieces hand on, added up, and what each of them asks for."""
+    part, pieces = t.column("part")[0].as_py(), t.column("piece").to_pylist()
+    column = lambda x: t.column(x).to_pylist()
+    blocks = [unpack_sorted(x) for x in column("a")]
+    keys, which = np.unique(np.concatenate(blocks), return_inverse=True)
+    n, after = (sums(which, np.concatenate([unpack(x) for x in column(name)]), len(keys)) for name in ("b", "c"))
+    u = [np.frombuffer(x, np.uint8) for x in column("e")]
+    of = np.repeat(which, np.concatenate([unpack(x) for x in column("d")]))
+    dishes, dish = np.unique(of * 256 + np.concatenate(u), return_inverse=True)
+    c = sums(dish, np.concatenate([unpack(x) for x in column("f")]), len(dishes))
+    at, held = np.cumsum([0, *map(len, blocks)]), np.cumsum([0, *map(len, u)])
+    lists = lambda x, cuts: pa.array([[pack_sorted(x[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]], pa.list_(pa.binary()))
+    own = [pa.array([x], pa.binary()) for x in (pack_sorted(keys), pack(n), pack(after), pack_sorted(dishes), pack(c))]
+    return pa.table([pa.array([part], pa.int32()), *own, pa.array([pieces], pa.list_(pa.int64())), lists(which, at), lists(dish, held)], names=["part", "keys", "n", "after", "dishes", "c", "pieces", "asked", "asked_dishes"])
+
+
+_WORDS = "part int, keys binary, n binary, after binary, dishes binary, c binary, pieces array<long>, asked array<binary>, asked_dishes array<binary>"
+
+
+def totals(words: DataFrame, history: list[Totals], salt: int) -> Totals:
+    """Totals of the restaurants above after as many draws as there are totals before."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((257, 4), np.int64)
+        for b in batches:
+            for i in range(b.num_rows):
+                x = Words(_getter(b, i), history, salt)
+                for j, values in enumerate((x.c, x.t, x.c == 1, x.c == 2)):
+                    out[:256, j] += sums(x.u, values, 256)
+                known = (x.n > 0) & (x.keys != BEGIN.view(bw.U))
+                out[256] += [known.sum(), x.n[known].sum(), (x.root[known] == 1).sum(), (x.root[known] == 2).sum()]
+        yield pa.RecordBatch.from_arrays([pa.array(np.array([*range(256), -1], np.int32)), *[pa.array(out[:, j]) for j in range(4)]], names=["u", "c", "t", "n1", "n2"])
+
+    parts = words.select("keys", "n", "after", "dishes", "c").mapInArrow(partial, "u int, c long, t long, n1 long, n2 long")
+    return Totals(parts.groupBy("u").agg(*[F.sum(x).alias(x) for x in ("c", "t", "n1", "n2")]).collect())  # 257 rows
+
+
+def _answer(history: list[Totals], salt: int, kind: int):
+    """For each piece of its words tokens, tables after them and customers of the root, of its dishes customers and tables."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in grouped(batches):
-            v, w, u, c, t, a, open_ = (b.column(x).to_numpy(zero_copy_only=False) for x in ("v", "w", "u", "c", "t", "a", "tables"))
-            rng = np.random.default_rng([1, number, int(pair_keys(v[:1], w[:1])[0]) & ((1 << 63) - 1)])
-            new = seat(c.astype(np.int64), a - t, STRENGTH + d * (open_ - t), d, 0.0, STRENGTH + seen.c[u], rng)
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in ("v", "w", "u", "c")), pa.array(new)], names=["v", "w", "u", "c", "t"])
-
-    above = state.select("w", "u", "c", "t").mapInArrow(parents, "w long, u short, a double")
-    tables = pairs.groupBy("v").agg(F.sum("t").alias("tables"))
-    return pairs.where("c > 1").join(above, ["w", "u"]).join(tables, "v").mapInArrow(run, "v long, w long, u short, c long, t long")
-
-
-def learn_pairs(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, float]:
-    """((v, w, u, c, t), discount): customers and tables of every word w after every word v, u the last byte of v."""
-    counted = docs.select("text").mapInArrow(_counted, "v long, w long, u short, c long").groupBy("v", "w").agg(F.first("u").alias("u"), F.sum("c").alias("c"))
-    pairs = counted = scratch.keep(counted.withColumn("t", F.lit(1).cast("long")), "pairs")
-    few_ = counted.agg(F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2")).first()
-    d = discount(few_.n1, few_.n2)
-    for k in range(PAIR_SWEEPS):
-        state = _above(pairs, scratch, f"above-{k}")
-        state = scratch.keep(_sweep(state, totals(state, ["t"]), "t", "t", 100 + k), f"above-{k}-1")
-        drawn = scratch.keep(_pair_sweep(pairs, state, totals(state, ["t"]), d, k), f"pairs-{k}")
-        pairs = counted.where("c = 1").unionByName(drawn)
-        scratch.drop(f"above-{k}-0", f"above-{k}-1", f"pairs-{k - 1}")
-    return pairs, d
-
-
-def learn_above(pairs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Totals]:
-    """(w, u, c, n, t, t0, ...): the last-byte contexts, customers and sampled tables of every word, and totals."""
-    state = _above(pairs, scratch, "state")
-    for k in range(1 + SAMPLES):
-        # The chain goes on from the last draw; all but the first are kept.
-        source = "t" if k < 2 else f"t{k - 2}"
-        target = "t" if k == 0 else f"t{k - 1}"
-        state = scratch.keep(_sweep(state, totals(state, [source]), source, target, k), f"state-{k + 1}")
-        scratch.drop(f"state-{k}")
-    return state, totals(state, [f"t{s}" for s in range(SAMPLES)])
-
-
-def learn(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, Totals]:
-    """The restaurants above those of whole words, learned from texts."""
-    return learn_above(learn_pairs(docs, scratch)[0], scratch)
-
-
-def _records(values: np.ndarray, at: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(w, x, y, n): the contexts of a word as SMALL records as far as they fit, the others as ENTRY records."""
-    for b in grouped(batches):
-        at = lists_of(b.column("u"))
-        x = np.zeros(int(at[-1]), ENTRY)
-        x["u"], x["c"] = bw_flat(b.column("u")), bw_flat(b.column("c"))
-        for s in range(SAMPLES):
-            x["t"][:, s] = bw_flat(b.column(f"t{s}"))
-        little = x["c"] < 256
-        before = np.concatenate([[0], np.cumsum(little)])[at]
-        yield pa.RecordBatch.from_arrays([b.column("w"), _records(x[little].astype(SMALL), before), _records(x[~little], at - before), b.column("n")], names=["w", "x", "y", "n"])
-
-
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, c, t) of pairs."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(pair_keys(b.column("v").to_numpy(), b.column("w").to_numpy())), b.column("c"), b.column("t")], names=["key", "c", "t"])
-
-
-class Known:
-    """Words (in order), and of each the customers, the root's customers in each sample, and its contexts."""
-
-    def __init__(self, words: np.ndarray, at: np.ndarray, x: np.ndarray):
-        self.words, self.x = words, x
-        of = np.repeat(np.arange(len(words)), np.diff(at))
-        n = max(1, len(words))
-        self.count = np.bincount(of, weights=x["c"], minlength=n)
-        self.tables = [np.bincount(of, weights=x["t"][:, s], minlength=n) for s in range(SAMPLES)]
-        self.place = of * 256 + x["u"]
-        if len(of) and (np.diff(self.place) <= 0).any():
-            order = np.argsort(self.place)
-            self.place, self.x = self.place[order], x[order]
-
-    @classmethod
-    def unpack(cls, rows: pa.Table) -> Known:
-        w = rows.column("w").to_numpy().astype(np.int64)
-        order = np.argsort(w)
-        rank = np.empty(len(w), np.int64)
-        rank[order] = np.arange(len(w))
-        parts, owners = [], []
-        for name, kind in (("x", SMALL), ("y", ENTRY)):
-            data, at = bw_binary(rows.column(name))
-            parts.append(np.frombuffer(data, kind).astype(ENTRY))
-            owners.append(np.repeat(rank, np.diff(at) // kind.itemsize))
-        x, of = np.concatenate(parts), np.concatenate(owners)
-        by = np.argsort(of * 256 + x["u"])
-        return cls(w[order], np.searchsorted(of[by], np.arange(len(w) + 1)), x[by])
-
-
-def probabilities(k: np.ndarray, u: np.ndarray, known: Known, seen: Totals) -> tuple[np.ndarray, np.ndarray]:
-    """(customers of last-byte contexts, probability given the last byte) of tokens with keys k in contexts u."""
-    words, x = known.words, known.x
-    i = np.searchsorted(words, k)
-    there = i < len(words)
-    there[there] = words[i[there]] == k[there]
-    i = np.where(there, i, 0)
-    key = i * 256 + u
-    j = np.searchsorted(known.place, key)
-    met = there & (j < len(known.place))
-    met[met] = known.place[j[met]] == key[met]
-    j = j[met]
-    p = np.zeros(len(k))
-    below = STRENGTH + seen.c
-    for s in range(SAMPLES):
-        all_, unknown = seen.root(s)
-        root = np.where(there, np.maximum(known.tables[s][i] - seen.d0, 0) / all_, unknown)
-        p += np.where(seen.c > 0, (STRENGTH + seen.d * seen.t[s]) / below, 1.0)[u] * root / SAMPLES
-        p[met] += (x["c"][j] - seen.d * x["t"][j, s]) / below[u[met]] / SAMPLES
-    return np.where(there, known.count[i], 0), p
-
-
-def placed(k: np.ndarray, sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether each of k is in sorted_, where)."""
-    i = np.searchsorted(sorted_, k)
-    there = i < len(sorted_)
-    there[there] = sorted_[i[there]] == k[there]
-    return there, np.where(there, i, 0)
-
-
-class Pairs:
-    """Contexts (words in order, their customers and tables) and pairs (keys in order, theirs), as far as asked for."""
-
-    def __init__(self, contexts: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray, np.ndarray], d: float):
-        self.contexts, self.pairs = ([x[np.argsort(t[0])] for x in t] for t in (contexts, pairs))
-        self.d = d
-
-    def refined(self, v: np.ndarray, w: np.ndarray, p: np.ndarray) -> np.ndarray:
-        """Probabilities of words w after the words v, given those of the parents."""
-        out = p.copy()
-        met, i = placed(v, self.contexts[0])
-        i = i[met]
-        customers, tables = self.contexts[1][i], self.contexts[2][i]
-        out[met] *= (STRENGTH + self.d * tables) / (STRENGTH + customers)
-        both, j = placed(pair_keys(v, w), self.pairs[0])
-        j = j[both]
-        below = np.zeros(len(v))
-        below[met] = customers
-        out[both] += (self.pairs[1][j] - self.d * self.pairs[2][j]) / (STRENGTH + below[both])
-        return out
-
-
-def score(docs: DataFrame, held_out) -> DataFrame:
+        for b in batches:
+            for i in range(b.num_rows):
+                get = _getter(b, i)
+                x = Words(get, history, salt)
+                rows = []
+                for piece, words, dishes in zip(get("pieces"), get("asked"), get("asked_dishes")):
+                    w, d = unpack_sorted(words).astype(np.int64), unpack_sorted(dishes).astype(np.int64)
+                    rows.append(_row(kind, get("part"), piece, pack(x.n[w]), pack(x.after[w]), pack(x.root[w]), pack(x.c[d]), pack(x.t[d])))
+                yield from _table(rows).to_batches()
+
+    return run
+
+
+class Answers:
+    """What a piece got: by kind the blocks of all parts, in order."""
+
+    def __init__(self, t: pa.Table):
+        kind, part = (t.column(x).to_numpy() for x in ("kind", "part"))
+        order = np.lexsort((part, kind))
+        self.rows = {int(k): order[kind[order] == k] for k in np.unique(kind)}
+        self.columns = {x: t.column(x) for x in _BLOCKS}
+
+    def of(self, kind: int, column: str) -> np.ndarray:
+        return joined([unpack(self.columns[column][int(i)].as_py()) for i in self.rows.get(kind, ())])
+
+
+def _sweep(number: int, d: float, seen: Totals | None, ranges: int):
+    """A piece's rows of tables, drawn given those before (each pair one table in sweep 0), and what it hands on of each range of words."""
+
+    def run(pieces: pa.Table, answered: pa.Table) -> pa.Table:
+        get = _getter(pieces, 0)
+        p, got = Piece(get).with_parents(get), Answers(answered)
+        c, own = np.empty(len(p.w), np.int64), np.empty(len(p.w), np.int64)
+        c[p.order], own[p.order] = got.of(COUNTS, "a"), got.of(COUNTS, "b")
+        t = np.minimum(c, 1)
+        if number:
+            old = got.of(TABLES + number - 1, "a") if number > 1 else t
+            n, after, tables, above, above_t = (got.of(WORDS + number - 1, x) for x in "abcde")
+            live = np.flatnonzero(c > 1)
+            w, v, u, dish = p.w[live], p.v[live], p.u[live], p.dish[live]
+            parent = seen.parent(u, above[dish], above_t[dish], seen.root(n, tables)[w])
+            seeds = p.pairs[live] ^ bw.mix(np.array([number], bw.U))
+            t[live] = seat(c[live], parent - old[live], STRENGTH + d * (after[v] - old[live]), d, 0.0, STRENGTH + seen.c[u], seeds)
+        n = unpack(get("n"))
+        after, customers = sums(p.v, t * own, len(p.keys)), sums(p.dish, t * own, len(p.dishes))
+        word, u = p.dishes >> 8, (p.dishes & 255).astype(np.uint8)
+        at = cuts_of(p.keys, ranges)
+        held = np.searchsorted(word, at)
+        per = np.bincount(word, minlength=len(p.keys))
+        piece = get("piece")
+        rows = [
+            _row(REQUEST, q, piece, pack_sorted(p.keys[x:y]), pack(n[x:y]), pack(after[x:y]), pack(per[x:y]), u[i:j].tobytes(), pack(customers[i:j]))
+            for q, (x, y, i, j) in enumerate(zip(at[:-1], at[1:], held[:-1], held[1:]))
+            if x < y
+        ]
+        if number:
+            rows.append(_row(TABLES + number, 0, piece, pack(t)))
+        return _table(rows)
+
+    return run
+
+
+def _scored(samples: list[tuple[int, Totals]], d: float):
+    """The rows of a piece's texts, with probabilities averaged over the sweeps in samples."""
+
+    def run(pieces: pa.Table, answered: pa.Table) -> pa.Table:
+        get = _getter(pieces, 0)
+        p, got = Piece(get).with_parents(get), Answers(answered)
+        c = np.empty(len(p.w), np.int64)
+        c[p.order] = got.of(COUNTS, "a")
+        mean = np.zeros(len(p.w))
+        for k, seen in samples:
+            n, after, tables, above, above_t = (got.of(WORDS + k, x) for x in "abcde")
+            mean += refined(p, c, got.of(TABLES + k, "a"), n, after, d, parents(p, n, tables, above, above_t, seen)) / len(samples)
+        seen = samples[-1][1]
+        token, first = unpack(get("token")), np.concatenate([[0], np.cumsum(unpack(get("size")))])
+        base = np.log10((n + 1) / (seen.tokens + seen.words + 1))
+        added = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
+        columns = [added((n > 0)[p.w][token].astype(np.int64)), added(base[p.w][token]), added(np.log10(mean)[token])]
+        ids = pieces.column("ids").combine_chunks().flatten()
+        held = pa.array(np.frombuffer(get("held"), np.uint8).astype(bool))
+        return pa.table([ids, held, pa.array(np.diff(first)), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
+
+    return run
+
+
+def parents(p: Piece, n: np.ndarray, tables: np.ndarray, above: np.ndarray, above_t: np.ndarray, seen: Totals) -> np.ndarray:
+    """The probability of each dish of p in its restaurant above."""
+    u = p.dishes & 255
+    root = seen.root(n, tables)[p.dishes >> 8]
+    return np.where(seen.c[u] > 0, seen.parent(u, above, above_t, root) / (STRENGTH + seen.c[u]), root)
+
+
+def refined(p: Piece, c: np.ndarray, t: np.ndarray, n: np.ndarray, after: np.ndarray, d: float, parent: np.ndarray) -> np.ndarray:
+    """The probability of each pair of p in its word's restaurant, given those of its dishes above."""
+    below = STRENGTH + n[p.v]  # a word has as many customers after it as it has tokens
+    return (c - d * t + (STRENGTH + d * after[p.v]) * parent[p.dish]) / below
+
+
+# --- Learning and scoring.
+
+
+def _cogrouped(pieces: DataFrame, answers: list[DataFrame], f, schema: str) -> DataFrame:
+    return pieces.groupBy("piece").cogroup(reduce(DataFrame.unionByName, answers).groupBy("piece")).applyInArrow(f, schema)
+
+
+class Learned:
+    """Pieces, the answers that sweeps and scores read, the discount of the words' restaurants and the totals of
+    every sweep."""
+
+    def __init__(self, rows: DataFrame, scratch: Scratch, piece: int = PIECE, part: int = PART, range_: int = RANGE):
+        """rows: doc_id, text (not null) and held_out."""
+        self.id_type = dict(rows.dtypes)["doc_id"]
+        self.pieces = scratch.keep(rows.select("doc_id", "text", "held_out").mapInArrow(_cut(piece), f"piece long, ids array<{self.id_type}>, tokens long, {_PIECE}"), "pieces")
+        n = self.pieces.agg(F.sum("tokens")).first()[0] or 0
+        parts, ranges = (max(1, -(-n // x)) for x in (part, range_))
+        asked = self.pieces.select("piece", "keys", "pw", "pv", "pc").mapInArrow(_ask_counts(parts), _ROW)
+        counts = scratch.keep(asked.groupBy("part").applyInArrow(_add_counts, _ROW), "counts")
+        self.d = _discount(counts)
+        self.counts = counts.where("piece >= 0")
+        self.tables: dict[int, DataFrame] = {}
+        self.words: dict[int, DataFrame] = {}
+        self.totals: dict[int, Totals] = {}
+        for k in range(SWEEPS + 1):
+            self._sweep(k, ranges, scratch)
+
+    def _sweep(self, k: int, ranges: int, scratch: Scratch) -> None:
+        given = [self.counts, *[x[k - 1] for x in (self.words, self.tables) if k - 1 in x]]
+        pieces = self.pieces.select("piece", "keys", "last", "n", "pw", "pv")
+        out = _cogrouped(pieces, given, _sweep(k, self.d, self.totals.get(k - 1), ranges), _ROW)
+        out = scratch.keep(out, f"sweep-{k}", by="kind")
+        words = scratch.keep(out.where(F.col("kind") == REQUEST).groupBy("part").applyInArrow(_add_words, _WORDS), f"words-{k}")
+        scratch.drop(f"sweep-{k}/kind={REQUEST}")
+        history: list[Totals] = []
+        for _ in range(ABOVE):
+            history.append(totals(words, history, k))
+        self.totals[k] = totals(words, history, k)
+        answers = words.mapInArrow(_answer(history, k, WORDS + k), _ROW)
+        self.words[k] = scratch.keep(answers, f"answers-{k}")
+        if k:
+            self.tables[k] = out.where(F.col("kind") == TABLES + k).select("kind", "part", "piece", *_BLOCKS)
+        scratch.drop(f"words-{k}")
+        if 0 <= k - 1 <= BURN:  # what was drawn before isn't averaged
+            scratch.drop(f"answers-{k - 1}", f"sweep-{k - 1}")
+            self.words.pop(k - 1), self.tables.pop(k - 1, None)
+
+    def scores(self) -> DataFrame:
+        """doc_id, held_out, n_tokens, n_known, base_score, score."""
+        samples = [(k, self.totals[k]) for k in sorted(self.words)]
+        given = [self.counts, *self.words.values(), *self.tables.values()]
+        schema = f"doc_id {self.id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+        return _cogrouped(self.pieces.drop("n", "pc"), given, _scored(samples, self.d), schema)
+
+
+def _discount(counts: DataFrame) -> float:
+    """Of the words' restaurants, from what the parts of the pairs have counted."""
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(2, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                out += unpack(x)
+        yield pa.RecordBatch.from_arrays([pa.array(out[:1]), pa.array(out[1:])], names=["n1", "n2"])
+
+    r = counts.where("piece < 0").select("a").mapInArrow(seen, "n1 long, n2 long").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    return discount(r.n1 or 0, r.n2 or 0)
+
+
+def score(docs: DataFrame, held_out, **sizes: int) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row; held_out is a boolean
-    expression, and only rows where it is false are learned from."""
-    spark = docs.sparkSession
-    ship(spark)
-    scratch = Scratch(spark, "lm")
+    expression, and only rows where it is false are learned from. sizes: piece, part and range_, in tokens."""
+    ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    pairs, d = learn_pairs(rows.where("not held_out"), scratch)
-    state, seen = learn_above(pairs, scratch)
-    total = state.agg(F.sum("n")).first()[0] or 0
-    chunk = F.pmod(F.xxhash64("doc_id", "text"), F.lit(max(1, -(-size // CHUNK)))).cast("int")
-    dealt = rows.withColumn("chunk", chunk).repartition("chunk")
-
-    def asked(t: pa.Table) -> pa.Table:
-        words, both = [np.array([END, BEGIN])], [np.zeros(0, np.int64)]
-        raw, offsets = bw.texts(t.column("text"))
-        for _, _, r, o in bw.chunks(raw, offsets):
-            k, _, first = tokens(r, o)
-            words.append(np.unique(k))
-            both.append(np.unique(pair_keys(before(k, first), k)))
-        w, p = np.unique(np.concatenate(words)), np.unique(np.concatenate(both))
-        n = len(w) + len(p)
-        return pa.table({"chunk": pa.array(np.full(n, t.column("chunk")[0].as_py(), np.int32)), "key": pa.array(np.concatenate([w, p])), "pair": pa.array(np.arange(n) >= len(w))})
-
-    requests = dealt.groupBy("chunk").applyInArrow(asked, "chunk int, key long, pair boolean")
-    # A word's row has what it is as a context, too: c and t are the customers and tables of the restaurant after it.
-    contexts = pairs.groupBy(F.col("v").alias("w")).agg(F.sum("c").alias("c"), F.sum("t").alias("t"))
-    words = state.mapInArrow(_pack, "w long, x binary, y binary, n long").join(contexts, "w", "full")
-    words = words.select(F.col("w").alias("key"), F.lit(False).alias("pair"), F.nullif("x", F.lit(b"")).alias("x"), F.nullif("y", F.lit(b"")).alias("y"), "n", "c", "t")
-    keyed = pairs.select("v", "w", "c", "t").mapInArrow(_keyed, "key long, c long, t long")
-    keyed = keyed.select("key", F.lit(True).alias("pair"), *[F.lit(None).cast(kind).alias(x) for x, kind in (("x", "binary"), ("y", "binary"), ("n", "long"))], "c", "t")
-    answers = requests.join(words.unionByName(keyed), ["key", "pair"]).select("chunk", F.col("key").alias("w"), "pair", "x", "y", "n", "c", "t")
-
-    def scored(t: pa.Table, answered: pa.Table) -> pa.Table:
-        is_pair = answered.column("pair")
-        own = answered.filter(pa.compute.invert(is_pair))
-        column = lambda rows, x: rows.column(x).fill_null(0).to_numpy().astype(np.int64)
-        three = lambda rows: tuple(column(rows, x) for x in ("w", "c", "t"))
-        refine = Pairs(three(own), three(answered.select(["w", "c", "t"]).filter(is_pair)), d)
-        counts = column(own, "n")[np.argsort(column(own, "w"))]
-        known = Known.unpack(own)
-        raw, offsets = bw.texts(t.column("text"))
-        n = t.num_rows
-        out = {"n_tokens": np.zeros(n, np.int64), "n_known": np.zeros(n, np.int64), "base_score": np.zeros(n), "score": np.zeros(n)}
-        for lo, hi, r, o in bw.chunks(raw, offsets):
-            k, u, first = tokens(r, o)
-            p = refine.refined(before(k, first), k, probabilities(k, u, known, seen)[1])
-            there, i = placed(k, known.words)
-            c = np.zeros(len(k), np.int64)
-            c[there] = counts[i[there]]
-            out["n_tokens"][lo:hi] = np.diff(first)
-            for name, values in (("n_known", c > 0), ("base_score", np.log10((c + 1) / (total + seen.words + 1))), ("score", np.log10(p))):
-                out[name][lo:hi] = np.add.reduceat(values.astype(out[name].dtype), first[:-1])
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), **{a: pa.array(b) for a, b in out.items()}})
-
-    schema = f"doc_id {dict(rows.dtypes)['doc_id']}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(scored, schema)
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
-
-
-def bw_binary(column: pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
-    """All bytes of a binary column, and where each value begins (n + 1 values)."""
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    if column.null_count:
-        column = column.fill_null(b"")
-    column = column.cast(pa.large_binary())
-    if not len(column):
-        return b"", np.zeros(1, np.int64)
-    _, offs, data = column.buffers()
-    offsets = np.frombuffer(offs, np.int64)[column.offset : column.offset + len(column) + 1]
-    return (data.to_pybytes()[offsets[0] : offsets[-1]] if data else b""), offsets - offsets[0]
+    learned = Learned(rows, Scratch(docs.sparkSession, "lm"), **sizes)
+    total = F.lit(learned.totals[SWEEPS].tokens).cast("long").alias("train_tokens")
+    return learned.scores().select("doc_id", "held_out", "n_tokens", "n_known", total, "base_score", "score")

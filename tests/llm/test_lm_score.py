@@ -4,53 +4,120 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from emberline.llm import blocks
 from emberline.llm import bytewords as bw
 from emberline.llm import lm_score as lm
-from emberline.llm.common import Scratch
 from tests.llm.conftest import prose
 
 TEXTS = [prose(i, 120) for i in range(60)] + [None, "", "\t", "The  the THE", "x" * 3000, "è é ê", "The  the THE"]
-
-
-def test_scores(documents):
-    docs = documents([*enumerate(TEXTS), (None, "the end")]).withColumn("score", F.lit("clash"))
-    rows = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") % 5 == 2).collect()}
-    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    tokens = {i: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(low)) + ["\n"] for i, t in [*enumerate(TEXTS), (None, "the end")]}
-    held = {i: i is not None and i % 5 == 2 for i in tokens}
-    c = collections.Counter(w for i, t in tokens.items() if not held[i] for w in t)
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOW))
+
+
+class Brute:
+    """The same model with a dictionary for each restaurant, one dish at a time."""
+
+    def __init__(self, texts):
+        self.keys = {w: int(lm.tokens(*bw.texts(pa.array([w])))[0][0]) for t in texts for w in words(t)} | {"\n": int(lm.END), "": int(lm.BEGIN)}
+        self.n, self.c = collections.Counter(), collections.Counter()
+        for t in texts:
+            line = ["", *words(t), "\n"]
+            self.n.update(line)
+            self.c.update(zip(line[:-1], line[1:]))
+        seen = collections.Counter(self.c.values())
+        self.d = lm.discount(seen[1], seen[2])
+        self.t = dict.fromkeys(self.c, 1)
+        self.samples = []
+        for k in range(lm.SWEEPS + 1):
+            if k:
+                self.t = {(v, w): self._drawn(v, w, k) for v, w in self.c}
+            self._above(k)
+            if k > lm.BURN:
+                self.samples.append((self.t, self.after, self.above, self.tables, self.seen))
+
+    @staticmethod
+    def byte(v):
+        return v.encode()[-1] if v else 0
+
+    def _above(self, k):
+        self.after, self.above = collections.Counter(), collections.Counter()
+        for (v, w), t in self.t.items():
+            self.after[v] += t
+            self.above[self.byte(v), w] += t
+        self.tables = dict.fromkeys(self.above, 1)
+        for j in range(lm.ABOVE):
+            self._count()
+            new = {}
+            for (u, w), c in self.above.items():
+                seed = bw.mix(np.array([self.keys[w]]).view(bw.U) * bw.BASE + bw.U(u)) ^ bw.mix(np.array([k * 1009 + j], bw.U))
+                t = self.tables[u, w]
+                open_ = lm.STRENGTH + self.seen.d * (self.seen.t[u] - t)
+                new[u, w] = int(lm.seat(np.array([c]), np.array([self.root[w] - t]), np.array([open_]), self.seen.d, self.seen.d0, self.seen.all, seed)[0])
+            self.tables = new
+        self._count()
+
+    def _count(self):
+        rows, self.root = [], collections.Counter()
+        for (u, w), t in self.tables.items():
+            self.root[w] += t
+        Row = collections.namedtuple("Row", "u c t n1 n2")
+        for u in {u for u, _ in self.above}:
+            c = [x for (b, _), x in self.above.items() if b == u]
+            rows.append(Row(u, sum(c), sum(x for (b, _), x in self.tables.items() if b == u), c.count(1), c.count(2)))
+        root = [*self.root.values()]
+        known = [x for w, x in self.n.items() if w]
+        self.seen = lm.Totals([*rows, Row(-1, len(known), sum(known), root.count(1), root.count(2))])
+
+    def _drawn(self, v, w, k):
+        c, t, u = self.c[v, w], self.t[v, w], self.byte(v)
+        seed = lm.pair_keys(np.array([self.keys[v]]), np.array([self.keys[w]])) ^ bw.mix(np.array([k], bw.U))
+        root = (self.root[w] - self.seen.d0) / self.seen.all
+        parent = self.above[u, w] - self.seen.d * self.tables[u, w] + (lm.STRENGTH + self.seen.d * self.seen.t[u]) * root
+        return int(lm.seat(np.array([c]), np.array([parent - t]), np.array([lm.STRENGTH + self.d * (self.after[v] - t)]), self.d, 0.0, lm.STRENGTH + self.seen.c[u], seed)[0])
+
+    def probability(self, v, w):
+        out = 0
+        for t, after, above, tables, seen in self.samples:
+            u = self.byte(v)
+            root = (sum(x for (_, y), x in tables.items() if y == w) - seen.d0) / seen.all if self.n[w] else seen.unknown
+            p = (above[u, w] - seen.d * tables.get((u, w), 0) + (lm.STRENGTH + seen.d * seen.t[u]) * root) / (lm.STRENGTH + seen.c[u])
+            out += (self.c[v, w] - self.d * t.get((v, w), 0) + (lm.STRENGTH + self.d * after[v]) * p) / (lm.STRENGTH + self.n[v]) / len(self.samples)
+        return out
+
+
+@pytest.mark.parametrize("sizes", [{}, {"piece": 300, "part": 200, "range_": 700}])
+def test_scores_are_those_of_brute_force(documents, sizes):
+    texts = [*enumerate(TEXTS), (None, "the end")]
+    docs = documents(texts).withColumn("score", F.lit("clash"))
+    rows = {r.doc_id: r for r in lm.score(docs, F.col("doc_id") % 5 == 2, **sizes).collect()}
+    assert len(rows) == len(texts)
+    held = {i: i is not None and i % 5 == 2 for i, _ in texts}
+    model = Brute([t for i, t in texts if not held[i]])
+    c = {w: n for w, n in model.n.items() if w}
     n, v = sum(c.values()), len(c)
-    for i, t in tokens.items():
-        r = rows[i]
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(t), sum(c[w] > 0 for w in t), n)
-        assert abs(r.base_score - sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)) < 1e-6
-        assert r.score < 0
+    for i, t in texts:
+        r, line = rows[i], [*words(t), "\n"]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(line), sum(w in c for w in line), n)
+        assert abs(r.base_score - sum(math.log10((c.get(w, 0) + 1) / (n + v + 1)) for w in line)) < 1e-6
+    for i in [0, 2, 7, 22, 61, 62, 63, 65, None]:
+        line = ["", *words(dict(texts)[i]), "\n"]
+        assert abs(rows[i].score - sum(math.log10(model.probability(a, b)) for a, b in zip(line[:-1], line[1:]))) < 1e-6
     out = [rows[i] for i in range(60) if held[i]]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
-def test_probabilities_add_up_to_one(documents, spark):
-    scratch = Scratch(spark, "t")
-    from emberline.llm.common import ship
-
-    ship(spark)
-    state, seen = lm.learn(documents([prose(i, 80) for i in range(20)]), scratch)
-    rows = sorted(state.collect(), key=lambda r: r.w)
-    words = np.array([r.w for r in rows])
-    at = np.cumsum([0, *(len(r.u) for r in rows)])
-    x = np.zeros(at[-1], lm.ENTRY)
-    for k, r in enumerate(rows):
-        part = x[at[k] : at[k + 1]]
-        part["u"], part["c"] = r.u, r.c
-        for s in range(lm.SAMPLES):
-            part["t"][:, s] = r[f"t{s}"]
-    assert (x["t"] >= 1).all() and (x["t"] <= x["c"][:, None]).all()
-    for u in [0, ord("e"), ord("."), 200]:
-        k = np.append(words, words.max() + 1)  # all known words, and the unknown
-        _, p = lm.probabilities(k, np.full(len(k), u, np.uint8), lm.Known(words, at, x), seen)
-        assert abs(p.sum() - 1) < 1e-9
+def test_probabilities_add_up_to_one():
+    model = Brute([prose(i, 80) for i in range(15)])
+    assert any(t > 1 for t, *_ in model.samples for t in t.values())
+    assert all(1 <= t <= model.c[k] for s in model.samples for k, t in s[0].items())
+    for v in ["", "the", "of", "nothing like it", "zzz"]:
+        assert abs(sum(model.probability(v, w) for w in [w for w in model.n if w] + ["an unknown word"]) - 1) < 1e-9
 
 
 def test_tokens_have_the_last_byte_before_as_context():
@@ -61,16 +128,24 @@ def test_tokens_have_the_last_byte_before_as_context():
 
 
 def test_seating_stays_in_range():
-    rng = np.random.default_rng(1)
-    c = np.array([1, 2, 10, 1000, 100000])
-    t = lm.seat(c, np.ones(5, np.int64), np.full(5, 50.0), 0.5, 0.5, 1000.0, rng)
-    assert (t >= 1).all() and (t <= c).all() and t[0] == 1
+    c = np.array([0, 1, 2, 10, 1000, 100000])
+    t = lm.seat(c, np.ones(6, np.int64), np.full(6, 50.0), 0.5, 0.5, 1000.0, np.arange(6, dtype=bw.U))
+    assert (t >= np.minimum(c, 1)).all() and (t <= c).all() and t[1] == 1
+
+
+def test_binomial_draws_have_the_mean_and_spread_they_should():
+    for n, p in [(1, 0.3), (4, 0.1), (40, 0.9), (300, 0.02), (5000, 0.4), (60000, 0.0005)]:
+        x = lm.binomial(np.full(20000, n), np.full(20000, p), np.arange(20000, dtype=bw.U) * bw.BASE)
+        spread = math.sqrt(n * p * (1 - p))
+        assert x.min() >= 0 and x.max() <= n
+        assert abs(x.mean() - n * p) < 5 * spread / math.sqrt(20000)
+        assert abs(x.std() - spread) < 0.05 * spread + 0.01
 
 
 def test_empty(documents):
     assert lm.score(documents([]), F.lit(False)).collect() == []
     rows = lm.score(documents(["a b"]), F.lit(True)).collect()
-    assert rows[0].n_known == 0 and rows[0].train_tokens == 0
+    assert rows[0].n_known == 0 and rows[0].train_tokens == 0 and math.isfinite(rows[0].score)
 
 
 def test_whole_previous_word_is_the_context(documents):
@@ -80,17 +155,11 @@ def test_whole_previous_word_is_the_context(documents):
     assert rows[100].score > rows[101].score + 1
 
 
-def test_refined_probabilities_add_up_to_one(documents, spark):
-    from emberline.llm.common import ship
-
-    ship(spark)
-    pairs, d = lm.learn_pairs(documents([prose(i, 80) for i in range(20)]), Scratch(spark, "t"))
-    rows = pairs.collect()
-    assert all(1 <= r.t <= r.c for r in rows) and any(r.t > 1 for r in rows)
-    v, w, c, t = (np.array([r[x] for r in rows]) for x in ("v", "w", "c", "t"))
-    words, contexts = np.unique(w), np.unique(v)
-    sums = [np.array([x[v == k].sum() for k in contexts]) for x in (c, t)]
-    refine = lm.Pairs((contexts, *sums), (lm.pair_keys(v, w), c, t), d)
-    for k in [lm.BEGIN, *contexts[:5], np.int64(12345)]:
-        p = refine.refined(np.full(len(words) + 1, k), np.append(words, words.max() + 1), np.full(len(words) + 1, 1 / (len(words) + 1)))
-        assert abs(p.sum() - 1) < 1e-9
+def test_packed_arrays_come_back():
+    rng = np.random.default_rng(1)
+    for x in (np.zeros(0, np.int64), np.zeros(5, np.int64), rng.integers(0, 300, 1000), rng.integers(0, 1 << 62, 1000)):
+        assert (blocks.unpack(blocks.pack(x)) == x).all()
+    keys = np.unique(rng.integers(0, 1 << 64, 1000, dtype=np.uint64))
+    assert (blocks.unpack_sorted(blocks.pack_sorted(keys)) == keys).all()
+    cuts = blocks.cuts_of(keys, 7)
+    assert cuts[0] == 0 and cuts[-1] == len(keys) and (np.diff(cuts) > 0).all()
