@@ -42,13 +42,53 @@ def test_equal_brute_force(documents, monkeypatch):
 
 
 def test_small_sketches_are_tried_again(documents, spark, monkeypatch):
-    monkeypatch.setattr(fingerprints, "ROUNDS", 1)  # one round recovers little
+    """With no round of peeling but one, nothing is recovered from any sketch, and digests are compared directly."""
     rows = [(i, "\n".join(prose(i * 100 + k, 5) for k in range(8))) for i in range(6)]
-    want = brute(rows)
-    for r in fingerprints.fingerprint_edits(documents([(i, "same line") for i in range(4)])).collect():
-        assert r.near_next == 1.0
-    monkeypatch.setattr(fingerprints, "ROUNDS", 9)
-    assert {r.doc_id: round(r.near_edited, 9) for r in fingerprints.fingerprint_edits(documents(rows)).collect()} == {i: round(x[2], 9) for i, x in want.items()}
+    want = {i: round(x[2], 9) for i, x in brute(rows).items()}
+    for rounds, retries in ((1, 1), (9, 0), (3, 2)):
+        monkeypatch.setattr(fingerprints, "ROUNDS", rounds)
+        monkeypatch.setattr(fingerprints, "RETRIES", retries)
+        assert {r.doc_id: round(r.near_edited, 9) for r in fingerprints.fingerprint_edits(documents(rows)).collect()} == want
+
+
+def read(print_):
+    """The cells of a fingerprint's tables."""
+    cells = [tuple(int(y, 16) for y in x.split(":")) if x else (0, 0, 0) for x in print_.split(".")]
+    m = len(cells) // fingerprints.TABLES
+    return [cells[j * m : (j + 1) * m] for j in range(fingerprints.TABLES)]
+
+
+def check_and_cells(spark, digest, m):
+    """Of a digest its check and cell in each table."""
+    d, bits = F.lit(digest).cast("long"), F.lit(m.bit_length() - 1)
+    row = spark.range(1).select(*[x for j in range(fingerprints.TABLES) for x in (fingerprints._check(d, j).alias(f"c{j}"), fingerprints._cell(d, j, bits).alias(f"i{j}"))]).first()
+    return [(row[f"c{j}"], int(row[f"i{j}"])) for j in range(fingerprints.TABLES)]
+
+
+def test_returned_fingerprints_subtract_and_peel(documents, spark):
+    """What peeling the difference of two returned fingerprints recovers gives the likeness that is returned."""
+    texts = ["\n".join(prose(i * 100 + k, 5) for k in range(12)) for i in range(3)]
+    peeled = 0
+    for r in fingerprints.fingerprint_edits(documents(texts)).collect():
+        a, b = read(r.fingerprint), read(r.edited_fingerprint)
+        if len(a[0]) != len(b[0]):
+            continue
+        m = len(a[0])
+        state = [[(x[0] - y[0], x[1] ^ y[1], x[2] ^ y[2]) for x, y in zip(s, t)] for s, t in zip(a, b)]
+        found = 0
+        for _ in range(6):
+            for j in range(fingerprints.TABLES):
+                for n, d, c in [x for x in state[j] if abs(x[0]) == 1]:
+                    of = check_and_cells(spark, d, m)
+                    if of[j][0] == c:
+                        found += 1
+                        for k, (check, i) in enumerate(of):
+                            state[k][i] = (state[k][i][0] - n, state[k][i][1] ^ d, state[k][i][2] ^ check)
+        if not any(any(x) for t in state for x in t):
+            own, changed = sum(x[0] for x in a[0]), sum(x[0] for x in b[0])
+            assert r.near_edited == pytest.approx((own + changed - found) / (own + changed + found))
+            peeled += 1
+    assert peeled
 
 
 def test_few_rows(documents):
