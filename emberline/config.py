@@ -33,12 +33,19 @@ class Policy:
 
 @dataclasses.dataclass(frozen=True)
 class Nats:
+    """An empty mode, subject or stream stands for its default."""
+
     url: str = ""
     mode: str = "durable"
     subject: str = "keeps"
     stream: str = "KEEPS"
     creds_file: str = ""
 
+    def __post_init__(self) -> None:
+        for f in dataclasses.fields(self):
+            if f.name in ("mode", "subject", "stream") and getattr(self, f.name) == "":
+                object.__setattr__(self, f.name, f.default)
+
 
 @dataclasses.dataclass(frozen=True)
 class Bus:
@@ -112,11 +119,11 @@ class Config:
         if self.bus.type == "nats":
             if not self.bus.nats.url:
                 yield "bus.nats.url is required"
-            if self.bus.nats.mode not in ("core", "durable"):
+            if self.bus.nats.mode not in ("at_most_once", "durable"):
                 yield f"unknown bus mode {self.bus.nats.mode}"
             for name in ("subject", "stream"):
                 token = getattr(self.bus.nats, name)
-                if not token or re.search(r"[*>\s]", token):
+                if re.search(r"[*>\s]", token):
                     yield f"bus.nats.{name} must be a plain token"
         if self.disk_budget > 0 and self.shards > 0 and self.disk_budget // 100 * self.watermark_pct <= self.shards * self.segment_size:
             yield "the watermark must exceed one segment a shard"

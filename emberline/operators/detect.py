@@ -31,7 +31,7 @@ class Chain:
 
     @property
     def enabled(self) -> bool:
-        return bool(self.on_error or self.span_latency or self.trace_latency or self.trace_age or self.policies)
+        return bool(self.on_error or self.span_latency or self.trace_latency or self.trace_age or self.policies or self.baseline_rate > 0)
 
 
 def _kind(spans: DataFrame, column: str) -> str:
@@ -66,7 +66,7 @@ def lookup(spans: DataFrame) -> rules.Lookup:
 
 def detect(spans: DataFrame, chain: Chain) -> DataFrame:
     """spans with reason (0 none), policy (index of the one that hit, from 0), policy_errors (indexes of those that
-    failed before), clamped (how many values were out of range), malformed (attributes) and divergence (age minus
+    failed before), clamped (how many values were out of range), malformed (1 if an attribute is) and divergence (age minus
     elapsed time, where both are known). A condition that is left out isn't computed, nor is what it reads."""
     zero = F.lit(0)
     out = spans
@@ -93,7 +93,7 @@ def detect(spans: DataFrame, chain: Chain) -> DataFrame:
         looked = before()
         age, spent = F.greatest(F.col("__age"), zero), F.greatest(F.col("__spent"), zero)
         clamps += [looked & (F.col("__age") < 0), looked & (F.col("__spent") < 0)]
-        malformed = F.when(looked, F.col("__elapsed.malformed").cast("int") + F.col("__t0.malformed").cast("int")).otherwise(0)
+        malformed = F.when(looked, (F.col("__elapsed.malformed") | F.col("__t0.malformed")).cast("int")).otherwise(0)
         divergence = F.when(looked & F.col("__t0.ok") & F.col("__elapsed.ok"), age - spent)
         if chain.trace_latency:
             tests.append((F.col("__spent").isNotNull() & (spent > values.threshold_millis(chain.trace_latency)), 3))

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from emberline.functions.values import REASONS
+from emberline.functions.values import REASONS, in_baseline
 
+# Names of instruments below, and these bounds.
 #: Upper bounds of the histogram of ages at emission, as shares of the window.
 AGE_BOUNDS = (0.1, 0.25, 0.5, 0.75, 0.9, 1.0, 1.25, 1.5)
 
@@ -28,22 +29,31 @@ def flushes(kept: DataFrame, keys: tuple[str, ...] = ("instance", "trace_id")) -
 
 
 def before_first_hit(detected: DataFrame) -> DataFrame:
-    """The spans that were evaluated: those of a trace's batch up to its first hit. One shuffle on the trace's batch."""
+    """The spans that were evaluated: those of a trace's batch up to its first hit, with `leads`, whether it is the first
+    of them. One shuffle on the trace's batch."""
     batch = Window.partitionBy("instance", "batch_id", "trace_id")
     hit = F.min(F.when(F.col("reason") != 0, F.col("ord"))).over(batch)
-    return detected.withColumn("__hit", hit).where("__hit is null or ord <= __hit").drop("__hit")
+    marked = detected.withColumn("__hit", hit).withColumn("leads", F.col("ord") == F.min("ord").over(batch))
+    return marked.where("__hit is null or ord <= __hit").drop("__hit")
 
 
-def chain_counts(detected: DataFrame, policies: list[str]) -> DataFrame:
+def detected_keeps(seen: DataFrame, baseline_rate: float = 0.0) -> list[tuple[str, Column]]:
+    """(reason, number) over the spans that were evaluated. A trace's batch counts for the baseline whatever else hit."""
+    own = [(REASONS[r], F.count_if(F.col("reason") == r)) for r in range(1, 6)]
+    return [*own, (REASONS[6], F.count_if(F.col("leads") & in_baseline(F.col("trace_id"), baseline_rate)))]
+
+
+def chain_counts(detected: DataFrame, policies: list[str], baseline_rate: float = 0.0) -> DataFrame:
     """Rows of what detection counts, over evaluated spans alone, in one pass; what is counted by label and never
     happened has no row, and neither has a divergence that was never seen."""
-    labelled = [("detected.keeps", REASONS[r], F.count_if(F.col("reason") == r)) for r in range(1, 6)]
+    seen = before_first_hit(detected)
+    labelled = [("detected.keeps", *x) for x in detected_keeps(seen, baseline_rate)]
     labelled += [("policy.matches", p, F.count_if(F.col("policy") == i)) for i, p in enumerate(policies)]
     labelled += [("policy.eval_errors", p, F.count_if(F.array_contains("policy_errors", i))) for i, p in enumerate(policies)]
     plain = [(f"{name}", "", F.coalesce(F.sum(column), F.lit(0))) for name, column in (("skew.clamped", "clamped"), ("baggage.malformed", "malformed"))]
     last = ("baggage.divergence_ms", "", F.max(F.when(F.col("divergence").isNotNull(), F.struct("ord", "divergence")))["divergence"])
     all_ = [*labelled, *plain, last]
-    counted = before_first_hit(detected).agg(*[c.cast("bigint").alias(f"c{i}") for i, (_, _, c) in enumerate(all_)])
+    counted = seen.agg(*[c.cast("bigint").alias(f"c{i}") for i, (_, _, c) in enumerate(all_)])
     rows = F.array(*[F.struct(F.lit(name).alias("instrument"), F.lit(label).alias("label"), F.col(f"c{i}").alias("value")) for i, (name, label, _) in enumerate(all_)])
     return counted.select(F.explode(rows).alias("r")).select("r.*").where("value is not null and (label = '' or value > 0)")
 

@@ -56,7 +56,7 @@ detected as (
       when name = 'purchase' then 0 when name = 'view' and end_ns - start_ns > 20000000 then 1 when k > 90 then 2 end as policy,
     case when not h1 and end_ns < start_ns then 1 else 0 end + case when not h1 and not h2 and age < 0 then 1 else 0 end
       + case when not h1 and not h2 and spent < 0 then 1 else 0 end as clamped,
-    case when h1 or h2 then 0 else (case when elapsed_raw is not null and spent is null then 1 else 0 end) + (case when t0_raw is not null and age is null then 1 else 0 end) end as malformed,
+    case when not h1 and not h2 and ((elapsed_raw is not null and spent is null) or (t0_raw is not null and age is null)) then 1 else 0 end as malformed,
     case when not h1 and not h2 and age is not null and spent is not null then greatest(age, 0) - greatest(spent, 0) end as divergence
   from parsed)"""
 )
@@ -314,7 +314,7 @@ def policy_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.detect(_events(spark, sf_dir), detect.Chain(False, policies=POLICIES)).groupBy(F.coalesce("policy", F.lit(-1)).alias("policy")).agg(F.count("*").alias("spans"))
 
 
-_SEEN = _DETECTED + ", f as (select *, min(ord) filter (where reason <> 0) over (partition by instance, batch_id, trace_id) as hit from detected), seen as (select * from f where hit is null or ord <= hit)"
+_SEEN = _DETECTED + ", f as (select *, min(ord) filter (where reason <> 0) over (partition by instance, batch_id, trace_id) as hit from detected), seen as (select * from f where hit is null or ord <= hit), sampled as (select distinct instance, batch_id, trace_id from detected where " + _BASE.format(t=values.baseline_threshold(FULL.baseline_rate)) + ")"
 
 
 @query("policy_matches_by_name", f"with {_SEEN} select case policy when 0 then 'purchases' when 1 then 'long views' else 'high k' end as policy, count(*) as matches from seen where policy is not null group by 1")
@@ -398,17 +398,37 @@ def instance_completeness_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg(F.count_if(F.col("local") == 1).alias("local_only"), F.count("*").alias("with_bus"))
 
 
-@query("baseline_absorbs", None)
+def _absorbing() -> str:
+    """Verdicts of a trace one by one; l0 to l2 are when each instance last decided, t0 to t2 whether it does now."""
+    last = "case n.instance when 0 then l0 when 1 then l1 else l2 end"
+    takes = [f"(n.dt >= {last} + {W} and (n.instance = {k} or (n.reason <> 6 and n.dt >= l{k} + {W})))" for k in range(3)]
+    step = ", ".join(f"case when {t} then n.dt else l{k} end" for k, t in enumerate(takes))
+    never = -(1 << 61)
+    made = " union all ".join(f"select {k} as instance, * from r where t{k}" for k in range(3))
+    return f"""with recursive {_VERDICTS},
+v as (select trace_id, at_us as dt, instance, min(ord) as ord, arg_min(reason, ord) as reason from verdicts where reason <> 0 group by trace_id, at_us, instance),
+n as (select *, row_number() over (partition by trace_id order by dt, ord, instance) as i from v),
+r(trace_id, i, dt, own, reason, l0, l1, l2, t0, t1, t2) as (
+  select distinct trace_id, 0::bigint, 0::bigint, 0, 0, {never}::bigint, {never}::bigint, {never}::bigint, false, false, false from n
+  union all
+  select n.trace_id, n.i, n.dt, n.instance, n.reason, {step}, {", ".join(takes)} from r join n on n.trace_id = r.trace_id and n.i = r.i + 1)
+select cast(instance as integer) as instance, trace_id, dt as decided_us, cast(reason as integer) as reason,
+  case when instance <> own then 'bus' when reason = 6 then 'baseline' else 'local' end as origin from ({made})"""
+
+
+@query("baseline_absorbs", _absorbing())
 def baseline_absorbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Decisions of all instances, with baseline ones, which aren't broadcast and absorb later verdicts of their window."""
     v = _verdicts(spark, sf_dir).where("reason <> 0").select("instance", "trace_id", "at_us", "ord", "reason")
     return decide.across_instances(v, W, 3).select("instance", "trace_id", "decided_us", "reason", "origin")
 
 
-@query("detected_by_reason", f"with {_SEEN} select case reason when 1 then 'error' when 2 then 'span_latency' when 3 then 'trace_latency' when 4 then 'trace_age' else 'policy' end as reason, count(*) as spans from seen where reason <> 0 group by 1")
+@query("detected_by_reason", f"with {_SEEN} select case reason when 1 then 'error' when 2 then 'span_latency' when 3 then 'trace_latency' when 4 then 'trace_age' else 'policy' end as reason, count(*) as hits from seen where reason <> 0 group by 1 union all select 'baseline', count(*) from sampled having count(*) > 0")
 def detected_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = metrics.before_first_hit(_detected(spark, sf_dir)).where("reason <> 0")
-    return seen.groupBy(values.reason_name(F.col("reason")).alias("reason")).agg(F.count("*").alias("spans"))
+    seen = metrics.before_first_hit(_detected(spark, sf_dir))
+    counted = metrics.detected_keeps(seen, FULL.baseline_rate)
+    rows = F.array(*[F.struct(F.lit(k).alias("reason"), F.col(k).alias("hits")) for k, _ in counted])
+    return seen.agg(*[n.alias(k) for k, n in counted]).select(F.explode(rows).alias("r")).select("r.*").where("hits > 0")
 
 
 @query("flushed_span_counts", f"{_LOCAL} select s.instance, count(*) as spans from spans s join d on s.instance = d.instance and s.trace_id = d.trace_id and s.arrival_us >= d.dt - {W} and s.arrival_us < d.dt + {W} group by s.instance")
@@ -510,6 +530,50 @@ def drain_oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.drained(_intents(spark, sf_dir), 16).select("instance", "trace_id", "ord", "place")
 
 
+# --- Segment files with damaged records.
+
+_MAGIC = 0x5EA15EA1
+_FILES = "files as (select cast(event_id % 3 as integer) as instance, event_id // 500 as gen, event_id as ord, event_id % 7 = 3 as bad from events)"
+
+
+def _segment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as finished segments of 500 event ids, with a damaged byte in every fragment whose id is 3 modulo 7, as they are read back."""
+    import pandas as pd
+
+    from emberline.session import ship
+    from emberline.sources import segments
+
+    def written(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("ord")
+        parts = [(bytes.fromhex(t), str(o).encode()) for t, o in zip(g["trace_id"], g["ord"])]
+        data = bytearray(segments.finish(parts, int(g["arrival_us"].min()) * 1000, int(g["arrival_us"].max()) * 1000, _MAGIC))
+        at = 0
+        for o, (_, fragment) in zip(g["ord"], parts):
+            at += segments.HEADER.size + len(fragment)
+            if o % 7 == 3:
+                data[at - 1] ^= 255
+        return pd.DataFrame([(f"{key[0]}/{key[1]}", bytes(data))], columns=["path", "content"])
+
+    ship(spark)
+    gen = F.floor(F.col("ord") / 500).cast("bigint").alias("gen")
+    return segments.decoded(_events(spark, sf_dir).select("instance", gen, "trace_id", "ord", "arrival_us").groupBy("instance", "gen").applyInPandas(written, "path string, content binary"), _MAGIC)
+
+
+@query("segment_fragments", f"with {_FILES} select concat(instance, '/', gen) as path, ord from files where not bad")
+def segment_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be read of segments with damaged records: all others."""
+    from emberline.sources import segments
+
+    return segments.fragments(_segment_rows(spark, sf_dir)).select("path", F.col("fragment").cast("string").cast("bigint").alias("ord"))
+
+
+@query("corrupt_fragments", f"with {_FILES} select 'corrupt.fragments' as instrument, '' as label, count(*)::bigint as value from files where bad")
+def corrupt_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from emberline.sources import segments
+
+    return segments.corrupt_fragments(_segment_rows(spark, sf_dir))
+
+
 # --- The wire, counters and load.
 
 
@@ -527,11 +591,11 @@ _LABEL = {"detected.keeps": "case reason when 1 then 'error' when 2 then 'span_l
 
 @query(
     "chain_counters",
-    f"with {_SEEN} select 'detected.keeps' as instrument, {_LABEL['detected.keeps']} as label, count(*)::bigint as value from seen where reason <> 0 group by 2 union all select 'policy.matches', {_LABEL['policy.matches']}, count(*) from seen where policy is not null group by 2 "
+    f"with {_SEEN} select 'detected.keeps' as instrument, {_LABEL['detected.keeps']} as label, count(*)::bigint as value from seen where reason <> 0 group by 2 union all select 'detected.keeps', 'baseline', count(*) from sampled having count(*) > 0 union all select 'policy.matches', {_LABEL['policy.matches']}, count(*) from seen where policy is not null group by 2 "
     "union all select 'skew.clamped', '', sum(clamped)::bigint from seen union all select 'baggage.malformed', '', sum(malformed)::bigint from seen union all select 'baggage.divergence_ms', '', arg_max(divergence, ord) from seen where divergence is not null",
 )
 def chain_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.chain_counts(_detected(spark, sf_dir), [n for n, _ in POLICIES])
+    return metrics.chain_counts(_detected(spark, sf_dir), [n for n, _ in POLICIES], FULL.baseline_rate)
 
 
 @query(
@@ -562,10 +626,12 @@ def generator_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("class").agg(F.countDistinct("trace").cast("int").alias("traces"), F.count("*").cast("int").alias("spans"), F.count_if(F.col("reason") != 0).cast("int").alias("marked"))
 
 
-@query("round_robin_split", "select cast(l_linenumber % 3 as integer) as endpoint, count(*) as spans, count(distinct l_orderkey) as traces from lineitem group by 1")
+@query("round_robin_split", "with s as (select l_orderkey, (row_number() over (partition by l_orderkey order by l_linenumber) - 1) % 3 as e from lineitem) select cast(e as integer) as endpoint, count(*) as spans, count(distinct l_orderkey) as traces from s group by 1")
 def round_robin_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return lines.groupBy((F.col("l_linenumber") % 3).cast("int").alias("endpoint")).agg(F.count("*").alias("spans"), F.countDistinct("l_orderkey").alias("traces"))
+    """Span j of a trace, from 0, goes to endpoint j modulo 3; a trace's counts per endpoint follow from its length."""
+    traces = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    each = F.explode(F.transform(F.array(*[F.lit(e) for e in range(3)]), lambda e: F.struct(e.alias("endpoint"), F.ceil((F.col("n") - e) / 3).cast("bigint").alias("spans"))))
+    return traces.select(each.alias("x")).where("x.spans > 0").groupBy("x.endpoint").agg(F.sum("x.spans").alias("spans"), F.count("*").alias("traces"))
 
 
 @query("class_mix", "with r as (select o_orderkey, row_number() over (order by o_orderkey) - 1 as i from orders), x as (select case when i < 100 then 'error' when i < 250 then 'slow' when i < 300 then 'trace_latency' else 'healthy' end as class from r) select class, count(*) as traces from x group by class")

@@ -18,13 +18,13 @@ def test_every_key_is_read():
     given = {
         "storage_dir": "/x", "disk_budget": 1 << 33, "window": "10m", "window_floor": "2m30s", "watermark_pct": 70, "shards": 2, "segment_size": 1 << 21, "keep_on_error": False,
         "span_latency_threshold": "1s", "trace_latency_threshold": "2s", "trace_age_threshold": "3m", "baseline_rate": 0.25, "policies": [{"name": "a", "condition": 'span.name == "x"'}],
-        "t0_attribute": "t", "elapsed_ms_attribute": "e", "bus": {"type": "nats", "nats": {"url": "nats://h", "mode": "core", "subject": "s", "stream": "S", "creds_file": "f"}},
+        "t0_attribute": "t", "elapsed_ms_attribute": "e", "bus": {"type": "nats", "nats": {"url": "nats://h", "mode": "at_most_once", "subject": "s", "stream": "S", "creds_file": "f"}},
     }
     c, plain = Config.of(given), Config.of(GOOD)
     for f in dataclasses.fields(Config):
         assert getattr(c, f.name) != getattr(plain, f.name), f.name
     assert c.window == 600 * 10**9 and c.window_floor == 150 * 10**9 and c.policies == (Policy("a", 'span.name == "x"'),)
-    assert c.bus == Bus("nats", Nats("nats://h", "core", "s", "S", "f"))
+    assert c.bus == Bus("nats", Nats("nats://h", "at_most_once", "s", "S", "f"))
 
 
 @pytest.mark.parametrize(
