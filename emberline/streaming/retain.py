@@ -2,7 +2,7 @@
 
 Event time is arrival. A stamp ahead of the clock is set to the clock, so that one bad row can't carry the
 watermark away. Decisions are made by a stateful operator that holds, per trace, when the last was made; a
-verdict at or past its end opens the next. (Dropping duplicates within a watermark isn't the same: state
+verdict at or past its end opens the next, and what is held goes when the watermark has passed that end. (Dropping duplicates within a watermark isn't the same: state
 would stay until the watermark, itself late, has passed.) Decisions then meet spans in a stream-stream join
 whose interval bounds the state on both sides to two windows.
 """
@@ -30,6 +30,7 @@ class Decider(StatefulProcessor):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", T.StructType([T.StructField("at_us", T.LongType())]))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
@@ -39,8 +40,16 @@ class Decider(StatefulProcessor):
             if last is None or row.at_us >= last + self.window:
                 last = row.at_us
                 yield Row(trace_id=key[0], decided_us=last, reason=int(row.reason), decided_at=row.arrival)
-        if last is not None:
+        if last is not None and (not held or last != held[0]):
             self.last.update((last,))
+            for timer in [*self.handle.listTimers()]:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(-(-(last + self.window) // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        """No verdict before the end of the window can come any more, and any later one decides anew."""
+        self.last.clear()
+        return iter(())
 
     def close(self) -> None:
         pass
@@ -52,8 +61,11 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def clamped(spans: DataFrame, column: str = "arrival") -> DataFrame:
-    return spans.withColumn(column, F.least(F.col(column), F.current_timestamp()))
+def clamped(spans: DataFrame) -> DataFrame:
+    """spans whose arrival (and arrival_us) isn't ahead of the clock, and `skewed`, whether it was."""
+    now = F.current_timestamp()
+    held = spans.withColumn("skewed", F.col("arrival") > now).withColumn("arrival", F.least("arrival", now))
+    return held.withColumn("arrival_us", F.unix_micros("arrival"))
 
 
 def decisions(verdicts: DataFrame, window: int, delay: str) -> DataFrame:
@@ -72,14 +84,15 @@ def retained(spans: DataFrame, verdicts: DataFrame, window: int, delay: str) ->
 
 
 def events(spark: SparkSession, folder: str, pattern: str = "events.parquet", files: int | None = None) -> DataFrame:
-    """The event files of a folder as a stream of spans: trace_id, ord, arrival, arrival_us, name, status_code."""
+    """The event files of a folder as a stream of spans: trace_id, ord, arrival, arrival_us, name, status_code, skewed."""
     reader = spark.readStream.schema(EVENTS).option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
     if files:
         reader = reader.option("maxFilesPerTrigger", files)
     us = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")
-    return reader.parquet(folder).select(
+    spans = reader.parquet(folder).select(
         F.md5(F.col("user_id").cast("string").cast("binary")).alias("trace_id"), F.col("event_id").alias("ord"), F.timestamp_micros(us).alias("arrival"), us.alias("arrival_us"), F.col("event_type").alias("name"), F.when(F.col("event_type") == "error", 2).otherwise(1).alias("status_code")
     )
+    return clamped(spans)
 
 
 def errors(spans: DataFrame) -> DataFrame:
