@@ -63,13 +63,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def keep(self, df: DataFrame, tag: str, by: str | None = None) -> DataFrame:
-        """df, written and read again; in a folder for each value of column `by`. Its shuffles' files go at once."""
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        """df, written and read again. Its shuffles' files go at once."""
         path = f"{self.root}/{tag}"
         before = self.spark.conf.get(CLEAN_UP, None)
         self.spark.conf.set(CLEAN_UP, "true")
         try:
-            (df.write.partitionBy(by) if by else df.write).mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path)
         finally:
             self.spark.conf.set(CLEAN_UP, before) if before is not None else self.spark.conf.unset(CLEAN_UP)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -111,3 +111,10 @@ def words(text, blanks: str = BLANKS):
 def bind(value, body):
     """body(value) with value evaluated once, also where body uses it inside other lambdas."""
     return F.transform(F.array(value), body)[0]
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that df has no column of."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name

@@ -10,8 +10,8 @@ probabilities of its parent.
 
 A Gibbs sweep takes, for each dish of each restaurant, all its customers out and seats them anew one by one,
 given the tables of all others; a customer opens a table with the probability of the Chinese restaurant
-process. From the 64th customer of a dish on, they are seated in blocks of a sixteenth of those before, by a
-binomial draw. A sweep seats the words' contexts given the sweep before, then ABOVE times the restaurants
+process. From the 2 * BLOCK-th customer of a dish on, they are seated in blocks of a share of 1 / BLOCK of those
+before, by a binomial draw with the middle one's probability. A sweep seats the words' contexts given the sweep before, then ABOVE times the restaurants
 above; tasks see the totals of the draw before. Probabilities are averaged over the sweeps after the first
 BURN. Discounts are n1 / (n1 + 2 n2) of the counts of counts. Draws depend on the words and the number of the
 sweep alone, so that every task which needs a dish's tables draws the same ones, also when it runs again.
@@ -45,7 +45,10 @@ from emberline.llm.common import Scratch, ship
 
 #: Tokens of a piece, and for each part of the pairs and each range of the words.
 PIECE, PART, RANGE = 1_000_000, 500_000, 1_000_000
-SWEEPS, BURN, ABOVE = 3, 1, 2
+SWEEPS, BURN, ABOVE = 3, 1, 1
+BLOCK = 8
+#: The pieces are swept and scored in so many waves.
+WAVES = 3
 STRENGTH = 1.0
 END = np.int64(0x7E57AB1E0E0D1CE5)
 #: The word before the first.
@@ -88,6 +91,14 @@ def sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 # --- Pieces.
 
 
+def ranks(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words by falling number of training tokens, and the place of each among them: small numbers are common."""
+    by = np.argsort(-n, kind="stable")
+    rank = np.empty(len(n), np.int64)
+    rank[by] = np.arange(len(n))
+    return by, rank
+
+
 def _piece(number: int, held: list) -> pa.RecordBatch:
     """One row for texts (ids, held out, keys, parents' contexts, first tokens)."""
     ids = pa.concat_arrays([x[0] for x in held])
@@ -102,20 +113,21 @@ def _piece(number: int, held: list) -> pa.RecordBatch:
     v[first[:-1]] = begin
     last = np.zeros(len(words), np.uint8)
     last[v] = np.concatenate([x[3] for x in held])
-    pairs, token = np.unique(w * len(words) + v, return_inverse=True)
+    pairs, of = np.unique(w * len(words) + v, return_inverse=True)
     learned = np.repeat(~out, size)
     n = np.bincount(w[learned], minlength=len(words))
     n[begin] = (~out).sum()
+    rank = ranks(n)[1]
     columns = {
         "keys": pack_sorted(words),
         "last": last.tobytes(),
         "n": pack(n),
         "pw": pack(np.bincount(pairs // len(words), minlength=len(words))),
-        "pv": pack(pairs % len(words)),
-        "pc": pack(np.bincount(token[learned], minlength=len(pairs))),
+        "pv": pack(rank[pairs % len(words)]),
+        "pc": pack(np.bincount(of[learned], minlength=len(pairs))),
         "held": out.astype(np.uint8).tobytes(),
         "size": pack(size),
-        "token": pack(token),
+        "token": pack(rank[w]),
     }
     ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([len(k)], pa.int64()), *[pa.array([x], pa.binary()) for x in columns.values()]], names=["piece", "ids", "tokens", *columns])
@@ -154,10 +166,21 @@ class Piece:
     def __init__(self, get):
         self.keys = unpack_sorted(get("keys"))
         of = unpack(get("pw"))
-        self.w, self.v = np.repeat(np.arange(len(of)), of), unpack(get("pv"))
+        self.n = unpack(get("n"))
+        self.by = ranks(self.n)[0]
+        self.w, self.v = np.repeat(np.arange(len(of)), of), self.by[unpack(get("pv"))]
         self.pairs = pair_keys(self.keys[self.v], self.keys[self.w])
         self.order = np.argsort(self.pairs)
 
+    def tokens(self, get) -> tuple[np.ndarray, np.ndarray]:
+        """The pair of every token, and the first token of each text."""
+        w, first = self.by[unpack(get("token"))], np.concatenate([[0], np.cumsum(unpack(get("size")))])
+        v = np.empty_like(w)
+        v[1:] = w[:-1]
+        v[first[:-1]] = np.searchsorted(self.keys, BEGIN.view(bw.U))
+        n = len(self.keys)
+        return np.searchsorted(self.w * n + self.v, w * n + v), first
+
     def with_parents(self, get) -> Piece:
         """Also the restaurants above that the words are dishes of (word * 256 + last byte before), and that of each pair."""
         self.u = np.frombuffer(get("last"), np.uint8)[self.v]
@@ -244,25 +267,30 @@ def binomial(n: np.ndarray, p: np.ndarray, seeds: np.ndarray) -> np.ndarray:
         out[live] += 1
         mass = mass * (n[live] - k) / (k + 1) * low[live] / (1 - low[live])
         up, k = up + mass, k + 1
-    return np.where(p > 0.5, n - out, out)
+    return np.where(n == 1, x < p, np.where(p > 0.5, n - out, out))
 
 
 def seat(c: np.ndarray, others: np.ndarray, open_: np.ndarray, d: float, d0: float, all_: float | np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """New numbers of tables of dishes with c customers each. others: the parent's customers of the same word from
     other contexts; open_: strength + discount * tables of the restaurant without this dish; all_: what
     divides the parent's counts."""
-    t, all_ = np.minimum(c, 1).astype(np.int64), np.broadcast_to(all_, len(c))
-    live = np.flatnonzero(c > 1)
-    k = 1
-    while len(live):
-        step = 1 if k < 64 else k // 16
-        n = np.minimum(step, c[live] - k)
-        own = t[live]
-        fresh = (open_[live] + d * own) * np.maximum(others[live] + own - d0, 0) / all_[live]
-        t[live] += binomial(n, fresh / (fresh + np.maximum(k - d * own, 1e-9)), seeds[live] ^ bw.mix(np.array([k], bw.U)))
+    # Dishes with most customers first, so that those who still wait for a seat are always the first few.
+    order = np.argsort(-c, kind="stable")
+    c, others, open_, seeds = c[order], others[order], open_[order], seeds[order]
+    all_ = np.broadcast_to(all_, len(c))[order]
+    t = np.minimum(c, 1).astype(np.int64)
+    rising, k = -c, 1
+    while m := int(np.searchsorted(rising, -k)):
+        step = max(1, k // BLOCK)
+        own = t[:m]
+        n = np.minimum(step, c[:m] - k)
+        fresh = (open_[:m] + d * own) * np.maximum(others[:m] + own - d0, 0) / all_[:m]
+        seated = np.maximum(k + (n - 1) / 2 - d * own, 1e-9)
+        own += binomial(n, fresh / (fresh + seated), seeds[:m] ^ bw.mix(np.array([k], bw.U)))
         k += step
-        live = live[c[live] > k]
-    return t
+    out = np.empty(len(c), np.int64)
+    out[order] = t
+    return out
 
 
 class Totals:
@@ -394,7 +422,6 @@ def _sweep(number: int, d: float, seen: Totals | None, ranges: int):
             parent = seen.parent(u, above[dish], above_t[dish], seen.root(n, tables)[w])
             seeds = p.pairs[live] ^ bw.mix(np.array([number], bw.U))
             t[live] = seat(c[live], parent - old[live], STRENGTH + d * (after[v] - old[live]), d, 0.0, STRENGTH + seen.c[u], seeds)
-        n = unpack(get("n"))
         after, customers = sums(p.v, t * own, len(p.keys)), sums(p.dish, t * own, len(p.dishes))
         word, u = p.dishes >> 8, (p.dishes & 255).astype(np.uint8)
         at = cuts_of(p.keys, ranges)
@@ -402,7 +429,7 @@ def _sweep(number: int, d: float, seen: Totals | None, ranges: int):
         per = np.bincount(word, minlength=len(p.keys))
         piece = get("piece")
         rows = [
-            _row(REQUEST, q, piece, pack_sorted(p.keys[x:y]), pack(n[x:y]), pack(after[x:y]), pack(per[x:y]), u[i:j].tobytes(), pack(customers[i:j]))
+            _row(REQUEST, q, piece, pack_sorted(p.keys[x:y]), pack(p.n[x:y]), pack(after[x:y]), pack(per[x:y]), u[i:j].tobytes(), pack(customers[i:j]))
             for q, (x, y, i, j) in enumerate(zip(at[:-1], at[1:], held[:-1], held[1:]))
             if x < y
         ]
@@ -422,11 +449,12 @@ def _scored(samples: list[tuple[int, Totals]], d: float):
         c = np.empty(len(p.w), np.int64)
         c[p.order] = got.of(COUNTS, "a")
         mean = np.zeros(len(p.w))
+        n = got.of(WORDS + samples[-1][0], "a")
         for k, seen in samples:
-            n, after, tables, above, above_t = (got.of(WORDS + k, x) for x in "abcde")
+            after, tables, above, above_t = (got.of(WORDS + k, x) for x in "bcde")
             mean += refined(p, c, got.of(TABLES + k, "a"), n, after, d, parents(p, n, tables, above, above_t, seen)) / len(samples)
         seen = samples[-1][1]
-        token, first = unpack(get("token")), np.concatenate([[0], np.cumsum(unpack(get("size")))])
+        token, first = p.tokens(get)
         base = np.log10((n + 1) / (seen.tokens + seen.words + 1))
         added = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
         columns = [added((n > 0)[p.w][token].astype(np.int64)), added(base[p.w][token]), added(np.log10(mean)[token])]
@@ -453,8 +481,13 @@ def refined(p: Piece, c: np.ndarray, t: np.ndarray, n: np.ndarray, after: np.nda
 # --- Learning and scoring.
 
 
-def _cogrouped(pieces: DataFrame, answers: list[DataFrame], f, schema: str) -> DataFrame:
-    return pieces.groupBy("piece").cogroup(reduce(DataFrame.unionByName, answers).groupBy("piece")).applyInArrow(f, schema)
+def _cogrouped(pieces: DataFrame, answers: list[DataFrame], f, schema: str, scratch: Scratch, tag: str) -> DataFrame:
+    """f of each piece and its answers, written wave by wave, so that only a share of the pieces is shuffled at a time."""
+    given, out = reduce(DataFrame.unionByName, answers), []
+    for k in range(WAVES):
+        now = [x.where(F.pmod(F.xxhash64("piece"), F.lit(WAVES)) == k).groupBy("piece") for x in (pieces, given)]
+        out.append(scratch.keep(now[0].cogroup(now[1]).applyInArrow(f, schema), f"{tag}-{k}"))
+    return reduce(DataFrame.unionByName, out)
 
 
 class Learned:
@@ -467,7 +500,7 @@ class Learned:
         self.pieces = scratch.keep(rows.select("doc_id", "text", "held_out").mapInArrow(_cut(piece), f"piece long, ids array<{self.id_type}>, tokens long, {_PIECE}"), "pieces")
         n = self.pieces.agg(F.sum("tokens")).first()[0] or 0
         parts, ranges = (max(1, -(-n // x)) for x in (part, range_))
-        asked = self.pieces.select("piece", "keys", "pw", "pv", "pc").mapInArrow(_ask_counts(parts), _ROW)
+        asked = self.pieces.select("piece", "keys", "n", "pw", "pv", "pc").mapInArrow(_ask_counts(parts), _ROW)
         counts = scratch.keep(asked.groupBy("part").applyInArrow(_add_counts, _ROW), "counts")
         self.d = _discount(counts)
         self.counts = counts.where("piece >= 0")
@@ -480,29 +513,30 @@ class Learned:
     def _sweep(self, k: int, ranges: int, scratch: Scratch) -> None:
         given = [self.counts, *[x[k - 1] for x in (self.words, self.tables) if k - 1 in x]]
         pieces = self.pieces.select("piece", "keys", "last", "n", "pw", "pv")
-        out = _cogrouped(pieces, given, _sweep(k, self.d, self.totals.get(k - 1), ranges), _ROW)
-        out = scratch.keep(out, f"sweep-{k}", by="kind")
+        out = _cogrouped(pieces, given, _sweep(k, self.d, self.totals.get(k - 1), ranges), _ROW, scratch, f"sweep-{k}")
+        if k:
+            self.tables[k] = scratch.keep(out.where(F.col("kind") == TABLES + k), f"tables-{k}")
         words = scratch.keep(out.where(F.col("kind") == REQUEST).groupBy("part").applyInArrow(_add_words, _WORDS), f"words-{k}")
-        scratch.drop(f"sweep-{k}/kind={REQUEST}")
+        scratch.drop(*[f"sweep-{k}-{x}" for x in range(WAVES)])
         history: list[Totals] = []
         for _ in range(ABOVE):
             history.append(totals(words, history, k))
         self.totals[k] = totals(words, history, k)
         answers = words.mapInArrow(_answer(history, k, WORDS + k), _ROW)
         self.words[k] = scratch.keep(answers, f"answers-{k}")
-        if k:
-            self.tables[k] = out.where(F.col("kind") == TABLES + k).select("kind", "part", "piece", *_BLOCKS)
         scratch.drop(f"words-{k}")
         if 0 <= k - 1 <= BURN:  # what was drawn before isn't averaged
-            scratch.drop(f"answers-{k - 1}", f"sweep-{k - 1}")
+            scratch.drop(f"answers-{k - 1}", f"tables-{k - 1}")
             self.words.pop(k - 1), self.tables.pop(k - 1, None)
 
-    def scores(self) -> DataFrame:
+    def scores(self, scratch: Scratch) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, base_score, score."""
         samples = [(k, self.totals[k]) for k in sorted(self.words)]
-        given = [self.counts, *self.words.values(), *self.tables.values()]
+        # Of what sweeps needed scores need the counts alone, and the words' tokens once.
+        less = lambda df, *drop: df.select("kind", "part", "piece", *[F.lit(None).cast("binary").alias(x) if x in drop else x for x in _BLOCKS])
+        given = [less(self.counts, "b"), *[less(x, "a") if k < max(self.words) else x for k, x in self.words.items()], *self.tables.values()]
         schema = f"doc_id {self.id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-        return _cogrouped(self.pieces.drop("n", "pc"), given, _scored(samples, self.d), schema)
+        return _cogrouped(self.pieces.drop("tokens", "pc"), given, _scored(samples, self.d), schema, scratch, "scores")
 
 
 def _discount(counts: DataFrame) -> float:
@@ -524,6 +558,9 @@ def score(docs: DataFrame, held_out, **sizes: int) -> DataFrame:
     expression, and only rows where it is false are learned from. sizes: piece, part and range_, in tokens."""
     ship(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    learned = Learned(rows, Scratch(docs.sparkSession, "lm"), **sizes)
+    scratch = Scratch(docs.sparkSession, "lm")
+    learned = Learned(rows, scratch, **sizes)
     total = F.lit(learned.totals[SWEEPS].tokens).cast("long").alias("train_tokens")
-    return learned.scores().select("doc_id", "held_out", "n_tokens", "n_known", total, "base_score", "score")
+    out = learned.scores(scratch)
+    scratch.drop("pieces", "counts", *[f"{x}-{k}" for k in range(SWEEPS + 1) for x in ("answers", "tables")])
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", total, "base_score", "score")
