@@ -1,14 +1,14 @@
 """Quality rules: simple counts, and divergence from what texts of a language look like.
 
-Two histograms of a document are held against references with the Jensen-Shannon distance (the root of
-the divergence to base 2, 0 to 1): that of its characters over six classes, and that of its words over
-the common words of a language and the rest. The references are those of all documents of a language
-whose characters are prose by a plain measure, so that junk doesn't become the norm.
-Common are words that make up at least COMMON of a language's words, so there are at most 1 / COMMON a
-language; a language has a reference from LEAST_REFERENCE words on, and of the languages at most
-MOST_LANGUAGES, those with most words, so what the driver sees is bounded. A document is held against
-its language's reference; one of a language without reference against the nearest of all. A verdict on
-characters needs LEAST_CHARACTERS, one on words LEAST_WORDS, as short texts differ by chance.
+Two histograms of a document are held against its language's reference with the Jensen-Shannon distance (the
+root of the divergence to base 2, 0 to 1): that of its characters over seven classes, and that of its words
+over the common words of the language and the rest. The references are those of all documents of a
+language whose characters are prose by a plain measure, in scripts with and without case, so that junk
+doesn't become the norm. Common are words that make up at least COMMON of a language's words, so there are
+at most 1 / COMMON a language; a language has a reference from LEAST_REFERENCE words on. References are a
+table with a row for each language, joined by it, however many there are. A document whose language has
+none isn't judged by distance. A verdict on characters needs LEAST_CHARACTERS, one on words LEAST_WORDS, as
+short texts differ by chance.
 
 Everything is DataFrame expressions; a document is judged within its row.
 
@@ -22,13 +22,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import BLANKS, Scratch, bind, words
+from emberline.llm.common import BLANKS, Scratch, bind, few, fresh, words
 
 COMMON = 0.005
-MOST_LANGUAGES = 64
 LEAST_REFERENCE = 1000
-#: Documents count towards a reference with at least this share of lower-case letters and at most that of symbols.
-LEAST_LOWER, MOST_SYMBOLS = 0.6, 0.005
+#: Documents count towards a reference with at least this share of lower-case letters, or of letters without case, and
+#: at most that of symbols.
+LEAST_LETTERS, MOST_SYMBOLS = 0.6, 0.005
 LEAST_CHARACTERS = 200
 LEAST_WORDS = 100
 #: A histogram of n over k values is too far at more than this distance plus NOISE * sqrt(k / n), as few draws stray
@@ -37,45 +37,51 @@ MOST_CLASS_DISTANCE = 0.13
 MOST_WORD_DISTANCE = 0.15
 NOISE = 0.55
 WINDOW = 8
-CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol")
+CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "letter")
 
 
 def class_counts(text: Column) -> Column:
-    """Array of the numbers of characters in CLASSES; letters other than lower-case ones count as upper."""
+    """Array of the numbers of characters in CLASSES; `letter` are letters without case and what combines with them."""
 
     def counts(rest: Column) -> Column:
         # What is left without lower-case letters is a fifth of a text, and without blanks a twentieth.
         def few(r: Column) -> Column:
             without = lambda p: F.length(r) - F.length(F.regexp_replace(r, p, ""))
-            upper, digit, mark = without(r"\p{L}+"), without(r"[0-9]+"), without(r"[.,;:'\"!?()\-]+")
-            return F.array(F.length(text) - F.length(rest), upper, digit, F.length(rest) - F.length(r), mark, F.length(r) - upper - digit - mark).cast("array<double>")
+            upper, digit, mark, letter = without(r"[\p{Lu}\p{Lt}]+"), without(r"[0-9]+"), without(r"[.,;:'\"!?()\-]+"), without(r"[\p{Lo}\p{Lm}\p{M}]+")
+            return F.array(F.length(text) - F.length(rest), upper, digit, F.length(rest) - F.length(r), mark, F.length(r) - upper - digit - mark - letter, letter).cast("array<double>")
 
         return bind(F.regexp_replace(rest, r"[\x20\x09-\x0D]+", ""), few)
 
     return bind(F.regexp_replace(text, r"\p{Ll}+", ""), counts)
 
 
-def references(docs: DataFrame) -> list[tuple[str, list[float], dict[str, float]]]:
-    """(lang, shares of CLASSES, shares of common words) of the languages that have a reference."""
+def _language() -> Column:
+    return F.coalesce(F.col("lang").cast("string"), F.lit(""))
+
+
+def references(docs: DataFrame) -> DataFrame:
+    """lang and ref, a struct of classes (shares of CLASSES), words (shares of common words) and sum (of those), of
+    the languages that have a reference."""
     scratch = Scratch(docs.sparkSession, "rules")
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(_language().alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = F.length("text")
-    prose = (F.length(F.regexp_replace("text", r"\p{Ll}+", "")) <= (1 - LEAST_LOWER) * size) & (F.length(F.regexp_replace("text", r"[^#*$%&|<>@~^=+\[\]{}\\/_`]+", "")) <= MOST_SYMBOLS * size)
+    prose = (F.length(F.regexp_replace("text", r"[\p{Ll}\p{Lo}\p{M}]+", "")) <= (1 - LEAST_LETTERS) * size) & (F.length(F.regexp_replace("text", r"[^#*$%&|<>@~^=+\[\]{}\\/_`]+", "")) <= MOST_SYMBOLS * size)
     rows = rows.where(prose)
     counts = scratch.keep(rows.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").count(), "counts")
-    totals = counts.groupBy("lang").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST_REFERENCE).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not totals:
-        return []
-    known = [r.lang for r in totals]
-    classes = rows.where(F.col("lang").isin(known)).select("lang", class_counts(F.col("text")).alias("c"))
-    sums = {r.lang: r for r in classes.groupBy("lang").agg(*[F.sum(F.col("c")[i]).alias(x) for i, x in enumerate(CLASSES)]).collect()}
-    size = {r.lang: r.n for r in totals}
-    least = F.element_at(F.create_map(*[F.lit(x) for k, n in size.items() for x in (k, float(n) * COMMON)]), F.col("lang"))
-    common: dict[str, dict[str, float]] = {k: {} for k in known}
-    for r in counts.where(F.col("lang").isin(known)).where(F.col("count") >= least).collect():
-        common[r.lang][r.word] = r["count"] / size[r.lang]
-    scratch.close()
-    return [(k, [sums[k][x] / max(1.0, sum(sums[k][y] for y in CLASSES)) for x in CLASSES], dict(sorted(common[k].items()))) for k in known]
+    totals = counts.groupBy("lang").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST_REFERENCE)
+    totals = few(scratch.keep(totals, "totals"))
+    share = F.struct("word", (F.col("count") / F.col("n")).alias("share"))
+    common = counts.join(totals, "lang").where(F.col("count") >= COMMON * F.col("n")).groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(share))).alias("words"))  # at most 1 / COMMON a language
+    sums = rows.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(CLASSES))]).alias("sums"))
+    held = totals.select("lang").join(sums, "lang").join(common, "lang", "left")
+    none = F.create_map().cast("map<string,double>")
+    all_ = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
+    classes = F.transform("sums", lambda x: x / F.greatest(all_, F.lit(1.0)))
+    held = held.select("lang", classes.alias("classes"), F.coalesce("words", none).alias("words"))
+    sum_ = F.aggregate(F.map_values("words"), F.lit(0.0), lambda a, x: a + x)
+    out = scratch.keep(held.select("lang", F.struct("classes", "words", sum_.alias("sum")).alias("ref")), "references")
+    scratch.drop("counts", "totals")
+    return out
 
 
 def _half(p: Column, q: Column) -> Column:
@@ -119,82 +125,72 @@ def n_repeat_words(all_words: Column) -> Column:
     return bind(all_words, of)
 
 
-def _measures(against: list[tuple[str, list[float], dict[str, float]]], text: Column):
+def _measures(ref: Column, text: Column):
     """(of_words, of_classes): from a text's words the struct of n_words, n_repeat_words, word_distance, base_failed and
-    word_far, from its counts of classes that of word_chars, class_distance and class_far."""
-    refs = F.array(
-        *[
-            F.struct(
-                F.lit(lang).alias("lang"),
-                F.array(*[F.lit(float(x)) for x in shares]).alias("classes"),
-                (F.create_map(*[F.lit(x) for pair in common.items() for x in pair]) if common else F.create_map().cast("map<string,double>")).alias("words"),
-                F.lit(float(sum(common.values()))).alias("sum"),
-            )
-            for lang, shares, common in against
-        ]
-    )
-    own = F.coalesce(F.col("lang").cast("string"), F.lit(""))
-    near = F.when(own.isin([x for x, _, _ in against]), F.filter(refs, lambda r: r["lang"] == own)).otherwise(refs)
-    values_of_words = 1 + max([len(common) for _, _, common in against], default=0)
-    known = sorted({w for _, _, common in against for w in common})
+    word_far, from its counts of classes that of word_chars, class_distance and class_far. ref: null without a reference."""
 
     def class_distance(c: Column) -> Column:
         n = F.greatest(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
-        one = lambda r: sum((_half(c[i] / n, r["classes"][i]) for i in range(len(CLASSES))), F.lit(0.0))
-        return F.array_min(F.transform(near, lambda r: _root(one(r))))
+        return _root(sum((_half(c[i] / n, ref["classes"][i]) for i in range(len(CLASSES))), F.lit(0.0)))
 
     def word_distance(w: Column) -> Column:
         def found(cw: Column) -> Column:
-            shares = F.transform(F.array_distinct(cw), lambda x: F.struct(x.alias("w"), ((F.size(cw) - F.size(F.array_remove(cw, x))) / F.size(w)).alias("p")))
-
-            def one(s: Column, r: Column) -> Column:
-                both = F.filter(F.transform(s, lambda x: F.struct(x["p"].alias("p"), F.element_at(r["words"], x["w"]).alias("q"))), lambda x: x["q"].isNotNull())
-                start = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
-                add = lambda a, x: F.struct((a["js"] + _half(x["p"], x["q"])).alias("js"), (a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q"))
-                return F.aggregate(both, start, add, lambda a: _root(a["js"] + _half(F.greatest(1 - a["p"], F.lit(0.0)), F.greatest(1 - r["sum"], F.lit(0.0))) + (r["sum"] - a["q"]) / 2))
+            both = F.transform(F.array_distinct(cw), lambda x: F.struct(((F.size(cw) - F.size(F.array_remove(cw, x))) / F.size(w)).alias("p"), F.element_at(ref["words"], x).alias("q")))
+            start = F.struct(F.lit(0.0).alias("js"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
+            add = lambda a, x: F.struct((a["js"] + _half(x["p"], x["q"])).alias("js"), (a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q"))
+            return F.aggregate(both, start, add, lambda a: _root(a["js"] + _half(F.greatest(1 - a["p"], F.lit(0.0)), F.greatest(1 - ref["sum"], F.lit(0.0))) + (ref["sum"] - a["q"]) / 2))
 
-            return bind(shares, lambda s: F.array_min(F.transform(near, lambda r: one(s, r))))
+        return bind(F.filter(F.transform(w, F.lower), lambda x: F.map_contains_key(ref["words"], x)), found)
 
-        lowered = lambda x: F.lower(x).isin(known) if known else F.lit(False)
-        return bind(F.transform(F.filter(w, lowered), F.lower), found)
-
-    def too_far(distance: Column, most: float, k: int, n: Column) -> Column:
+    def too_far(distance: Column, most: float, k, n: Column) -> Column:
         return F.coalesce(distance > most + NOISE * F.sqrt(k / n), F.lit(False))
 
     def of_words(w: Column) -> Column:
-        far = F.when(F.size(w) >= LEAST_WORDS, word_distance(w)) if against else F.lit(None).cast("double")
+        far = F.when((F.size(w) >= LEAST_WORDS) & ref.isNotNull(), word_distance(w))
         held = F.struct(F.size(w).cast("long").alias("n_words"), n_repeat_words(w).alias("n_repeat_words"), far.alias("word_distance"))
 
         def judged(x: Column) -> Column:
             failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
-            return F.struct(*[x[k].alias(k) for k in ("n_words", "n_repeat_words", "word_distance")], failed.alias("base_failed"), too_far(x["word_distance"], MOST_WORD_DISTANCE, values_of_words, x["n_words"]).alias("word_far"))
+            return F.struct(*[x[k].alias(k) for k in ("n_words", "n_repeat_words", "word_distance")], failed.alias("base_failed"), too_far(x["word_distance"], MOST_WORD_DISTANCE, 1 + F.size(F.map_keys(ref["words"])), x["n_words"]).alias("word_far"))
 
         return bind(held, judged)
 
     def of_classes(c: Column) -> Column:
-        far = F.when(F.length(text) >= LEAST_CHARACTERS, class_distance(c)) if against else F.lit(None).cast("double")
+        far = F.when((F.length(text) >= LEAST_CHARACTERS) & ref.isNotNull(), class_distance(c))
         n = (F.length(text) - F.element_at(c, 1 + CLASSES.index("blank"))).cast("long")
         return bind(far, lambda x: F.struct(n.alias("word_chars"), x.alias("class_distance"), too_far(x, MOST_CLASS_DISTANCE, len(CLASSES), F.length(text)).alias("class_far")))
 
     return of_words, of_classes
 
 
-def judge(docs: DataFrame, against: list[tuple[str, list[float], dict[str, float]]] | None = None) -> DataFrame:
+def _referred(docs: DataFrame, against: DataFrame | None) -> tuple[DataFrame, str]:
+    """docs with the reference of each one's language, and the name of its column."""
+    against = references(docs) if against is None else against
+    key, ref = fresh(docs, "of_language"), fresh(docs, "reference")
+    named = against.select(F.col("lang").alias(key), F.col("ref").alias(ref))
+    return docs.join(few(named), _language() == F.col(key), "left").drop(key), ref
+
+
+def judge(docs: DataFrame, against: DataFrame | None = None) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (long), base_failed, the distances
-    class_distance and word_distance (null where the text is too short), and kept."""
+    class_distance and word_distance (null where the text is too short or has no reference), and kept."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    of_words, of_classes = _measures(references(docs) if against is None else against, text)
+    rows, ref = _referred(docs, against)
+    of_words, of_classes = _measures(F.col(ref), text)
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
-    made = docs.withColumn("__w", bind(words(text), of_words)).withColumn("__c", bind(class_counts(text), of_classes)).withColumn("__l", bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    values = {k: F.col(f"__w.{k}") for k in ("n_words", "n_repeat_words", "word_distance", "base_failed")} | {k: F.col(f"__c.{k}") for k in ("word_chars", "class_distance")}
-    values |= {"n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"), "n_dup_lines": F.col("__l"), "kept": ~(F.col("__w.base_failed") | F.col("__c.class_far") | F.col("__w.word_far"))}
+    w, c, n = (fresh(rows, x) for x in ("of_words", "of_classes", "of_lines"))
+    made = rows.withColumn(w, bind(words(text), of_words)).withColumn(c, bind(class_counts(text), of_classes)).withColumn(n, bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
+    values = {k: F.col(f"{w}.{k}") for k in ("n_words", "n_repeat_words", "word_distance", "base_failed")} | {k: F.col(f"{c}.{k}") for k in ("word_chars", "class_distance")}
+    values |= {"n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"), "n_dup_lines": F.col(n), "kept": ~(F.col(f"{w}.base_failed") | F.col(f"{c}.class_far") | F.col(f"{w}.word_far"))}
     return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in values], *[v.alias(k) for k, v in values.items()])
 
 
-def accepted(docs: DataFrame, against: list[tuple[str, list[float], dict[str, float]]] | None = None) -> DataFrame:
+def accepted(docs: DataFrame, against: DataFrame | None = None) -> DataFrame:
     """The documents that are kept. The verdict is one expression, as a filter on judge's columns would measure a
     text once for each column that the verdict needs."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    of_words, of_classes = _measures(references(docs) if against is None else against, text)
+    rows, ref = _referred(docs, against)
+    of_words, of_classes = _measures(F.col(ref), text)
     near = bind(class_counts(text), lambda c: bind(of_classes(c), lambda x: ~x["class_far"]))
-    return docs.where(near & bind(words(text), lambda w: bind(of_words(w), lambda x: ~(x["base_failed"] | x["word_far"]))))
+    kept = rows.where(near & bind(words(text), lambda w: bind(of_words(w), lambda x: ~(x["base_failed"] | x["word_far"]))))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
