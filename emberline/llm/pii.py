@@ -4,7 +4,9 @@ Every recognised value is validated (Luhn for cards, ranges for addresses and da
 and replaced by the image of a keyed Feistel permutation of all values of its format. The permutation
 depends only on key, kind and format, so equal values get equal pseudonyms in all documents, different
 values get different ones, and who has the key can undo them. Card and IBAN check digits are computed
-anew, so a pseudonym passes the same validation as the value it stands for.
+anew, so a pseudonym passes the same validation as the value it stands for. Digits are ASCII digits. What is
+looked at for one value is bounded, so cost is linear in a text's length; an address with over 64 characters
+before its @ isn't one.
 
 Defined results: a null text stays null with no findings; an empty text stays empty; text without
 findings is returned unchanged; repeated rows give repeated rows; other columns pass through, and a
@@ -17,29 +19,34 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberline.llm.common import ship
+from emberline.llm.common import fresh, ship
 
 ROUNDS = 10
-DEFAULT_KEY = "emberline pseudonym key"
 
 # What each kind of personal data looks like.
-EMAIL = r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+)"
-IPV4 = r"(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d))"
-DATE = r"(?P<date>(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4})(?![\w\-/]|\.\d))"
-SSN = r"(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
-PHONE = r"(?P<phone>(?<![\w])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\) ?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w))"
-CARD = r"(?P<card>(?<![\w])\d(?:[ \-]?\d){12,18}(?!\w))"
-IBAN = r"(?P<iban>(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{11,30}(?!\w))"
-SECRET = r"(?P<secret>(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<=password=)\w{6,}|(?<=\")[0-9a-f]{32,64}(?=\"))"
+EMAIL = r"(?P<email>(?<![A-Za-z0-9])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9\-]{1,63}(?:\.[A-Za-z0-9\-]{1,63}){1,8})"
+IPV4 = r"(?P<ip>(?<![\w.])[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}(?![0-9]|\.[0-9]))"
+DATE = r"(?P<date>(?<![\w\-/.])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4})(?![\w\-/]|\.[0-9]))"
+SSN = r"(?P<ssn>(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-]))"
+PHONE = r"(?P<phone>(?<![\w])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?!\w))"
+CARD = r"(?P<card>(?<![\w])[0-9](?:[ \-]?[0-9]){12,18}(?!\w))"
+IBAN = r"(?P<iban>(?<!\w)[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?!\w))"
+SECRET = r"(?P<secret>(?<!\w)AKIA[A-Z0-9]{16}(?!\w)|(?<=password=)\w{6,}|(?<=\")(?:[0-9a-f]{32,64}|[0-9A-F]{32,64})(?=\"))"
 KINDS = ("email", "ip", "date", "ssn", "phone", "card", "iban", "secret")
 FOUND = re.compile("|".join((EMAIL, SECRET, IPV4, DATE, SSN, PHONE, CARD, IBAN)))
-MAYBE = re.compile(r"[0-9@]|password=")
+#: Every value that FOUND finds holds one of these or is one.
+MAYBE = re.compile(r"[0-9@]|password=|AKIA|\"[A-Fa-f]{32}")
+#: Longer values are permuted in parts.
+PART = 64
+#: The session's setting of the key.
+KEY = "spark.emberline.pseudonymKey"
 
 
 class Feistel:
@@ -50,9 +57,10 @@ class Feistel:
         self.key = hashlib.sha256(key.encode()).digest()
 
     def _round(self, i: int, tweak: str, half: int, modulus: int) -> int:
-        size = min(64, (modulus.bit_length() + 7) // 8 + 8)
-        h = hashlib.blake2b(f"{i}|{tweak}|{half}".encode(), key=self.key, digest_size=size)
-        return int.from_bytes(h.digest(), "big") % modulus
+        size = (modulus.bit_length() + 7) // 8 + 8
+        given = f"{i}|{tweak}|".encode() + half.to_bytes((half.bit_length() + 7) // 8, "big")
+        parts = [hashlib.blake2b(given + bytes([k]) * (k > 0), key=self.key, digest_size=min(64, size - 64 * k)).digest() for k in range(-(-size // 64))]
+        return int.from_bytes(b"".join(parts), "big") % modulus
 
     def permute(self, x: int, n: int, tweak: str) -> int:
         if n < 2:
@@ -114,12 +122,14 @@ FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099,
 
 
 class Pseudonyms:
-    def __init__(self, key: str = DEFAULT_KEY, undo: bool = False):
+    def __init__(self, key: str, undo: bool = False):
         f = Feistel(key)
         self.move = f.invert if undo else f.permute
 
     def characters(self, value: str, tweak: str, free: str = "") -> str:
         """Permutes letters among letters of their case and digits among digits; other characters stay."""
+        if len(value) > PART:
+            return "".join(self.characters(value[i : i + PART], f"{tweak}|{i}") for i in range(0, len(value), PART))
         radix = [26 if c.islower() else 26 if c.isupper() else 10 if c.isdigit() else 1 for c in value]
         first = [97 if c.islower() else 65 if c.isupper() else 48 if c.isdigit() else ord(c) for c in value]
         x, n = 0, 1
@@ -144,11 +154,11 @@ class Pseudonyms:
     def dress(value: str, digits: str) -> str:
         """value with its digits replaced in order."""
         rest = iter(digits)
-        return "".join(next(rest) if c.isdigit() else c for c in value)
+        return "".join(next(rest) if c in "0123456789" else c for c in value)
 
     def of(self, kind: str, value: str) -> str | None:
         """The pseudonym, or None if value isn't valid for its kind."""
-        bare = re.sub(r"\D", "", value)
+        bare = re.sub("[^0-9]", "", value)
         if kind == "email":
             local, _, domain = value.partition("@")
             if not local.isascii():
@@ -186,9 +196,9 @@ class Pseudonyms:
         if kind == "secret":
             if value.startswith("AKIA"):
                 return "AKIA" + self.characters(value[4:], "key")
-            if re.fullmatch("[0-9a-f]+", value):
-                y = self.move(int(value, 16), 16 ** len(value), f"hex|{len(value)}")
-                return f"{y:0{len(value)}x}"
+            if len(value) >= 32 and re.fullmatch("[0-9a-f]+|[0-9A-F]+", value):
+                y = f"{self.move(int(value, 16), 16 ** len(value), f'hex|{len(value)}'):0{len(value)}x}"
+                return y.upper() if value != value.lower() else y
             return self.characters(value, "password") if value.isascii() else None
         raise ValueError(kind)
 
@@ -205,9 +215,21 @@ class Pseudonyms:
         return (FOUND.sub(swap, text), found) if MAYBE.search(text) else (text, found)
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, undo: bool = False) -> DataFrame:
+def key_of(spark: SparkSession) -> str:
+    """The key that the session's setting KEY holds; without one, a random key of this application's, which nobody
+    learns, so its pseudonyms are linked but can't be undone."""
+    sc = spark.sparkContext
+    if named := spark.conf.get(KEY, None):
+        return named
+    if not getattr(sc, "_emberline_key", None):
+        sc._emberline_key = secrets.token_hex(32)
+    return sc._emberline_key
+
+
+def pseudonymize(docs: DataFrame, key: str | None = None, undo: bool = False) -> DataFrame:
     """docs with personal data in `text` replaced, and a column pii_n_<kind> (int) for each kind."""
     ship(docs.sparkSession)
+    key = key or key_of(docs.sparkSession)
     kind = f"text string, {', '.join(f'pii_n_{k} int' for k in KINDS)}"
 
     @F.pandas_udf(kind)
@@ -217,12 +239,13 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY, undo: bool = False) ->
             rows = [(None, {}) if x is None else own.text(x) for x in batch]
             yield pd.DataFrame({"text": pd.Series([x for x, _ in rows], dtype=object)} | {f"pii_n_{k}": pd.Series([f.get(k, 0) for _, f in rows], dtype="int32") for k in KINDS})
 
-    out = docs.withColumn("__pii", replaced("text"))
+    held = fresh(docs, "pii")
+    out = docs.withColumn(held, replaced("text"))
     added = [f"pii_n_{k}" for k in KINDS]
-    return out.select(*[F.col("__pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in added], *[F.col(f"__pii.{c}").alias(c) for c in added])
+    return out.select(*[F.col(f"{held}.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns if c not in added], *[F.col(f"{held}.{c}").alias(c) for c in added])
 
 
-def rewritten(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def rewritten(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with the same columns, personal data in `text` replaced (n_chars, where it is kept, still
     holds, as a pseudonym is as long as its value except for addresses and dates, so it is computed anew)."""
     out = pseudonymize(docs, key).select(*[F.col(f"`{c}`") for c in docs.columns])
