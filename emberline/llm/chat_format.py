@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import bind
+from emberline.llm.common import bind, fresh
 
 # The marks of the template.
 START, AFTER_ROLE, STOP = "<|im_start|>", "\n", "<|im_end|>\n"
@@ -55,7 +55,8 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
     """pairs, whose columns chosen and rejected (arrays of role and text) become the rendered completions, with
     n_prompt_turns, prompt, chosen_mask and rejected_mask."""
     none = F.array().cast(TURNS)
-    both = F.struct(*[F.coalesce(F.col(c).cast(TURNS), none).alias(c) for c in ("chosen", "rejected")])
+    plain = lambda t: F.struct(*[F.coalesce(t[k], F.lit("")).alias(k) for k in ("role", "text")])
+    both = F.struct(*[F.transform(F.coalesce(F.col(c).cast(TURNS), none), plain).alias(c) for c in ("chosen", "rejected")])
 
     def made(p: Column) -> Column:
         def of(n: Column) -> Column:
@@ -70,8 +71,9 @@ def format_preferences(pairs: DataFrame) -> DataFrame:
         return bind(common_turns(p["chosen"], p["rejected"]), of)
 
     names = ["n_prompt_turns", "prompt", "chosen", "rejected", "chosen_mask", "rejected_mask"]
-    out = pairs.withColumn("__made", bind(both, made))
-    return out.select(*[F.col(f"`{c}`") for c in pairs.columns if c not in names], *[F.col(f"__made.{c}").alias(c) for c in names])
+    held = fresh(pairs, "made")
+    out = pairs.withColumn(held, bind(both, made))
+    return out.select(*[F.col(f"`{c}`") for c in pairs.columns if c not in names], *[F.col(f"{held}.{c}").alias(c) for c in names])
 
 
 def gathered(turns: DataFrame, key: str = "conv_id") -> DataFrame:

@@ -18,7 +18,7 @@ def test_pairs(spark):
     for r in c.format_preferences(rows).collect():
         x, y = cases[r.id][0] or [], cases[r.id][1] or []
         n = 0
-        while n < min(len(x), len(y)) and x[n] == y[n]:
+        while n < min(len(x), len(y)) and chat(x[n : n + 1]) == chat(y[n : n + 1]):
             n += 1
         assert (r.n_prompt_turns, r.prompt, r.chosen, r.rejected) == (n, chat(x[:n]), chat(x[n:]), chat(y[n:]))
         assert (r.chosen_mask, r.rejected_mask) == (spans(x[n:]), spans(y[n:]))
@@ -44,3 +44,21 @@ def test_sql_gives_the_same(spark, sf_dir):
     want = d.execute(queries.SQL["op7_chat_format"]).df()
     got = queries.QUERIES["op7_chat_format"](spark, sf_dir).toPandas()
     assert sorted(map(tuple, got[sorted(got)].values.tolist())) == sorted(map(tuple, want[sorted(want)].values.tolist()))
+
+
+def test_null_texts_equal_the_sql(spark):
+    """Turns without text or role, with a null reply, and repeated rows, against the query's SQL."""
+    import duckdb
+    import pandas as pd
+
+    from emberline.llm import queries
+
+    turns = [(1, 0, "user", "q"), (1, 1, "assistant", None), (2, 0, "user", None), (2, 1, "assistant", ""), (2, 2, "assistant", None), (3, 0, None, None), (4, 0, "assistant", "x"), (4, 0, "assistant", "x"), (4, 1, "assistant", None)]
+    conversations = pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"])
+    d = duckdb.connect()
+    d.register("conversations", conversations)
+    want = d.execute(queries.SQL["op7_chat_format"])
+    columns = [x[0] for x in want.description]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    got = c.format_preferences(c.with_earlier_reply(c.gathered(table))).select(*columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall())
