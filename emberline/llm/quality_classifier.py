@@ -1,7 +1,8 @@
 """Document quality from learned subword embeddings.
 
 A document is the bag of its words and of the character n-grams of its words, each hashed to one of
-BUCKETS vectors; a word that repeats the one before it also counts as a shared token. The vectors are
+BUCKETS vectors; a word that repeats the one before it also counts as a shared token (an addition to the
+method: repeats are what n-grams of single words can't see). The vectors are
 averaged, a linear layer and a softmax give the probability of either class, and all of it is trained by
 stochastic gradient descent in numpy on a bounded sample of labelled documents.
 
@@ -10,7 +11,7 @@ share of the log-odds. The model that executors get is BUCKETS floats whatever t
 
 Defined results: a null, empty or blank text has no features and gets the score that the bias alone
 gives. A null label or doc_id in the labels is never learned from. Without labelled rows the score is the
-prior of 0.5 everywhere. Repeated rows get equal scores; other columns of the documents are not read.
+prior of 0.5 everywhere. Repeated rows get equal scores; of labelled rows that share a doc_id the least text is learned from; other columns of the documents are not read.
 """
 
 from __future__ import annotations
@@ -132,9 +133,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> np.ndarray:
     """Learns from at most `sample` documents that have a label (doc_id, quality)."""
     ship(docs.sparkSession)
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("label"))
-    # Classes alike where both have enough; ties of the hash go by id.
+    # Ties of the hash go by id; of documents that share an id one text counts, so that as many rows as ids are collected.
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(chosen, sample), "doc_id").select("text", "label").mapInArrow(_featurize, "label int, buckets binary, weights binary")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few(chosen, sample), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    rows = texts.select("text", "label").mapInArrow(_featurize, "label int, buckets binary, weights binary")
     held = [(int(r.label), np.frombuffer(r.buckets, np.uint16).astype(np.int64), np.frombuffer(r.weights, np.float32)) for r in rows.collect()]
     held.sort(key=lambda x: (x[0], x[1].tobytes(), x[2].tobytes()))  # as tasks may end in any order
     return train(held)

@@ -42,3 +42,13 @@ def test_features_are_each_texts_own():
     n = [sum(at[i + 1] - at[i] for _, at in parts) for i in range(6)]
     # "the cat sat sat": 4 words, 4 * 3 + 4 * 2 grams of 3 and 4 with blanks, one repeat.
     assert n[0] == 4 + 4 * 3 + 4 * 2 + 8 and n[1] == n[3] == 0 and n[2] == 2
+
+
+def test_rows_of_one_labelled_id_are_learned_from_once(documents, spark):
+    texts = [prose(i, 40) for i in range(6)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, quality int")
+    once = [*enumerate(texts)]
+    again = once + [(0, texts[0])] * 500
+    assert np.array_equal(q.fit(documents(once), labels), q.fit(documents(again), labels))
+    long_ = documents([*once, (9, "word " * 200_000)])
+    assert all(0 <= r.quality_score <= 1 for r in q.score(long_, q.fit(long_, labels)).collect())
