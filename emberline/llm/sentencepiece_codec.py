@@ -166,13 +166,13 @@ class Codec:
 
     def run(self, n: int) -> list[int]:
         """Ids of n blanks by themselves: the leftmost pair whose union is a piece merges first, again and again."""
-        parts = [1] * n
-        sizes = {len(p) for p in self.v.runs}
-        while True:
-            k = next((k for k in range(len(parts) - 1) if parts[k] + parts[k + 1] in sizes), None)
-            if k is None:
-                return [self.v.runs[BLANK * x] for x in parts]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        sizes, parts = {len(p) for p in self.v.runs}, []
+        # Left of the next blank nothing merges any more, so what merges first is always the last two parts.
+        for _ in range(n):
+            parts.append(1)
+            while len(parts) > 1 and parts[-2] + parts[-1] in sizes:
+                parts[-2:] = [parts[-2] + parts[-1]]
+        return [self.v.runs[BLANK * x] for x in parts]
 
     def _encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of every word with one blank before it."""

@@ -57,3 +57,12 @@ def test_suffixes_and_occurrences():
     low, high = s.occurrences(text, order, chars, np.array([len(w) for w in words]))
     found = [sorted(order[a:b].tolist()) for a, b in zip(low, high)]
     assert found == [[i for i in range(14) if "banana bandana".startswith(w, i)] for w in words]
+
+
+def test_long_runs_of_blanks(vocabulary, library):
+    codec = s.Codec(vocabulary)
+    texts = ["a" + " " * n + b for n in (*range(1, 90), 1000) for b in ("", "b", "\n")]
+    for t, ids in zip(texts, codec.encode(texts)):
+        assert ids.tolist() == library.encode(t), len(t)
+    n = 1_000_000
+    assert sum(len(vocabulary.pieces[i]) for i in codec.run(n)) == n
