@@ -5,8 +5,9 @@ piece as long as a sequence fills one. The others are dealt by hash into demes o
 that a task's work and memory are bounded at any scale. Every deme evolves on ISLANDS islands. A solution
 is a list of bins, and genes are whole bins: crossover injects well-filled bins of one parent into the
 other, dissolves the bins that now hold a piece twice, and best-fits what that displaced; mutation
-dissolves the worst bins. Between epochs the elite of each island migrates to the next. A deme stops as
-soon as it needs no more bins than its tokens would, cut freely. What the best solution leaves in
+dissolves the worst bins. Best-fit-decreasing is one of an island's first people. Between epochs the elite of each
+island migrates to the next. After FEWEST generations a deme stops as soon as it needs no more bins than its
+tokens would, cut freely. What the best solution leaves in
 poorly filled bins goes to fewer demes of a further level, until one deme is left or a level saves no more
 than a hundredth of the bins.
 
@@ -35,8 +36,9 @@ END = 0
 DEME = 4096
 ISLANDS = 2
 EPOCHS = 2
-POPULATION = 4
-GENERATIONS = 10
+POPULATION = 6
+#: Generations of an island in an epoch, and those that pass at least.
+GENERATIONS, FEWEST = 40, 3
 #: Bins below this fill are packed anew at the next level.
 WELL_FILLED = 0.99
 #: Texts of only these characters are split alike by both libraries; all others go to `tokenizers`.
@@ -164,29 +166,29 @@ def _mutated(a: list[list[int]], sizes: list[int], capacity: int, rng) -> list[l
     return fill([list(x) for b, x in enumerate(a) if b not in out], sizes, sorted(loose, key=lambda i: -sizes[i] * rng.uniform(0.9, 1.1)), capacity)
 
 
-def evolve(sizes: list[int], capacity: int, seed: int, settlers: list[list[list[int]]] = (), generations: int = GENERATIONS) -> list[list[int]]:
-    """The best bins that an island finds, starting from best-fit-decreasing and from those it is given."""
+def evolve(sizes: list[int], capacity: int, seed: int, settlers: list[list[list[int]]] = (), generations: int = GENERATIONS) -> tuple[list[list[int]], int]:
+    """The best bins that an island finds and the generations it took. The first people are those it is given, or
+    best-fit-decreasing and orders near it; FEWEST generations pass before it may stop at the least number of bins."""
     rng = np.random.default_rng(seed)
     least = -(-sum(sizes) // capacity)
     n = range(len(sizes))
     people = [[list(b) for b in s] for s in settlers] or [fill([], sizes, sorted(n, key=lambda i: -sizes[i]), capacity)]
     score = lambda x: fitness(x, sizes, capacity)
-    if min(map(len, people)) <= least:
-        return max(people, key=score)
     while len(people) < POPULATION:
         noise = rng.uniform(0.8, 1.2, len(sizes))
         people.append(fill([], sizes, sorted(n, key=lambda i: -sizes[i] * noise[i]), capacity))
-    for _ in range(generations):
-        people.sort(key=score, reverse=True)
-        if len(people[0]) <= least:
-            break
-        a, b = rng.choice(max(2, POPULATION // 2), 2, replace=False) if rng.random() < 0.5 else rng.choice(POPULATION, 2, replace=False)
-        child = _crossed(people[a], people[b], sizes, capacity, rng)
+    people = sorted(((score(x), x) for x in people), key=lambda x: x[0], reverse=True)
+    for g in range(generations):
+        if g >= FEWEST and len(people[0][1]) <= least:
+            return people[0][1], g
+        a, b = rng.choice(max(2, POPULATION // 2), 2, replace=False) if rng.random() < 0.5 else rng.choice(len(people), 2, replace=False)
+        child = _crossed(people[a][1], people[b][1], sizes, capacity, rng)
         if rng.random() < 0.7:
             child = _mutated(child, sizes, capacity, rng)
-        if score(child) > score(people[-1]):
-            people[-1] = child
-    return max(people, key=score)
+        if (own := score(child)) > people[-1][0]:
+            people[-1] = (own, child)
+            people.sort(key=lambda x: x[0], reverse=True)
+    return people[0][1], generations
 
 
 _ITEM = ["doc_id", "piece", "start", "length", "ids_crc32", "copy"]
@@ -198,16 +200,16 @@ def _evolve_level(dealt: DataFrame, capacity: int, level: int, scratch: Scratch)
 
     def first(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(_ITEM, kind="stable", ignore_index=True)
-        return _laid(g, evolve(g["length"].tolist(), capacity, key[0] * 1009 + key[1]))
+        return _laid(g, *evolve(g["length"].tolist(), capacity, key[0] * 1009 + key[1]))
 
     def later(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         settlers, items = [], None
         for _, own in g.groupby("home"):
             items = own.sort_values(_ITEM, kind="stable", ignore_index=True)
             settlers.append([x.tolist() for x in items.groupby("bin").indices.values()])
-        return _laid(items.drop(columns=["home"]), evolve(items["length"].tolist(), capacity, key[0] * 1009 + key[1] + 7919, settlers))
+        return _laid(items.drop(columns=["home"]), *evolve(items["length"].tolist(), capacity, key[0] * 1009 + key[1] + 7919, settlers))
 
-    def _laid(g: pd.DataFrame, bins: list[list[int]]) -> pd.DataFrame:
+    def _laid(g: pd.DataFrame, bins: list[list[int]], generations: int) -> pd.DataFrame:
         size = g["length"].to_numpy()
         bin_, at, full = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
         for k, b in enumerate(bins):
@@ -215,16 +217,16 @@ def _evolve_level(dealt: DataFrame, capacity: int, level: int, scratch: Scratch)
             at[b] = np.cumsum(size[b]) - size[b]
             full[b] = size[b].sum()
         spare = len(bins) - -(-int(size.sum()) // capacity)
-        return g[["deme", "island", *_ITEM]].assign(bin=bin_, offset=at, fill=full, spare=spare)
+        return g[["deme", "island", *_ITEM]].assign(bin=bin_, offset=at, fill=full, spare=spare, generations=generations)
 
-    schema = f"deme long, island int, {_ITEMS}, bin long, offset long, fill long, spare long"
+    schema = f"deme long, island int, {_ITEMS}, bin long, offset long, fill long, spare long, generations long"
     islands = dealt.withColumn("island", F.explode(F.array(*[F.lit(i) for i in range(ISLANDS)])))
     state = scratch.keep(islands.groupBy("deme", "island").applyInPandas(first, schema), f"level-{level}-0")
     for epoch in range(1, EPOCHS):
         open_ = state.groupBy("deme").agg(F.min("spare").alias("least")).where("least > 0").select("deme")
         if open_.isEmpty():
             break
-        elite = state.drop("offset", "fill", "spare").withColumn("home", F.col("island"))
+        elite = state.drop("offset", "fill", "spare", "generations").withColumn("home", F.col("island"))
         moved = elite.withColumn("island", (F.col("island") + 1) % ISLANDS)
         state = scratch.keep(elite.union(moved).groupBy("deme", "island").applyInPandas(later, schema), f"level-{level}-{epoch}")
     best = state.groupBy("deme").agg(F.min(F.col("spare") * 64 + F.col("island")).alias("best")).select("deme", (F.col("best") % 64).cast("int").alias("island"))

@@ -65,7 +65,8 @@ def test_evolution_keeps_every_item_and_improves():
     # Pairs that fill a bin exactly, which best fit in falling order doesn't find.
     sizes = [int(x) for a in rng.integers(30, 70, 60) for x in (a, 100 - a)] + [34, 33, 33] * 10
     start = packing.fill([], sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 100)
-    best = packing.evolve(sizes, 100, 1, generations=200)
+    best, generations = packing.evolve(sizes, 100, 1, generations=200)
+    assert generations >= packing.FEWEST
     assert sorted(i for b in best for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= 100 for b in best) and len(best) <= len(start)
     child = packing._crossed(start, best, sizes, 100, rng)
@@ -84,3 +85,24 @@ def test_bins_offer_the_tightest():
         else:
             free.append(50 - s)
         assert sorted(bins.free) == sorted(free)
+
+
+def test_evolution_beats_its_seed_on_a_hard_mix():
+    """Sizes of a quarter to a half of a sequence, of which best fit in falling order wastes much."""
+    rng = np.random.default_rng(7)
+    sizes = rng.integers(500, 1100, 1200).tolist()
+    seed = packing.fill([], sizes, sorted(range(len(sizes)), key=lambda i: -sizes[i]), 2048)
+    best, generations = packing.evolve(sizes, 2048, 3)
+    assert len(best) < len(seed) and generations == packing.GENERATIONS
+    assert sorted(i for b in best for i in b) == list(range(len(sizes))) and all(sum(sizes[i] for i in b) <= 2048 for b in best)
+
+
+def test_every_deme_evolves(spark, documents, tmp_path):
+    """Also where best-fit-decreasing already needs the fewest sequences."""
+    from emberline.llm.common import Scratch, ship
+
+    ship(spark)
+    items = [(i, 0, 0, 100 + i % 37, i, i, i % 2) for i in range(300)]
+    dealt = spark.createDataFrame(items, packing._ITEMS + ", deme long")
+    out = packing._evolve_level(dealt, 2048, 0, Scratch(spark, "t")).select("deme", "generations").distinct().collect()
+    assert {r.deme for r in out} == {0, 1} and all(r.generations >= packing.FEWEST for r in out)
