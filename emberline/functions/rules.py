@@ -9,7 +9,9 @@
     value           := literal | path | call | "-" value | "(" or-expression ")"
 
 Paths are span.<field>, span.attributes["key"], resource.attributes["key"], scope.name and scope.version.
-Functions are Int, Double, String, IsMatch, IsString, IsInt, IsBool, IsDouble, Len, Concat and ToLowerCase.
+Functions are those of FUNCTIONS, with the number of their arguments. Durations and times are numbers of
+nanoseconds: Duration reads text such as "1h30m", Seconds and its kin tell how many a duration holds, Unix
+makes a time of seconds, and UnixNano and its kin tell a time's number since 1970.
 
 What a condition needs but can't have, such as an integer of a map, is an error; it never matches and never
 stops a query. What is missing compares as nil: equal to nil alone, neither less nor greater. Values of
@@ -25,6 +27,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberline.config import duration_ns
+
 # Names of numbers.
 ENUMS = {
     "STATUS_CODE_UNSET": 0, "STATUS_CODE_OK": 1, "STATUS_CODE_ERROR": 2,
@@ -39,7 +43,18 @@ FIELDS = {
 }
 ATTRIBUTES = {"span": "attributes", "resource": "resource_attributes", "scope": "scope_attributes"}
 TOKEN = re.compile(r"""\s*(?:(?P<number>\d+\.\d+(?:[eE][+-]?\d+)?|\d+)|(?P<text>"(?:[^"\\]|\\.)*")|(?P<name>[A-Za-z_][\w.]*)|(?P<sign>==|!=|<=|>=|[<>+\-*/()\[\],]))""")
-FUNCTIONS = {"Int": 1, "Double": 1, "String": 1, "IsMatch": 2, "IsString": 1, "IsInt": 1, "IsBool": 1, "IsDouble": 1, "Len": 1, "Concat": 2, "ToLowerCase": 1}
+FUNCTIONS = {
+    "Int": 1, "Double": 1, "String": 1, "IsMatch": 2, "IsString": 1, "IsInt": 1, "IsBool": 1, "IsDouble": 1, "IsMap": 1, "IsList": 1, "Len": 1, "Concat": 2, "ToLowerCase": 1,
+    "ToUpperCase": 1, "ConvertCase": 2, "HasPrefix": 2, "HasSuffix": 2, "Substring": 3, "Trim": 1, "Index": 2, "Abs": 1, "MD5": 1, "SHA1": 1, "SHA256": 1, "Nanoseconds": 1,
+    "Microseconds": 1, "Milliseconds": 1, "Seconds": 1, "Duration": 1, "Unix": 1, "UnixNano": 1, "UnixMicro": 1, "UnixMilli": 1, "UnixSeconds": 1,
+}
+#: Functions of text alone: what they make of it, and its kind.
+OF_TEXT = {
+    "ToLowerCase": (F.lower, "string"), "ToUpperCase": (F.upper, "string"), "Trim": (F.trim, "string"), "MD5": (lambda t: F.md5(t.cast("binary")), "string"),
+    "SHA1": (lambda t: F.sha1(t.cast("binary")), "string"), "SHA256": (lambda t: F.sha2(t.cast("binary"), 256), "string"),
+}
+#: Nanoseconds of a unit. Durations and times are numbers of nanoseconds.
+UNITS = {"Nanoseconds": 1, "Microseconds": 1_000, "Milliseconds": 1_000_000, "Seconds": 1_000_000_000}
 
 
 @dataclasses.dataclass
@@ -151,6 +166,12 @@ class _Parser:
             self.need(")")
             if len(given) != FUNCTIONS[text]:
                 raise ValueError(f"{text} takes {FUNCTIONS[text]} arguments")
+            if text in ("ConvertCase", "Duration", "Substring") and any(x[0] != "literal" for x in given[0 if text == "Duration" else 1 :]):
+                raise ValueError(f"{text} takes literals")
+            if text == "ConvertCase" and given[1][1] not in ("lower", "upper"):
+                raise ValueError("ConvertCase takes lower or upper")
+            if text == "Duration":
+                return ("literal", duration_ns(str(given[0][1])))
             if text == "IsMatch":
                 if given[1][0] != "literal" or not isinstance(given[1][1], str):
                     raise ValueError("IsMatch takes a literal pattern")
@@ -302,14 +323,38 @@ def _call(name: str, given: list[Value], trees: list) -> Value:
     if name == "IsMatch":
         text = F.try_variant_get(v.column, "$", "string") if v.kind == "any" else v.column.cast("string")
         return Value(F.coalesce(text.rlike(trees[1][1]), false), "bool", v.error)
+    if name in ("IsMap", "IsList"):
+        return Value(F.coalesce(type_.rlike("^OBJECT" if name == "IsMap" else "^ARRAY"), false) if v.kind == "any" else false, "bool", v.error)
+    if name == "Abs":
+        n, e = _number(v)
+        return Value(F.abs(n), "int" if v.kind == "int" else "float", e | n.isNull())
+    if name in UNITS or name.startswith("Unix"):
+        n, e = _number(v)
+        if name == "Unix":
+            return Value(F.try_multiply(n.cast("bigint"), F.lit(UNITS["Seconds"]).cast("bigint")), "int", e | n.isNull())
+        by = UNITS[name] if name in UNITS else UNITS[name.replace("Unix", "").replace("Nano", "Nanoseconds").replace("Micro", "Microseconds").replace("Milli", "Milliseconds")]
+        return Value(F.floor(n.cast("bigint") / by).cast("bigint") if by > 1 else n.cast("bigint"), "int", e | n.isNull())
     if name in ("IsString", "IsInt", "IsBool", "IsDouble"):
         want = {"IsString": ("string", "^STRING$"), "IsInt": ("int", "^(BIGINT|INT|SMALLINT|TINYINT)$"), "IsBool": ("bool", "^BOOLEAN$"), "IsDouble": ("float", "^(DOUBLE|FLOAT|DECIMAL)")}[name]
         return Value(F.coalesce(type_.rlike(want[1]), false) if v.kind == "any" else F.lit(v.kind == want[0]) & v.column.isNotNull(), "bool", v.error)
     text = _text_of(v)
     if name == "Len":
         return Value(F.length(text).cast("bigint"), "int", v.error | F.coalesce(text.isNull() & ~_missing(v), false))
-    if name == "ToLowerCase":
-        return Value(F.lower(text), "string", v.error | F.coalesce(text.isNull() & ~_missing(v), false))
+    wrong = v.error | F.coalesce(text.isNull() & ~_missing(v), false)
+    if name in OF_TEXT:
+        made, kind = OF_TEXT[name]
+        return Value(made(text), kind, wrong)
+    if name == "ConvertCase":
+        return Value((F.lower if trees[1][1] == "lower" else F.upper)(text), "string", wrong)
+    if name == "Substring":
+        start, size = trees[1][1], trees[2][1]
+        return Value(F.substring(text, start + 1, size), "string", wrong | F.coalesce(F.length(text) < start + size, false) | F.lit(start < 0 or size <= 0))
+    if name in ("HasPrefix", "HasSuffix", "Index"):
+        other = _text_of(given[1])
+        wrong = wrong | given[1].error | F.coalesce(other.isNull() & ~_missing(given[1]), false)
+        if name == "Index":
+            return Value((F.call_function("locate", other, text) - 1).cast("bigint"), "int", wrong)
+        return Value(F.coalesce(F.startswith(text, other) if name == "HasPrefix" else F.endswith(text, other), false), "bool", wrong)
     return Value(F.concat(F.coalesce(text, F.lit("")), F.coalesce(_text_of(given[1]), F.lit(""))), "string", v.error | given[1].error)
 
 

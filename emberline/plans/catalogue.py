@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import values
@@ -113,8 +113,9 @@ def _errors(spark: SparkSession, sf_dir: str, *keys: str) -> DataFrame:
     return _events(spark, sf_dir).where("status_code = 2").select(*keys, F.col("arrival_us").alias("at_us"), "ord", F.lit(1).alias("reason"))
 
 
-def _now(spans: DataFrame) -> int:
-    return spans.agg(F.max("arrival_us")).first()[0] or 0
+def _now(spans: DataFrame) -> Column:
+    """The last arrival, as a scalar subquery of the plan that uses it."""
+    return F.coalesce(spans.agg(F.max("arrival_us")).scalar(), F.lit(0))
 
 
 def _segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,7 +456,7 @@ def segments_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("segment_expiry", f"with {_SEG} select instance, shard, gen, bytes, n from seg, clock where t_max_us < now - {10 * W}")
 def segment_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _segmented(spark, sf_dir)
-    return retention.expired_segments(retention.segments(held), F.lit(_now(held)), 10 * W).select("instance", "shard", "gen", "bytes", "n")
+    return retention.expired_segments(retention.segments(held), _now(held), 10 * W).select("instance", "shard", "gen", "bytes", "n")
 
 
 _LADDER = f"""{_SEG},
@@ -468,19 +469,19 @@ ladder as (select *, may and stopped = 0 and total - gone > {LIMIT} as sacrifice
 @query("watermark_sacrifice", f"with {_LADDER} select instance, shard, gen, t_max_us, bytes, sacrificed from ladder")
 def watermark_sacrifice(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _segmented(spark, sf_dir)
-    return retention.early_expiry(retention.segments(held), F.lit(_now(held)), FLOOR, LIMIT).select("instance", "shard", "gen", "t_max_us", "bytes", "sacrificed")
+    return retention.early_expiry(retention.segments(held), _now(held), FLOOR, LIMIT).select("instance", "shard", "gen", "t_max_us", "bytes", "sacrificed")
 
 
 @query("shed_causes", f"with {_LADDER}, k as (select *, sum(bytes) over (partition by instance) as b from ladder where not sacrificed) select instance, shard, max(b)::bigint as bytes_left, case when max(b) <= {LIMIT} then null when bool_or(finalized) then 'floor_protected' else 'nothing_reclaimable' end as cause from k group by instance, shard")
 def shed_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _segmented(spark, sf_dir)
-    return retention.shed_causes(retention.segments(held), F.lit(_now(held)), FLOOR, LIMIT)
+    return retention.shed_causes(retention.segments(held), _now(held), FLOOR, LIMIT)
 
 
 @query("effective_window", f"with {_SEG}, o as (select instance, shard, arg_min(t_max_us, gen) filter (where finalized) as t from seg group by instance, shard) select instance, cast(coalesce(min(case when t is not null then least(greatest(now - t, 0), {25 * W}) end), {25 * W}) // 1000000 as bigint) as effective_window_s from o, clock group by instance")
 def effective_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _segmented(spark, sf_dir)
-    return retention.effective_window(retention.segments(held), F.lit(_now(held)), 25 * W)
+    return retention.effective_window(retention.segments(held), _now(held), 25 * W)
 
 
 @query(
@@ -521,7 +522,7 @@ def pending_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("abandoned_publishes", f"with {_INTENTS}, m as (select instance, trace_id, bit_or(need) as need, arg_min(deadline_us, ord) filter (where deadline_us <> 0) as deadline_us from intents group by instance, trace_id) select instance, trace_id, deadline_us from m where need % 2 = 1 and deadline_us <= (select max(arrival_us) from spans) - {15 * W}")
 def abandoned_publishes(spark: SparkSession, sf_dir: str) -> DataFrame:
     now = _now(_events(spark, sf_dir)) - 15 * W
-    return retention.abandoned(retention.merged_intents(_intents(spark, sf_dir)), F.lit(now)).select("instance", "trace_id", "deadline_us")
+    return retention.abandoned(retention.merged_intents(_intents(spark, sf_dir)), now).select("instance", "trace_id", "deadline_us")
 
 
 @query("drain_oldest_first", f"with {_INTENTS} select instance, trace_id, ord, cast(row_number() over (partition by instance order by ord) as integer) as place from intents qualify place <= 16")
@@ -613,7 +614,7 @@ def decision_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def buffer_gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = _segmented(spark, sf_dir)
     d = decide.decisions(_verdicts(spark, sf_dir).where("reason <> 0"), W)
-    return metrics.buffer_gauges(retention.segments(held), d, F.lit(_now(held)), 10 * W)
+    return metrics.buffer_gauges(retention.segments(held), d, _now(held), 10 * W)
 
 
 @query("generator_summary", "select 'error' as class, 40 as traces, 160 as spans, 40 as marked union all select 'slow', 30, 120, 30 union all select 'trace_latency', 20, 80, 20 union all select 'healthy', 910, 3640, 0")

@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -87,6 +88,31 @@ def test_policies(spans):
     assert errors.reason == 1 and errors.policy is None
 
 
+def test_functions(spans):
+    """Each condition holds for the first span, and doesn't for the second, where its function fails or differs."""
+    a = {"t": '" Ab-cd "', "n": "-7", "m": '{"k":1}', "l": "[1]", "d": '"x"'}
+    rows = [span(name="Checkout", start_ns=1_700_000_000 * S, end_ns=1_700_000_005 * S + 7, attrs=a), span(ord=1, name="x", start_ns=5, end_ns=6, attrs={"t": "3", "n": '"y"', "m": "1", "l": '"[]"'})]
+    conditions = [
+        'HasPrefix(span.name, "Check")', 'HasSuffix(span.name, "out")', 'HasPrefix(span.attributes["t"], " A")', 'Substring(span.name, 0, 5) == "Check"', 'Substring(span.name, 5, 3) == "out"',
+        'ToUpperCase(span.name) == "CHECKOUT"', 'ToLowerCase(span.name) == "checkout"', 'ConvertCase(span.name, "upper") == "CHECKOUT"', 'Trim(span.attributes["t"]) == "Ab-cd"', 'Index(span.name, "out") == 5',
+        'Abs(span.attributes["n"]) == 7', 'IsMap(span.attributes["m"])', 'IsList(span.attributes["l"])', f'MD5(span.name) == "{hashlib.md5(b"Checkout").hexdigest()}"', f'SHA1(span.name) == "{hashlib.sha1(b"Checkout").hexdigest()}"',
+        f'SHA256(span.name) == "{hashlib.sha256(b"Checkout").hexdigest()}"', 'span.end_time_unix_nano - span.start_time_unix_nano > Duration("5s")', 'Seconds(span.end_time_unix_nano - span.start_time_unix_nano) == 5',
+        'Milliseconds(span.end_time_unix_nano - span.start_time_unix_nano) == 5000', "UnixSeconds(span.start_time_unix_nano) == 1700000000", "UnixMilli(span.start_time_unix_nano) == 1700000000000", "Unix(1700000000) == span.start_time_unix_nano",
+        "UnixNano(span.start_time_unix_nano) > 1000", "UnixMicro(span.start_time_unix_nano) == 1700000000000000", "Microseconds(span.end_time_unix_nano) > 1000", "Nanoseconds(span.end_time_unix_nano) > 1000", 'Len(Concat(span.name, "!")) == 9',
+    ]
+    table = spans(rows)
+    look = detect.lookup(table)
+    compiled = [rules.compile_condition(c).columns(look) for c in conditions]
+    first, second = table.select("ord", F.array(*[m for m, _ in compiled]).alias("m")).orderBy("ord").collect()
+    assert [c for c, m in zip(conditions, first.m) if not m] == [] and [c for c, m in zip(conditions, second.m) if m] == []
+    failing = ['Substring(span.name, 5, 3) == "out"', 'Trim(span.attributes["t"]) == ""', 'Abs(span.attributes["n"]) > 0', 'HasPrefix(span.attributes["m"], "x")']
+    errors = table.where("ord = 1").select(F.array(*[rules.compile_condition(c).columns(look)[1] for c in failing]).alias("e")).first().e
+    assert errors == [True] * 4
+    for bad in ('ConvertCase(span.name, "title") == ""', 'Duration(span.name) > 1', 'Duration("soon") > 1', 'Substring(span.name, span.kind, 1) == ""', "HasPrefix(span.name)"):
+        with pytest.raises(ValueError):
+            rules.compile_condition(bad)
+
+
 @pytest.mark.parametrize("text", ["span.name ==", "nonsense(((", 'IsMatch(span.name, "(")', "span.colour == 1", "Int()", "1 + 2", "span.name", 'span.attributes[name] == "x"', "true true", '"open', ""])
 def test_bad_conditions(text):
     with pytest.raises(ValueError):
