@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import values
-from emberline.operators import decide, detect, metrics, retain, retention
+from emberline.operators import decide, delivery, detect, metrics, retain, retention
 from emberline.sources import spans as source
 
 W = 86_400_000_000
@@ -531,6 +531,101 @@ def drain_oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retention.drained(_intents(spark, sf_dir), 16).select("instance", "trace_id", "ord", "place")
 
 
+# --- Delivery: queues, publications and flushes that fail.
+
+_OFFER = f"{_SPANS}, fr as (select instance, shard, batch_id, trace_id, min(ord) as ord from spans group by all), q as (select *, row_number() over (partition by instance, shard, batch_id order by ord) <= 3 as admitted from fr)"
+_PUBLISH = """, kp as (select trace_id, dt as decided_us, o as origin_instance, dt // 1000000 % 5 = 0 as lost from own)"""
+_FLUSH = """, fo as (select instance, ord, case ord % 11 when 0 then 'dropped' when 1 then 'retry' else 'delivered' end as outcome from spans where status_code = 2)"""
+
+
+def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch's fragments at a queue of three."""
+    spans = _events(spark, sf_dir).withColumn("shard", (F.col("ord") % SHARDS).cast("int"))
+    return delivery.offered(spans.groupBy("instance", "shard", "batch_id", "trace_id").agg(F.min("ord").alias("ord")), 3)
+
+
+def _publications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keeps, of which those decided in every fifth second weren't acknowledged."""
+    keeps = decide.keeps(_shared(spark, sf_dir))
+    failed = keeps.where(F.floor(F.col("decided_us") / 1_000_000) % 5 == 0)
+    return delivery.published(keeps, failed, W)
+
+
+def _settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    error = F.when(F.col("ord") % 11 == 0, "permanent").when(F.col("ord") % 11 == 1, "retryable")
+    return delivery.settled(_events(spark, sf_dir).where("status_code = 2").select("instance", "ord"), error)
+
+
+@query("offer_accounting", f"with {_OFFER} select instance, shard, count(*) as offered, count(*) filter (where admitted) as buffered, count(*) filter (where not admitted) as shed from q group by instance, shard")
+def offer_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return delivery.accounting(_offered(spark, sf_dir))
+
+
+@query("publish_outcomes", f"{_ALL}{_PUBLISH} select trace_id, decided_us, cast(origin_instance as integer) as origin_instance, case when lost then 'parked' else 'published' end as outcome, case when lost then decided_us + {W} else 0 end as deadline_us from kp")
+def publish_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _publications(spark, sf_dir).select("trace_id", "decided_us", "origin_instance", "outcome", "deadline_us")
+
+
+@query("publish_chunks", f"{_ALL}{_PUBLISH}, ch as (select *, decided_us // {10 * W} as st, (row_number() over (partition by origin_instance, decided_us // {10 * W} order by decided_us, trace_id) - 1) // {delivery.CHUNK} as chunk from kp) select cast(origin_instance as integer) as origin_instance, cast(st as bigint) as stretch, cast(chunk as integer) as chunk, count(*) as keeps from ch group by all")
+def publish_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many keeps each chunk of an instance's publications holds, over stretches of ten windows."""
+    keeps = delivery.chunked(decide.keeps(_shared(spark, sf_dir)), 10 * W)
+    return keeps.groupBy("origin_instance", F.floor(F.col("decided_us") / (10 * W)).cast("bigint").alias("stretch"), "chunk").agg(F.count("*").alias("keeps"))
+
+
+@query("flush_outcomes", f"with {_SPANS}{_FLUSH} select instance, outcome, count(*) as flushes from fo group by all")
+def flush_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _settled(spark, sf_dir).groupBy("instance", "outcome").agg(F.count("*").alias("flushes"))
+
+
+@query(
+    "delivery_counters",
+    f"{_ALL}, {_OFFER.removeprefix(_SPANS + ', ')}{_PUBLISH}{_FLUSH} select 'shed.queue_full' as instrument, '' as label, count(*) filter (where not admitted) as value from q union all select 'publish.errors', '', count(*) filter (where lost) from kp "
+    "union all select 'flush.retries', '', count(*) filter (where outcome = 'retry') from fo union all select 'flush.errors', '', count(*) filter (where outcome = 'dropped') from fo "
+    "union all select 'pending.flushes', '', count(*) filter (where outcome = 'retry') from fo union all select 'bus.malformed', '', count(*) filter (where ord % 17 = 0) from spans where status_code = 2",
+)
+def delivery_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What delivery counts; every 17th keep is cut short on its way."""
+    e = _events(spark, sf_dir).where("status_code = 2")
+    payload = F.when(F.col("ord") % 17 == 0, F.unhex(F.substring("trace_id", 1, 20))).otherwise(values.encode_keep(F.col("trace_id"), F.lit(1)))
+    return delivery.delivery_counts(_offered(spark, sf_dir), _publications(spark, sf_dir), _settled(spark, sf_dir), e.select(values.decode_keep(payload).alias("keep")))
+
+
+@query("fragment_lookup", f"with {_SPANS} select instance, trace_id, ord, arrival_us, name from spans where trace_id in (md5('1'), md5('2'), md5('3'))")
+def fragment_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything of three traces."""
+    import hashlib
+
+    ids = [hashlib.md5(x).hexdigest() for x in (b"1", b"2", b"3")]
+    return delivery.of_trace(_events(spark, sf_dir).select("instance", "trace_id", "ord", "arrival_us", "name"), *ids)
+
+
+@query("dead_traces", f"with {_SEG}, t as (select instance, shard, trace_id, max(gen) as gen from placed group by all) select t.instance, t.shard, t.trace_id, t.gen as last_gen from t join seg using (instance, shard, gen), clock where t_max_us < now - {10 * W}")
+def dead_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = _segmented(spark, sf_dir)
+    return delivery.dead_traces(held, retention.segments(held), _now(held), 10 * W)
+
+
+@query("kept_ids_capped", f"{_FLAG} select distinct s.trace_id {_KEPT} order by 1 limit 100")
+def kept_ids_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred least ids of kept traces: a summary lists no more than it is told to."""
+    return delivery.kept_ids(retained_spans_error(spark, sf_dir), 100)
+
+
+@query("kept_union", f"with {_SPANS} select distinct trace_id from spans where status_code = 2 and ord % 2 = 0 union select distinct trace_id from spans where status_code = 2 and ord % 2 = 1")
+def kept_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids kept by either of two waves."""
+    e = _events(spark, sf_dir).where("status_code = 2")
+    first, second = (e.where(F.col("ord") % 2 == k).select("trace_id") for k in (0, 1))
+    return first.union(second).distinct()
+
+
+@query("rate_and_peak", f"with {_SPANS}, m as (select instance, arrival_us // 3600000000 as h, count(*) as n, sum(size_bytes) as b from spans group by all) select instance, sum(n)::bigint as spans, sum(b)::bigint as bytes, max(n) as peak_spans_per_hour from m group by instance")
+def rate_and_peak(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hours = _events(spark, sf_dir).groupBy("instance", F.floor(F.col("arrival_us") / 3_600_000_000).alias("h")).agg(F.count("*").alias("n"), F.sum("size_bytes").alias("b"))
+    return hours.groupBy("instance").agg(F.sum("n").alias("spans"), F.sum("b").alias("bytes"), F.max("n").alias("peak_spans_per_hour"))
+
+
 # --- Segment files with damaged records.
 
 _MAGIC = 0x5EA15EA1
