@@ -168,7 +168,8 @@ def with_next(docs: DataFrame) -> DataFrame:
     last = tops.agg(F.min("group").alias("group")).first()
     tops = tops.select("key", F.coalesce("above", F.lit(last.group if last else None).cast("long")).alias("group"))
     guests = rows.drop("group").join(few(tops, groups + EDGES), "key").select("doc_id", "text", "key", "group", F.lit(True).alias("guest"))
-    both = rows.select("doc_id", "text", "key", "group", F.lit(False).alias("guest")).unionByName(guests).withColumn("digests", digests(F.col("text")))
+    both = rows.select("doc_id", "text", "key", "group", F.lit(False).alias("guest")).unionByName(guests)
+    both = both.repartition("group").withColumn("digests", digests(F.col("text")))  # after the shuffle, which needn't carry them
     after = Window.partitionBy("group").orderBy("guest", F.desc("key"), F.xxhash64("text"))
     return both.withColumn("next", F.lead(F.struct("text", "digests")).over(after)).where("not guest").select("doc_id", "text", "digests", F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"))
 
