@@ -18,18 +18,20 @@ def pack(values: np.ndarray) -> bytes:
     """Integers from 0 to 2^64 - 1."""
     x = np.ascontiguousarray(values).astype("<u8", copy=False)
     width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
-    return _HEAD.pack(width, len(x)) + (pa.compress(planes.tobytes(), codec="zstd", asbytes=True) if len(x) else b"")
+    planes = b"".join((x >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(width))
+    return _HEAD.pack(width, len(x)) + (pa.compress(planes, codec="zstd", asbytes=True) if len(x) else b"")
 
 
 def unpack(data: bytes) -> np.ndarray:
     """The values as int64; those from 2^63 on come back negative and are the same as uint64."""
     width, n = _HEAD.unpack_from(data)
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        planes = pa.decompress(data[_HEAD.size :], decompressed_size=n * width, codec="zstd", asbytes=True)
-        out[:, :width] = np.frombuffer(planes, np.uint8).reshape(width, n).T
-    return out.reshape(-1).view("<i8")
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data[_HEAD.size :], decompressed_size=n * width, codec="zstd", asbytes=True), np.uint8).reshape(width, n)
+    out = planes[0].astype(np.uint64)
+    for i in range(1, width):
+        out |= planes[i].astype(np.uint64) << np.uint64(8 * i)
+    return out.view(np.int64)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:

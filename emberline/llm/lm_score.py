@@ -93,7 +93,7 @@ def sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def ranks(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words by falling number of training tokens, and the place of each among them: small numbers are common."""
-    by = np.argsort(-n, kind="stable")
+    by = falling(n)
     rank = np.empty(len(n), np.int64)
     rank[by] = np.arange(len(n))
     return by, rank
@@ -251,23 +251,39 @@ def binomial(n: np.ndarray, p: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     """Binomial draws that depend on seeds alone; where the variance is above 25, rounded normal ones."""
     h = bw.mix(seeds)
     x = (h >> bw.U(11)).astype(np.float64) * 2.0**-53
-    if (n == 1).all():
-        return (x < p).astype(np.int64)
+    out = (x < p).astype(np.int64)  # that of one trial
+    several = np.flatnonzero(n > 1)
+    if not len(several):
+        return out
+    n, p, x, h = n[several], p[several], x[several], h[several]
     low = np.minimum(p, 1 - p)
-    mean, spread = n * low, np.sqrt(n * low * (1 - low))
-    y = ((bw.mix(h ^ bw.BASE) >> bw.U(11)).astype(np.float64) + 1) * 2.0**-53
-    out = np.clip(np.rint(mean + spread * np.sqrt(-2 * np.log(y)) * np.cos(2 * np.pi * x)), 0, n).astype(np.int64)
-    live = np.flatnonzero(spread <= 5)
-    out[live] = 0
-    mass = (1 - low[live]) ** n[live]
-    up, k = mass.copy(), 0
+    variance = n * low * (1 - low)
+    got = np.zeros(len(n), np.int64)
+    wide = np.flatnonzero(variance > 25)
+    y = ((bw.mix(h[wide] ^ bw.BASE) >> bw.U(11)).astype(np.float64) + 1) * 2.0**-53
+    got[wide] = np.clip(np.rint(n[wide] * low[wide] + np.sqrt(-2 * variance[wide] * np.log(y)) * np.cos(2 * np.pi * x[wide])), 0, n[wide])
+    live = np.flatnonzero(variance <= 25)
+    most, low_, x_ = n[live], low[live], x[live]
+    odds = low_ / (1 - low_)
+    mass = (1 - low_) ** most
+    up, k = mass, 0
     while len(live):
-        more = (x[live] >= up) & (k < n[live])
-        live, mass, up = live[more], mass[more], up[more]
-        out[live] += 1
-        mass = mass * (n[live] - k) / (k + 1) * low[live] / (1 - low[live])
-        up, k = up + mass, k + 1
-    return np.where(n == 1, x < p, np.where(p > 0.5, n - out, out))
+        more = np.flatnonzero((x_ >= up) & (k < most))
+        live, most, odds, x_ = live[more], most[more], odds[more], x_[more]
+        got[live] += 1
+        mass = mass[more] * ((most - k) / (k + 1)) * odds
+        up, k = up[more] + mass, k + 1
+    out[several] = np.where(p > 0.5, n - got, got)
+    return out
+
+
+def falling(c: np.ndarray) -> np.ndarray:
+    """The order of falling counts."""
+    most = np.iinfo(np.uint16).max
+    order = np.argsort((most - np.minimum(c, most)).astype(np.uint16), kind="stable")
+    top = int((c >= most).sum())
+    order[:top] = order[:top][np.argsort(-c[order[:top]], kind="stable")]
+    return order
 
 
 def seat(c: np.ndarray, others: np.ndarray, open_: np.ndarray, d: float, d0: float, all_: float | np.ndarray, seeds: np.ndarray) -> np.ndarray:
@@ -275,7 +291,7 @@ def seat(c: np.ndarray, others: np.ndarray, open_: np.ndarray, d: float, d0: flo
     other contexts; open_: strength + discount * tables of the restaurant without this dish; all_: what
     divides the parent's counts."""
     # Dishes with most customers first, so that those who still wait for a seat are always the first few.
-    order = np.argsort(-c, kind="stable")
+    order = falling(c)
     c, others, open_, seeds = c[order], others[order], open_[order], seeds[order]
     all_ = np.broadcast_to(all_, len(c))[order]
     t = np.minimum(c, 1).astype(np.int64)
@@ -354,6 +370,20 @@ def _add_words(t: pa.Table) -> pa.Table:
     return pa.table([pa.array([part], pa.int32()), *own, pa.array([pieces], pa.list_(pa.int64())), lists(which, at), lists(dish, held)], names=["part", "keys", "n", "after", "dishes", "c", "pieces", "asked", "asked_dishes"])
 
 
+def _add_again(words: pa.Table, t: pa.Table) -> pa.Table:
+    """The row of a range with the sums of another sweep, whose pieces hand them on in the order they first asked in."""
+    get = _getter(words, 0)
+    place = {piece: i for i, piece in enumerate(get("pieces"))}
+    asked, dishes = get("asked"), get("asked_dishes")
+    after, c = np.zeros(len(unpack(get("n"))), np.int64), np.zeros(len(unpack(get("dishes"))), np.int64)
+    for piece, x, y in zip(t.column("piece").to_pylist(), t.column("c").to_pylist(), t.column("f").to_pylist()):
+        after[unpack_sorted(asked[place[piece]]).astype(np.int64)] += unpack(x)
+        c[unpack_sorted(dishes[place[piece]]).astype(np.int64)] += unpack(y)
+    for name, values in (("after", after), ("c", c)):
+        words = words.set_column(words.schema.get_field_index(name), name, pa.array([pack(values)], pa.binary()))
+    return words
+
+
 _WORDS = "part int, keys binary, n binary, after binary, dishes binary, c binary, pieces array<long>, asked array<binary>, asked_dishes array<binary>"
 
 
@@ -427,12 +457,12 @@ def _sweep(number: int, d: float, seen: Totals | None, ranges: int):
         at = cuts_of(p.keys, ranges)
         held = np.searchsorted(word, at)
         per = np.bincount(word, minlength=len(p.keys))
-        piece = get("piece")
-        rows = [
-            _row(REQUEST, q, piece, pack_sorted(p.keys[x:y]), pack(p.n[x:y]), pack(after[x:y]), pack(per[x:y]), u[i:j].tobytes(), pack(customers[i:j]))
-            for q, (x, y, i, j) in enumerate(zip(at[:-1], at[1:], held[:-1], held[1:]))
-            if x < y
-        ]
+        piece, rows = get("piece"), []
+        for q, (x, y, i, j) in enumerate(zip(at[:-1], at[1:], held[:-1], held[1:])):
+            if x < y:
+                # What the words are is asked once; later on it is the order of sweep 0.
+                once = (lambda make: None if number else make())
+                rows.append(_row(REQUEST, q, piece, once(lambda: pack_sorted(p.keys[x:y])), once(lambda: pack(p.n[x:y])), pack(after[x:y]), once(lambda: pack(per[x:y])), once(lambda: u[i:j].tobytes()), pack(customers[i:j])))
         if number:
             rows.append(_row(TABLES + number, 0, piece, pack(t)))
         return _table(rows)
@@ -516,15 +546,16 @@ class Learned:
         out = _cogrouped(pieces, given, _sweep(k, self.d, self.totals.get(k - 1), ranges), _ROW, scratch, f"sweep-{k}")
         if k:
             self.tables[k] = scratch.keep(out.where(F.col("kind") == TABLES + k), f"tables-{k}")
-        words = scratch.keep(out.where(F.col("kind") == REQUEST).groupBy("part").applyInArrow(_add_words, _WORDS), f"words-{k}")
-        scratch.drop(*[f"sweep-{k}-{x}" for x in range(WAVES)])
+        asked = out.where(F.col("kind") == REQUEST).groupBy("part")
+        added = self.held.groupBy("part").cogroup(asked).applyInArrow(_add_again, _WORDS) if k else asked.applyInArrow(_add_words, _WORDS)
+        words = self.held = scratch.keep(added, f"words-{k}")
+        scratch.drop(*[f"sweep-{k}-{x}" for x in range(WAVES)], f"words-{k - 1}")
         history: list[Totals] = []
         for _ in range(ABOVE):
             history.append(totals(words, history, k))
         self.totals[k] = totals(words, history, k)
         answers = words.mapInArrow(_answer(history, k, WORDS + k), _ROW)
         self.words[k] = scratch.keep(answers, f"answers-{k}")
-        scratch.drop(f"words-{k}")
         if 0 <= k - 1 <= BURN:  # what was drawn before isn't averaged
             scratch.drop(f"answers-{k - 1}", f"tables-{k - 1}")
             self.words.pop(k - 1), self.tables.pop(k - 1, None)
@@ -562,5 +593,5 @@ def score(docs: DataFrame, held_out, **sizes: int) -> DataFrame:
     learned = Learned(rows, scratch, **sizes)
     total = F.lit(learned.totals[SWEEPS].tokens).cast("long").alias("train_tokens")
     out = learned.scores(scratch)
-    scratch.drop("pieces", "counts", *[f"{x}-{k}" for k in range(SWEEPS + 1) for x in ("answers", "tables")])
+    scratch.drop("pieces", "counts", *[f"{x}-{k}" for k in range(SWEEPS + 1) for x in ("answers", "tables", "words")])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", total, "base_score", "score")
