@@ -18,7 +18,8 @@ sweep alone, so that every task which needs a dish's tables draws the same ones,
 
 The corpus is cut into pieces of about PIECE tokens, each one row: its distinct words and pairs, and its
 texts as numbers of pairs. A piece deals the keys of its pairs to parts by their hash, so no word is a hot key;
-a part adds up their counts over all pieces and answers each piece in the order it asked. In every sweep a
+a part adds up their counts over all pieces and answers each piece in the order it asked, once: from then on they
+are one block of the piece's own. In every sweep a
 piece draws the tables of its pairs, and of what it counts (one of the pieces that hold a pair does) hands
 on the sums of each word to the word's range, which seats the restaurants above and answers likewise. What a
 task holds is bounded by PIECE, PART and RANGE; only 256 totals of a draw go to the driver. A single text is
@@ -40,11 +41,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberline.llm import bytewords as bw
-from emberline.llm.blocks import cuts_of, joined, pack, pack_sorted, unpack, unpack_sorted
+from emberline.llm.blocks import ascending, cuts_of, gaps, joined, numbered, order_of, pack, pack_sorted, unpack, unpack_all, unpack_sorted
 from emberline.llm.common import Scratch, ship
 
 #: Tokens of a piece, and for each part of the pairs and each range of the words.
-PIECE, PART, RANGE = 1_000_000, 500_000, 1_000_000
+PIECE, PART, RANGE = 1_000_000, 1_000_000, 1_000_000
 SWEEPS, BURN, ABOVE = 3, 1, 1
 BLOCK = 8
 #: The pieces are swept and scored in so many waves.
@@ -54,9 +55,8 @@ END = np.int64(0x7E57AB1E0E0D1CE5)
 #: The word before the first.
 BEGIN = np.int64(0)
 #: Kinds of rows.
-REQUEST, COUNTS, TABLES, WORDS = 0, 1, 100, 200
-_BLOCKS = [*"abcdef"]
-_ROW = f"kind int, part int, piece long, {', '.join(f'{x} binary' for x in _BLOCKS)}"
+REQUEST, COUNTS, KNOWN, TABLES, WORDS = 0, 1, 2, 100, 200
+_ROW = "kind int, part int, piece long, block binary"
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,6 +99,14 @@ def ranks(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, rank
 
 
+def by_last(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words by their last bytes, and the place of each among them."""
+    by = np.argsort(last, kind="stable")
+    place = np.empty(len(last), np.int64)
+    place[by] = np.arange(len(last))
+    return by, place
+
+
 def _piece(number: int, held: list) -> pa.RecordBatch:
     """One row for texts (ids, held out, keys, parents' contexts, first tokens)."""
     ids = pa.concat_arrays([x[0] for x in held])
@@ -106,14 +114,15 @@ def _piece(number: int, held: list) -> pa.RecordBatch:
     k = np.concatenate([x[2] for x in held])
     size = np.concatenate([np.diff(x[4]) for x in held])
     first = np.concatenate([[0], np.cumsum(size)])
-    words, w = np.unique(np.append(k, BEGIN).view(bw.U), return_inverse=True)
+    words, w = numbered(np.append(k, BEGIN).view(bw.U))
     begin, w = w[-1], w[:-1]
     v = np.empty_like(w)
     v[1:] = w[:-1]
     v[first[:-1]] = begin
     last = np.zeros(len(words), np.uint8)
     last[v] = np.concatenate([x[3] for x in held])
-    pairs, of = np.unique(w * len(words) + v, return_inverse=True)
+    by, place = by_last(last)
+    pairs, of = numbered(w * len(words) + place[v])
     learned = np.repeat(~out, size)
     n = np.bincount(w[learned], minlength=len(words))
     n[begin] = (~out).sum()
@@ -123,7 +132,7 @@ def _piece(number: int, held: list) -> pa.RecordBatch:
         "last": last.tobytes(),
         "n": pack(n),
         "pw": pack(np.bincount(pairs // len(words), minlength=len(words))),
-        "pv": pack(rank[pairs % len(words)]),
+        "pv": pack(rank[by[pairs % len(words)]]),
         "pc": pack(np.bincount(of[learned], minlength=len(pairs))),
         "held": out.astype(np.uint8).tobytes(),
         "size": pack(size),
@@ -161,7 +170,8 @@ _PIECE = "keys binary, last binary, n binary, pw binary, pv binary, pc binary, h
 
 
 class Piece:
-    """The words and pairs of a piece. Pairs lie by word, then context; `order` sorts them by key."""
+    """The words and pairs of a piece. Pairs lie by word, last byte of the context, then context, so that those of one
+    dish above lie together."""
 
     def __init__(self, get):
         self.keys = unpack_sorted(get("keys"))
@@ -169,8 +179,9 @@ class Piece:
         self.n = unpack(get("n"))
         self.by = ranks(self.n)[0]
         self.w, self.v = np.repeat(np.arange(len(of)), of), self.by[unpack(get("pv"))]
-        self.pairs = pair_keys(self.keys[self.v], self.keys[self.w])
-        self.order = np.argsort(self.pairs)
+
+    def pairs(self, which=slice(None)) -> np.ndarray:
+        return pair_keys(self.keys[self.v[which]], self.keys[self.w[which]])
 
     def tokens(self, get) -> tuple[np.ndarray, np.ndarray]:
         """The pair of every token, and the first token of each text."""
@@ -178,13 +189,16 @@ class Piece:
         v = np.empty_like(w)
         v[1:] = w[:-1]
         v[first[:-1]] = np.searchsorted(self.keys, BEGIN.view(bw.U))
-        n = len(self.keys)
-        return np.searchsorted(self.w * n + self.v, w * n + v), first
+        place = by_last(np.frombuffer(get("last"), np.uint8))[1]
+        return numbered(w * len(self.keys) + place[v])[1], first  # a piece has no pairs but those of its tokens
 
     def with_parents(self, get) -> Piece:
         """Also the restaurants above that the words are dishes of (word * 256 + last byte before), and that of each pair."""
         self.u = np.frombuffer(get("last"), np.uint8)[self.v]
-        self.dishes, self.dish = np.unique(self.w * 256 + self.u, return_inverse=True)
+        dishes = self.w * 256 + self.u
+        new = np.ones(len(dishes), bool)
+        new[1:] = dishes[1:] != dishes[:-1]
+        self.dishes, self.dish = dishes[new], np.cumsum(new) - 1
         return self
 
 
@@ -192,14 +206,15 @@ def _getter(rows: pa.Table | pa.RecordBatch, i: int):
     return lambda name: rows.column(name)[i].as_py()
 
 
-def _row(kind: int, part: int, piece: int, *blocks: bytes) -> tuple:
-    return (kind, part, piece, *blocks, *[None] * (len(_BLOCKS) - len(blocks)))
-
-
 def _table(rows: list[tuple]) -> pa.Table:
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * len(_BLOCKS)]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary()]
     columns = list(zip(*rows)) if rows else [()] * len(kinds)
-    return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["kind", "part", "piece", *_BLOCKS])
+    return pa.table([pa.array(x, kind) for x, kind in zip(columns, kinds)], names=["kind", "part", "piece", "block"])
+
+
+def _unpacked(t: pa.Table) -> list[list[np.ndarray]]:
+    """The arrays of all rows' blocks: the first of each row, the second and so on."""
+    return [list(x) for x in zip(*(unpack_all(x) for x in t.column("block").to_pylist()))]
 
 
 def _ask_counts(parts: int):
@@ -209,34 +224,37 @@ def _ask_counts(parts: int):
         for b in batches:
             for i in range(b.num_rows):
                 get = _getter(b, i)
-                p = Piece(get)
-                keys, c = p.pairs[p.order], unpack(get("pc"))[p.order]
+                keys = Piece(get).pairs()
+                order = order_of(keys)
+                keys, c = keys[order], unpack(get("pc"))[order]
                 at = cuts_of(keys, parts)
-                rows = [_row(REQUEST, r, get("piece"), pack_sorted(keys[x:y]), pack(c[x:y])) for r, (x, y) in enumerate(zip(at[:-1], at[1:])) if x < y]
+                rows = [(REQUEST, r, get("piece"), pack(gaps(keys[x:y]), c[x:y])) for r, (x, y) in enumerate(zip(at[:-1], at[1:])) if x < y]
                 yield from _table(rows).to_batches()
 
     return run
 
 
 def _add_counts(t: pa.Table) -> pa.Table:
-    """For each piece its pairs' counts over all pieces, and of which it is the one that counts them; and a row
-    of no piece with the numbers of pairs seen once and twice."""
-    blocks = [(unpack_sorted(k), unpack(c)) for k, c in zip(t.column("a").to_pylist(), t.column("b").to_pylist())]
-    sizes = [len(k) for k, _ in blocks]
+    """For each piece its pairs' counts over all pieces, twice, plus one where it is the piece that counts them; and
+    a row of no piece with the numbers of pairs seen once and twice."""
+    blocks, counts = _unpacked(t)
+    sizes = [len(k) for k in blocks]
     piece = t.column("piece").to_numpy()
-    at = np.repeat(np.arange(len(blocks)), sizes)
-    c = np.concatenate([c for _, c in blocks])
-    keys, which = np.unique(np.concatenate([k for k, _ in blocks]), return_inverse=True)
+    c = np.concatenate(counts)
+    keys, which = numbered(np.concatenate([ascending(k) for k in blocks]))
     total = sums(which, c, len(keys))
     # Of the pieces that learn a pair the one with the least hash counts it, so that all count about as many.
     there = np.flatnonzero(c > 0)
-    by = there[np.lexsort((bw.mix(keys[which[there]] ^ bw.mix(piece[at[there]].view(bw.U))), which[there]))]
-    own = np.zeros(len(c), np.int64)
-    own[by[np.diff(which[by], prepend=-1) > 0]] = 1
+    of = which[there]
+    hashed = bw.mix(keys[of] ^ np.repeat(bw.mix(piece.view(bw.U)), sizes)[there])
+    least = np.full(len(keys), ~bw.U(0))
+    np.minimum.at(least, of, hashed)
+    out = 2 * total[which]
+    out[there[hashed == least[of]]] += 1
     cuts = np.cumsum([0, *sizes])
     part = t.column("part")[0].as_py()
-    rows = [_row(COUNTS, part, int(p), pack(total[which[x:y]]), pack(own[x:y])) for p, x, y in zip(piece, cuts[:-1], cuts[1:])]
-    rows.append(_row(COUNTS, part, -1, pack(np.array([(total == 1).sum(), (total == 2).sum()]))))
+    rows = [(COUNTS, part, int(p), pack(out[x:y])) for p, x, y in zip(piece, cuts[:-1], cuts[1:])]
+    rows.append((COUNTS, part, -1, pack(np.array([(total == 1).sum(), (total == 2).sum()]))))
     return _table(rows)
 
 
@@ -353,70 +371,89 @@ class Words:
             self.root = sums(self.of, self.t, len(self.keys))
 
 
+    def seen(self) -> bytes:
+        """What Totals adds up, of this range: customers, tables, dishes with one customer and with two, by last byte;
+        and words, tokens, words with one customer at the root and with two."""
+        out = np.zeros((257, 4), np.int64)
+        for j, values in enumerate((self.c, self.t, self.c == 1, self.c == 2)):
+            out[:256, j] = sums(self.u, values, 256)
+        known = (self.n > 0) & (self.keys != BEGIN.view(bw.U))
+        out[256] = [known.sum(), self.n[known].sum(), (self.root[known] == 1).sum(), (self.root[known] == 2).sum()]
+        return pack(out.ravel())
+
+
 def _add_words(t: pa.Table) -> pa.Table:
     """One row for a range: what its words' pieces hand on, added up, and what each of them asks for."""
     part, pieces = t.column("part")[0].as_py(), t.column("piece").to_pylist()
-    column = lambda x: t.column(x).to_pylist()
-    blocks = [unpack_sorted(x) for x in column("a")]
-    keys, which = np.unique(np.concatenate(blocks), return_inverse=True)
-    n, after = (sums(which, np.concatenate([unpack(x) for x in column(name)]), len(keys)) for name in ("b", "c"))
-    u = [np.frombuffer(x, np.uint8) for x in column("e")]
-    of = np.repeat(which, np.concatenate([unpack(x) for x in column("d")]))
-    dishes, dish = np.unique(of * 256 + np.concatenate(u), return_inverse=True)
-    c = sums(dish, np.concatenate([unpack(x) for x in column("f")]), len(dishes))
+    blocks, n, after, per, u, c = _unpacked(t)
+    keys, which = numbered(np.concatenate([ascending(x) for x in blocks]))
+    n, after = (sums(which, np.concatenate(x), len(keys)) for x in (n, after))
+    of = np.repeat(which, np.concatenate(per))
+    dishes, dish = numbered(of * 256 + np.concatenate(u))
+    c = sums(dish, np.concatenate(c), len(dishes))
     at, held = np.cumsum([0, *map(len, blocks)]), np.cumsum([0, *map(len, u)])
-    lists = lambda x, cuts: pa.array([[pack_sorted(x[i:j]) for i, j in zip(cuts[:-1], cuts[1:])]], pa.list_(pa.binary()))
-    own = [pa.array([x], pa.binary()) for x in (pack_sorted(keys), pack(n), pack(after), pack_sorted(dishes), pack(c))]
-    return pa.table([pa.array([part], pa.int32()), *own, pa.array([pieces], pa.list_(pa.int64())), lists(which, at), lists(dish, held)], names=["part", "keys", "n", "after", "dishes", "c", "pieces", "asked", "asked_dishes"])
+    asked = [pack(gaps(which[i:j]), gaps(dish[x:y])) for i, j, x, y in zip(at[:-1], at[1:], held[:-1], held[1:])]
+    own = dict(zip(("keys", "n", "after", "dishes", "c"), (pack_sorted(keys), pack(n), pack(after), pack_sorted(dishes), pack(c))))
+    seen = Words(own.get, [], 0).seen()
+    return pa.table([pa.array([part], pa.int32()), *[pa.array([x], pa.binary()) for x in (*own.values(), seen)], pa.array([pieces], pa.list_(pa.int64())), pa.array([asked], pa.list_(pa.binary()))], names=["part", *own, "seen", "pieces", "asked"])
 
 
 def _add_again(words: pa.Table, t: pa.Table) -> pa.Table:
     """The row of a range with the sums of another sweep, whose pieces hand them on in the order they first asked in."""
     get = _getter(words, 0)
-    place = {piece: i for i, piece in enumerate(get("pieces"))}
-    asked, dishes = get("asked"), get("asked_dishes")
+    asked = dict(zip(get("pieces"), get("asked")))
     after, c = np.zeros(len(unpack(get("n"))), np.int64), np.zeros(len(unpack(get("dishes"))), np.int64)
-    for piece, x, y in zip(t.column("piece").to_pylist(), t.column("c").to_pylist(), t.column("f").to_pylist()):
-        after[unpack_sorted(asked[place[piece]]).astype(np.int64)] += unpack(x)
-        c[unpack_sorted(dishes[place[piece]]).astype(np.int64)] += unpack(y)
-    for name, values in (("after", after), ("c", c)):
-        words = words.set_column(words.schema.get_field_index(name), name, pa.array([pack(values)], pa.binary()))
+    for piece, x, y in zip(t.column("piece").to_pylist(), *_unpacked(t)):
+        w, d = (ascending(z).view(np.int64) for z in unpack_all(asked[piece]))
+        after[w] += x
+        c[d] += y
+    own = {"keys": get("keys"), "n": get("n"), "after": pack(after), "dishes": get("dishes"), "c": pack(c)}
+    for name, value in (("after", own["after"]), ("c", own["c"]), ("seen", Words(own.get, [], 0).seen())):
+        words = words.set_column(words.schema.get_field_index(name), name, pa.array([value], pa.binary()))
     return words
 
 
-_WORDS = "part int, keys binary, n binary, after binary, dishes binary, c binary, pieces array<long>, asked array<binary>, asked_dishes array<binary>"
+_WORDS = "part int, keys binary, n binary, after binary, dishes binary, c binary, seen binary, pieces array<long>, asked array<binary>"
 
 
-def totals(words: DataFrame, history: list[Totals], salt: int) -> Totals:
-    """Totals of the restaurants above after as many draws as there are totals before."""
+def totals(seen: DataFrame) -> Totals:
+    """Totals of the restaurants above, from the one column of what ranges have seen."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros((257, 4), np.int64)
         for b in batches:
-            for i in range(b.num_rows):
-                x = Words(_getter(b, i), history, salt)
-                for j, values in enumerate((x.c, x.t, x.c == 1, x.c == 2)):
-                    out[:256, j] += sums(x.u, values, 256)
-                known = (x.n > 0) & (x.keys != BEGIN.view(bw.U))
-                out[256] += [known.sum(), x.n[known].sum(), (x.root[known] == 1).sum(), (x.root[known] == 2).sum()]
+            for x in b.column(0).to_pylist():
+                out += unpack(x).reshape(257, 4)
         yield pa.RecordBatch.from_arrays([pa.array(np.array([*range(256), -1], np.int32)), *[pa.array(out[:, j]) for j in range(4)]], names=["u", "c", "t", "n1", "n2"])
 
-    parts = words.select("keys", "n", "after", "dishes", "c").mapInArrow(partial, "u int, c long, t long, n1 long, n2 long")
+    parts = seen.mapInArrow(partial, "u int, c long, t long, n1 long, n2 long")
     return Totals(parts.groupBy("u").agg(*[F.sum(x).alias(x) for x in ("c", "t", "n1", "n2")]).collect())  # 257 rows
 
 
-def _answer(history: list[Totals], salt: int, kind: int):
-    """For each piece of its words tokens, tables after them and customers of the root, of its dishes customers and tables."""
+def _redrawn(history: list[Totals], salt: int):
+    """What the ranges have seen after as many draws as there are totals before."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                yield pa.RecordBatch.from_arrays([pa.array([Words(_getter(b, i), history, salt).seen()], pa.binary())], names=["block"])
+
+    return run
+
+
+def _answer(history: list[Totals], salt: int, kind: int, first: bool):
+    """For each piece tables after its words and customers of the root, customers and tables of its dishes, and the
+    words' tokens if it is the first time; and a row of no piece with what the range has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 get = _getter(b, i)
-                x = Words(get, history, salt)
-                rows = []
-                for piece, words, dishes in zip(get("pieces"), get("asked"), get("asked_dishes")):
-                    w, d = unpack_sorted(words).astype(np.int64), unpack_sorted(dishes).astype(np.int64)
-                    rows.append(_row(kind, get("part"), piece, pack(x.n[w]), pack(x.after[w]), pack(x.root[w]), pack(x.c[d]), pack(x.t[d])))
+                x, part = Words(get, history, salt), get("part")
+                rows = [(kind, part, -1, x.seen())]
+                for piece, asked in zip(get("pieces"), get("asked")):
+                    w, d = (ascending(z).view(np.int64) for z in unpack_all(asked))
+                    rows.append((kind, part, piece, pack(x.after[w], x.root[w], x.c[d], x.t[d], *[x.n[w]][:first])))
                 yield from _table(rows).to_batches()
 
     return run
@@ -428,43 +465,51 @@ class Answers:
     def __init__(self, t: pa.Table):
         kind, part = (t.column(x).to_numpy() for x in ("kind", "part"))
         order = np.lexsort((part, kind))
-        self.rows = {int(k): order[kind[order] == k] for k in np.unique(kind)}
-        self.columns = {x: t.column(x) for x in _BLOCKS}
+        self.rows = {int(k): t.take(order[kind[order] == k]) for k in np.unique(kind)}
 
-    def of(self, kind: int, column: str) -> np.ndarray:
-        return joined([unpack(self.columns[column][int(i)].as_py()) for i in self.rows.get(kind, ())])
+    def of(self, kind: int) -> list[np.ndarray]:
+        return [joined(x) for x in _unpacked(self.rows[kind])]
 
 
 def _sweep(number: int, d: float, seen: Totals | None, ranges: int):
-    """A piece's rows of tables, drawn given those before (each pair one table in sweep 0), and what it hands on of each range of words."""
+    """A piece's rows of tables, drawn given those before (each pair one table in sweep 0), and what it hands on of each
+    range of words. The first sweeps also hand back what the parts and ranges told the piece for good, as one block
+    in the order of its pairs and words."""
 
     def run(pieces: pa.Table, answered: pa.Table) -> pa.Table:
         get = _getter(pieces, 0)
-        p, got = Piece(get).with_parents(get), Answers(answered)
-        c, own = np.empty(len(p.w), np.int64), np.empty(len(p.w), np.int64)
-        c[p.order], own[p.order] = got.of(COUNTS, "a"), got.of(COUNTS, "b")
-        t = np.minimum(c, 1)
+        p, got, piece = Piece(get).with_parents(get), Answers(answered), get("piece")
+        rows = []
         if number:
-            old = got.of(TABLES + number - 1, "a") if number > 1 else t
-            n, after, tables, above, above_t = (got.of(WORDS + number - 1, x) for x in "abcde")
+            c, own = got.of(COUNTS)
+            t = np.minimum(c, 1)
+            old = got.of(TABLES + number - 1)[0] if number > 1 else t
+            after, tables, above, above_t, *n = got.of(WORDS + number - 1)
+            n = n[0] if n else got.of(KNOWN)[0]
             live = np.flatnonzero(c > 1)
             w, v, u, dish = p.w[live], p.v[live], p.u[live], p.dish[live]
             parent = seen.parent(u, above[dish], above_t[dish], seen.root(n, tables)[w])
-            seeds = p.pairs[live] ^ bw.mix(np.array([number], bw.U))
+            seeds = p.pairs(live) ^ bw.mix(np.array([number], bw.U))
             t[live] = seat(c[live], parent - old[live], STRENGTH + d * (after[v] - old[live]), d, 0.0, STRENGTH + seen.c[u], seeds)
+            rows.append((TABLES + number, 0, piece, pack(t)))
+            if number == 1:
+                rows.append((KNOWN, 0, piece, pack(n)))
+        else:
+            counted = np.empty(len(p.w), np.int64)
+            counted[order_of(p.pairs())] = got.of(COUNTS)[0]
+            c, own = counted >> 1, counted & 1
+            t = np.minimum(c, 1)
+            rows.append((COUNTS, 0, piece, pack(c, own)))
         after, customers = sums(p.v, t * own, len(p.keys)), sums(p.dish, t * own, len(p.dishes))
-        word, u = p.dishes >> 8, (p.dishes & 255).astype(np.uint8)
+        word, u = p.dishes >> 8, p.dishes & 255
         at = cuts_of(p.keys, ranges)
         held = np.searchsorted(word, at)
         per = np.bincount(word, minlength=len(p.keys))
-        piece, rows = get("piece"), []
         for q, (x, y, i, j) in enumerate(zip(at[:-1], at[1:], held[:-1], held[1:])):
             if x < y:
                 # What the words are is asked once; later on it is the order of sweep 0.
-                once = (lambda make: None if number else make())
-                rows.append(_row(REQUEST, q, piece, once(lambda: pack_sorted(p.keys[x:y])), once(lambda: pack(p.n[x:y])), pack(after[x:y]), once(lambda: pack(per[x:y])), once(lambda: u[i:j].tobytes()), pack(customers[i:j])))
-        if number:
-            rows.append(_row(TABLES + number, 0, piece, pack(t)))
+                asked = (after[x:y], customers[i:j]) if number else (gaps(p.keys[x:y]), p.n[x:y], after[x:y], per[x:y], u[i:j], customers[i:j])
+                rows.append((REQUEST, q, piece, pack(*asked)))
         return _table(rows)
 
     return run
@@ -476,13 +521,11 @@ def _scored(samples: list[tuple[int, Totals]], d: float):
     def run(pieces: pa.Table, answered: pa.Table) -> pa.Table:
         get = _getter(pieces, 0)
         p, got = Piece(get).with_parents(get), Answers(answered)
-        c = np.empty(len(p.w), np.int64)
-        c[p.order] = got.of(COUNTS, "a")
-        mean = np.zeros(len(p.w))
-        n = got.of(WORDS + samples[-1][0], "a")
+        c, mean = got.of(COUNTS)[0], np.zeros(len(p.w))
+        n = got.of(KNOWN)[0]
         for k, seen in samples:
-            after, tables, above, above_t = (got.of(WORDS + k, x) for x in "bcde")
-            mean += refined(p, c, got.of(TABLES + k, "a"), n, after, d, parents(p, n, tables, above, above_t, seen)) / len(samples)
+            after, tables, above, above_t = got.of(WORDS + k)
+            mean += refined(p, c, got.of(TABLES + k)[0], n, after, d, parents(p, n, tables, above, above_t, seen)) / len(samples)
         seen = samples[-1][1]
         token, first = p.tokens(get)
         base = np.log10((n + 1) / (seen.tokens + seen.words + 1))
@@ -533,7 +576,8 @@ class Learned:
         asked = self.pieces.select("piece", "keys", "n", "pw", "pv", "pc").mapInArrow(_ask_counts(parts), _ROW)
         counts = scratch.keep(asked.groupBy("part").applyInArrow(_add_counts, _ROW), "counts")
         self.d = _discount(counts)
-        self.counts = counts.where("piece >= 0")
+        #: What a piece is told for good: its pairs' counts, and from sweep 1 on its words' tokens.
+        self.told = {COUNTS: counts.where("piece >= 0")}
         self.tables: dict[int, DataFrame] = {}
         self.words: dict[int, DataFrame] = {}
         self.totals: dict[int, Totals] = {}
@@ -541,21 +585,25 @@ class Learned:
             self._sweep(k, ranges, scratch)
 
     def _sweep(self, k: int, ranges: int, scratch: Scratch) -> None:
-        given = [self.counts, *[x[k - 1] for x in (self.words, self.tables) if k - 1 in x]]
+        given = [*self.told.values(), *[x[k - 1] for x in (self.words, self.tables) if k - 1 in x]]
         pieces = self.pieces.select("piece", "keys", "last", "n", "pw", "pv")
         out = _cogrouped(pieces, given, _sweep(k, self.d, self.totals.get(k - 1), ranges), _ROW, scratch, f"sweep-{k}")
         if k:
             self.tables[k] = scratch.keep(out.where(F.col("kind") == TABLES + k), f"tables-{k}")
+        if k <= 1:
+            kind = KNOWN if k else COUNTS
+            self.told[kind] = scratch.keep(out.where(F.col("kind") == kind), f"told-{kind}")
+            scratch.drop("counts")
         asked = out.where(F.col("kind") == REQUEST).groupBy("part")
         added = self.held.groupBy("part").cogroup(asked).applyInArrow(_add_again, _WORDS) if k else asked.applyInArrow(_add_words, _WORDS)
         words = self.held = scratch.keep(added, f"words-{k}")
         scratch.drop(*[f"sweep-{k}-{x}" for x in range(WAVES)], f"words-{k - 1}")
         history: list[Totals] = []
-        for _ in range(ABOVE):
-            history.append(totals(words, history, k))
-        self.totals[k] = totals(words, history, k)
-        answers = words.mapInArrow(_answer(history, k, WORDS + k), _ROW)
-        self.words[k] = scratch.keep(answers, f"answers-{k}")
+        for j in range(ABOVE):
+            history.append(totals(words.drop("pieces", "asked").mapInArrow(_redrawn(history, k), "block binary") if j else words.select("seen")))
+        answers = scratch.keep(words.mapInArrow(_answer(history, k, WORDS + k, not k), _ROW), f"answers-{k}")
+        self.totals[k] = totals(answers.where("piece < 0").select("block"))
+        self.words[k] = answers.where("piece >= 0")
         if 0 <= k - 1 <= BURN:  # what was drawn before isn't averaged
             scratch.drop(f"answers-{k - 1}", f"tables-{k - 1}")
             self.words.pop(k - 1), self.tables.pop(k - 1, None)
@@ -563,9 +611,7 @@ class Learned:
     def scores(self, scratch: Scratch) -> DataFrame:
         """doc_id, held_out, n_tokens, n_known, base_score, score."""
         samples = [(k, self.totals[k]) for k in sorted(self.words)]
-        # Of what sweeps needed scores need the counts alone, and the words' tokens once.
-        less = lambda df, *drop: df.select("kind", "part", "piece", *[F.lit(None).cast("binary").alias(x) if x in drop else x for x in _BLOCKS])
-        given = [less(self.counts, "b"), *[less(x, "a") if k < max(self.words) else x for k, x in self.words.items()], *self.tables.values()]
+        given = [*self.told.values(), *self.words.values(), *self.tables.values()]
         schema = f"doc_id {self.id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
         return _cogrouped(self.pieces.drop("tokens", "pc"), given, _scored(samples, self.d), schema, scratch, "scores")
 
@@ -580,7 +626,7 @@ def _discount(counts: DataFrame) -> float:
                 out += unpack(x)
         yield pa.RecordBatch.from_arrays([pa.array(out[:1]), pa.array(out[1:])], names=["n1", "n2"])
 
-    r = counts.where("piece < 0").select("a").mapInArrow(seen, "n1 long, n2 long").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
+    r = counts.where("piece < 0").select("block").mapInArrow(seen, "n1 long, n2 long").agg(F.sum("n1").alias("n1"), F.sum("n2").alias("n2")).first()
     return discount(r.n1 or 0, r.n2 or 0)
 
 
@@ -593,5 +639,5 @@ def score(docs: DataFrame, held_out, **sizes: int) -> DataFrame:
     learned = Learned(rows, scratch, **sizes)
     total = F.lit(learned.totals[SWEEPS].tokens).cast("long").alias("train_tokens")
     out = learned.scores(scratch)
-    scratch.drop("pieces", "counts", *[f"{x}-{k}" for k in range(SWEEPS + 1) for x in ("answers", "tables", "words")])
+    scratch.drop("pieces", f"told-{COUNTS}", f"told-{KNOWN}", *[f"{x}-{k}" for k in range(SWEEPS + 1) for x in ("answers", "tables", "words")])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", total, "base_score", "score")

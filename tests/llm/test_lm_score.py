@@ -163,3 +163,36 @@ def test_packed_arrays_come_back():
     assert (blocks.unpack_sorted(blocks.pack_sorted(keys)) == keys).all()
     cuts = blocks.cuts_of(keys, 7)
     assert cuts[0] == 0 and cuts[-1] == len(keys) and (np.diff(cuts) > 0).all()
+
+
+def test_places_by_sorting_values_with_their_places():
+    rng = np.random.default_rng(2)
+    alike = (np.uint64(1) << np.uint64(63)) + rng.integers(0, 9, 1000, dtype=np.uint64)  # differ only in what the places displace
+    for x in (np.zeros(0, np.uint64), rng.integers(0, 1 << 40, 1000), rng.integers(0, 1 << 64, 1000, dtype=np.uint64).repeat(2), alike):
+        assert (blocks.order_of(x) == np.argsort(x, kind="stable")).all()
+        for got, want in zip(blocks.numbered(x), np.unique(x, return_inverse=True)):
+            assert (got == want).all()
+    a, b, c = blocks.unpack_all(blocks.pack(np.arange(300), np.zeros(0, np.int64), np.array([1 << 62])))
+    assert a.tolist() == list(range(300)) and not len(b) and c.tolist() == [1 << 62]
+
+
+def test_a_piece_reads_its_counts_as_one_block_however_many_parts():
+    """Parts and pieces both grow with the corpus, so a block for each of both in every sweep is quadratic."""
+    rows, seen = [], collections.Counter()
+    for i in range(2):
+        k, u, first = lm.tokens(*bw.texts(pa.array([prose(j % 5, 120) for j in range(3 * i, 3 * i + 3)])))
+        seen.update(zip(lm.before(k, first).view(bw.U).tolist(), k.view(bw.U).tolist()))
+        rows.append(lm._piece(i, [(pa.array([0, 1, 2]), np.zeros(3, bool), k, u, first)]))
+    asked = pa.Table.from_batches(lm._ask_counts(50)(iter(rows)))
+    parts = asked.column("part").to_numpy()
+    counts = pa.concat_tables([lm._add_counts(asked.filter(pa.array(parts == r))) for r in np.unique(parts)])
+    owned = 0
+    for i, row in enumerate(rows):
+        out = lm._sweep(0, 0.5, None, 3)(pa.Table.from_batches([row]), counts.filter(pa.array(counts.column("piece").to_numpy() == i)))
+        told = out.filter(pa.array(out.column("kind").to_numpy() == lm.COUNTS))
+        assert told.num_rows == 1
+        c, own = blocks.unpack_all(told.column("block")[0].as_py())
+        p = lm.Piece(lm._getter(row, 0))
+        assert c.tolist() == [seen[pair] for pair in zip(p.keys[p.v].tolist(), p.keys[p.w].tolist())]
+        owned += own.sum()
+    assert owned == len(seen)
