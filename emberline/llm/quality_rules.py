@@ -37,49 +37,70 @@ MOST_CLASS_DISTANCE = 0.13
 MOST_WORD_DISTANCE = 0.15
 NOISE = 0.55
 WINDOW = 8
+#: A reference's words lie in so many buckets by their hash, as Spark looks a key up in a map by going through all.
+BUCKETS = 64
 CLASSES = ("lower", "upper", "digit", "blank", "mark", "symbol", "letter")
 
 
-def class_counts(text: Column) -> Column:
-    """Array of the numbers of characters in CLASSES; `letter` are letters without case and what combines with them."""
+def _unlowered(text: Column) -> Column:
+    return F.regexp_replace(text, r"\p{Ll}+", "")
+
+
+def class_counts(text: Column, rest: Column | None = None) -> Column:
+    """Array of the numbers of characters in CLASSES, then that of characters of `[#*$%&|<>]`; `letter` are letters
+    without case and what combines with them. rest: text without lower-case letters."""
 
     def counts(rest: Column) -> Column:
         # What is left without lower-case letters is a fifth of a text, and without blanks a twentieth.
         def few(r: Column) -> Column:
             without = lambda p: F.length(r) - F.length(F.regexp_replace(r, p, ""))
             upper, digit, mark, letter = without(r"[\p{Lu}\p{Lt}]+"), without(r"[0-9]+"), without(r"[.,;:'\"!?()\-]+"), without(r"[\p{Lo}\p{Lm}\p{M}]+")
-            return F.array(F.length(text) - F.length(rest), upper, digit, F.length(rest) - F.length(r), mark, F.length(r) - upper - digit - mark - letter, letter).cast("array<double>")
+            return F.array(F.length(text) - F.length(rest), upper, digit, F.length(rest) - F.length(r), mark, F.length(r) - upper - digit - mark - letter, letter, without(r"[#*$%&|<>]+")).cast("array<double>")
 
         return bind(F.regexp_replace(rest, r"[\x20\x09-\x0D]+", ""), few)
 
-    return bind(F.regexp_replace(text, r"\p{Ll}+", ""), counts)
+    return bind(_unlowered(text), counts) if rest is None else counts(rest)
+
+
+def _prose(size: Column, rest: Column) -> Column:
+    """Whether a text of that size counts towards a reference; rest: it without lower-case letters."""
+
+    def plain(r: Column) -> Column:
+        return (F.length(r) <= (1 - LEAST_LETTERS) * size) & (F.length(F.regexp_replace(r, r"[^#*$%&|<>@~^=+\[\]{}\\/_`]+", "")) <= MOST_SYMBOLS * size)
+
+    return bind(F.regexp_replace(rest, r"[\p{Lo}\p{M}]+", ""), plain)
 
 
 def _language() -> Column:
     return F.coalesce(F.col("lang").cast("string"), F.lit(""))
 
 
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
 def references(docs: DataFrame) -> DataFrame:
-    """lang and ref, a struct of classes (shares of CLASSES), words (shares of common words) and sum (of those), of
-    the languages that have a reference."""
+    """lang and ref, a struct of classes (shares of CLASSES), words (shares of common words), sum (of those) and buckets
+    (the common words by their hash), of the languages that have a reference."""
     scratch = Scratch(docs.sparkSession, "rules")
     rows = docs.select(_language().alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = F.length("text")
-    prose = (F.length(F.regexp_replace("text", r"[\p{Ll}\p{Lo}\p{M}]+", "")) <= (1 - LEAST_LETTERS) * size) & (F.length(F.regexp_replace("text", r"[^#*$%&|<>@~^=+\[\]{}\\/_`]+", "")) <= MOST_SYMBOLS * size)
-    rows = rows.where(prose)
-    counts = scratch.keep(rows.select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").count(), "counts")
+    counts = scratch.keep(rows.where(bind(_unlowered(F.col("text")), lambda x: _prose(size, x))).select("lang", F.explode(words(F.lower("text"))).alias("word")).groupBy("lang", "word").count(), "counts")
     totals = counts.groupBy("lang").agg(F.sum("count").alias("n")).where(F.col("n") >= LEAST_REFERENCE)
     totals = few(scratch.keep(totals, "totals"))
     share = F.struct("word", (F.col("count") / F.col("n")).alias("share"))
     common = counts.join(totals, "lang").where(F.col("count") >= COMMON * F.col("n")).groupBy("lang").agg(F.map_from_entries(F.sort_array(F.collect_list(share))).alias("words"))  # at most 1 / COMMON a language
-    sums = rows.select("lang", class_counts(F.col("text")).alias("c")).groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(CLASSES))]).alias("sums"))
+    # Not a filter, which would go through each text once more; sums pass over nulls.
+    counted = bind(_unlowered(F.col("text")), lambda x: F.when(_prose(size, x), class_counts(F.col("text"), x)))
+    sums = rows.select("lang", counted.alias("c")).groupBy("lang").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(len(CLASSES))]).alias("sums"))
     held = totals.select("lang").join(sums, "lang").join(common, "lang", "left")
     none = F.create_map().cast("map<string,double>")
     all_ = F.aggregate("sums", F.lit(0.0), lambda a, x: a + x)
     classes = F.transform("sums", lambda x: x / F.greatest(all_, F.lit(1.0)))
     held = held.select("lang", classes.alias("classes"), F.coalesce("words", none).alias("words"))
     sum_ = F.aggregate(F.map_values("words"), F.lit(0.0), lambda a, x: a + x)
-    out = scratch.keep(held.select("lang", F.struct("classes", "words", sum_.alias("sum")).alias("ref")), "references")
+    buckets = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.filter(F.map_keys("words"), lambda x: _bucket(x) == i))
+    out = scratch.keep(held.select("lang", F.struct("classes", "words", sum_.alias("sum"), buckets.alias("buckets")).alias("ref")), "references")
     scratch.drop("counts", "totals")
     return out
 
@@ -118,8 +139,10 @@ def n_repeat_words(all_words: Column) -> Column:
 
     def of(w: Column) -> Column:
         one = F.transform(w, lambda x: F.xxhash64(x))
-        many = lambda k: F.when(F.size(F.array_distinct(k)) < F.size(k), covered(k)).otherwise(F.lit(0).cast("long"))
-        windows = bind(one, lambda h: bind(paired(h, 1), lambda p: bind(paired(p, 2), lambda q: bind(paired(q, WINDOW // 2), many))))
+        twice = lambda k, then: F.when(F.size(F.array_distinct(k)) < F.size(k), then(k)).otherwise(F.lit(0).cast("long"))
+        # Where no half of a window is found twice, no window is.
+        whole = lambda q: bind(paired(q, WINDOW // 2), lambda k: twice(k, covered))
+        windows = bind(one, lambda h: bind(paired(h, 1), lambda p: bind(paired(p, 2), lambda q: twice(q, whole))))
         return F.when(F.size(w) > WINDOW, windows).otherwise(F.lit(0).cast("long"))
 
     return bind(all_words, of)
@@ -127,10 +150,10 @@ def n_repeat_words(all_words: Column) -> Column:
 
 def _measures(ref: Column, text: Column):
     """(of_words, of_classes): from a text's words the struct of n_words, n_repeat_words, word_distance, base_failed and
-    word_far, from its counts of classes that of word_chars, class_distance and class_far. ref: null without a reference."""
+    word_far, from its counts of classes that of word_chars, n_symbols, class_distance and class_far. ref: null without a reference."""
 
     def class_distance(c: Column) -> Column:
-        n = F.greatest(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), F.lit(1.0))
+        n = F.greatest(sum((c[i] for i in range(len(CLASSES))), F.lit(0.0)), F.lit(1.0))
         return _root(sum((_half(c[i] / n, ref["classes"][i]) for i in range(len(CLASSES))), F.lit(0.0)))
 
     def word_distance(w: Column) -> Column:
@@ -140,7 +163,7 @@ def _measures(ref: Column, text: Column):
             add = lambda a, x: F.struct((a["js"] + _half(x["p"], x["q"])).alias("js"), (a["p"] + x["p"]).alias("p"), (a["q"] + x["q"]).alias("q"))
             return F.aggregate(both, start, add, lambda a: _root(a["js"] + _half(F.greatest(1 - a["p"], F.lit(0.0)), F.greatest(1 - ref["sum"], F.lit(0.0))) + (ref["sum"] - a["q"]) / 2))
 
-        return bind(F.filter(F.transform(w, F.lower), lambda x: F.map_contains_key(ref["words"], x)), found)
+        return bind(F.filter(F.transform(w, F.lower), lambda x: F.array_contains(F.get(ref["buckets"], _bucket(x)), x)), found)
 
     def too_far(distance: Column, most: float, k, n: Column) -> Column:
         return F.coalesce(distance > most + NOISE * F.sqrt(k / n), F.lit(False))
@@ -158,7 +181,7 @@ def _measures(ref: Column, text: Column):
     def of_classes(c: Column) -> Column:
         far = F.when((F.length(text) >= LEAST_CHARACTERS) & ref.isNotNull(), class_distance(c))
         n = (F.length(text) - F.element_at(c, 1 + CLASSES.index("blank"))).cast("long")
-        return bind(far, lambda x: F.struct(n.alias("word_chars"), x.alias("class_distance"), too_far(x, MOST_CLASS_DISTANCE, len(CLASSES), F.length(text)).alias("class_far")))
+        return bind(far, lambda x: F.struct(n.alias("word_chars"), F.element_at(c, len(CLASSES) + 1).cast("long").alias("n_symbols"), x.alias("class_distance"), too_far(x, MOST_CLASS_DISTANCE, len(CLASSES), F.length(text)).alias("class_far")))
 
     return of_words, of_classes
 
@@ -180,8 +203,8 @@ def judge(docs: DataFrame, against: DataFrame | None = None) -> DataFrame:
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     w, c, n = (fresh(rows, x) for x in ("of_words", "of_classes", "of_lines"))
     made = rows.withColumn(w, bind(words(text), of_words)).withColumn(c, bind(class_counts(text), of_classes)).withColumn(n, bind(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"))
-    values = {k: F.col(f"{w}.{k}") for k in ("n_words", "n_repeat_words", "word_distance", "base_failed")} | {k: F.col(f"{c}.{k}") for k in ("word_chars", "class_distance")}
-    values |= {"n_symbols": F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("long"), "n_dup_lines": F.col(n), "kept": ~(F.col(f"{w}.base_failed") | F.col(f"{c}.class_far") | F.col(f"{w}.word_far"))}
+    values = {k: F.col(f"{w}.{k}") for k in ("n_words", "n_repeat_words", "word_distance", "base_failed")} | {k: F.col(f"{c}.{k}") for k in ("word_chars", "n_symbols", "class_distance")}
+    values |= {"n_dup_lines": F.col(n), "kept": ~(F.col(f"{w}.base_failed") | F.col(f"{c}.class_far") | F.col(f"{w}.word_far"))}
     return made.select(*[F.col(f"`{c}`") for c in docs.columns if c not in values], *[v.alias(k) for k, v in values.items()])
 
 

@@ -109,3 +109,13 @@ def test_columns_of_helpers_names_pass_through(documents):
         docs = docs.withColumn(c, F.lit("clash"))
     r = quality_rules.judge(docs).first()
     assert all(r[c] == "clash" for c in ("of_words", "of_classes", "of_lines", "of_language", "reference", "__w")) and r.kept
+
+
+def test_common_words_lie_in_buckets_and_half_windows_repeat(documents):
+    """A word is looked up in its bucket alone; halves of a window that are found twice don't make a window of it."""
+    halves = "a b c d e f g h i a b c d j k l m n e f g h o p"
+    docs = documents([prose(i, 160) for i in range(25)] + [halves, halves + " " + halves])
+    ref = quality_rules.references(docs).first().ref
+    assert len(ref.buckets) == quality_rules.BUCKETS and sorted(w for b in ref.buckets for w in b) == sorted(ref.words)
+    rows = {r.doc_id: r.n_repeat_words for r in quality_rules.judge(docs).collect()}
+    assert rows[25] == 0 and rows[26] == 48
