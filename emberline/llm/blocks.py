@@ -76,10 +76,12 @@ def order_of(x: np.ndarray) -> np.ndarray:
     if not len(x):
         return np.zeros(0, np.int64)
     bits = np.uint64(len(x).bit_length())
-    place = np.arange(len(x), dtype=np.uint64)
     fits = int(x.max()).bit_length() + int(bits) <= 64
-    by = np.sort((x << bits if fits else x >> bits << bits) | place)
-    order = (by & ((np.uint64(1) << bits) - np.uint64(1))).view(np.int64)
+    by = x << bits if fits else x >> bits << bits
+    by |= np.arange(len(x), dtype=np.uint64)
+    by.sort()
+    by &= (np.uint64(1) << bits) - np.uint64(1)
+    order = by.view(np.int64)
     if not fits:
         y = x[order]
         if (y[1:] < y[:-1]).any():
@@ -93,9 +95,11 @@ def numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     y = x[order]
     new = np.ones(len(y), bool)
     new[1:] = y[1:] != y[:-1]
-    which = np.empty(len(y), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return y[new], which
+    y, place = y[new], np.cumsum(new)
+    place -= 1
+    which = np.empty(len(order), np.int64)
+    which[order] = place
+    return y, which
 
 
 def joined(parts: list[np.ndarray], kind=np.int64) -> np.ndarray:

@@ -63,13 +63,13 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def keep(self, df: DataFrame, tag: str) -> DataFrame:
-        """df, written and read again. Its shuffles' files go at once."""
+    def keep(self, df: DataFrame, tag: str, options: dict[str, str] | None = None) -> DataFrame:
+        """df, written with Parquet's options and read again. Its shuffles' files go at once."""
         path = f"{self.root}/{tag}"
         before = self.spark.conf.get(CLEAN_UP, None)
         self.spark.conf.set(CLEAN_UP, "true")
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").options(**options or {}).parquet(path)
         finally:
             self.spark.conf.set(CLEAN_UP, before) if before is not None else self.spark.conf.unset(CLEAN_UP)
         return self.spark.read.schema(df.schema).parquet(path)

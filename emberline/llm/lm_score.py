@@ -32,7 +32,8 @@ table gives no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -50,6 +51,11 @@ SWEEPS, BURN, ABOVE = 3, 1, 1
 BLOCK = 8
 #: The pieces are swept and scored in so many waves.
 WAVES = 3
+#: Bytes of text that are cut into tokens at once (unless one text is longer), and pairs that are seated at once.
+TEXTS, SEATED = 1 << 18, 1 << 16
+#: How Scratch keeps rows of blocks: they are compressed already, and a row group ends after a few of them, so that
+#: neither who writes nor who reads holds a whole task's blocks.
+BLOCKS = {"compression": "uncompressed", "parquet.enable.dictionary": "false", "parquet.block.size": str(4 << 20), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 STRENGTH = 1.0
 END = np.int64(0x7E57AB1E0E0D1CE5)
 #: The word before the first.
@@ -83,6 +89,31 @@ def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return bw.mix(bw.mix(v.view(bw.U)) * bw.BASE + w.view(bw.U))
 
 
+def trimmed(f: Callable) -> Callable:
+    """f of one or two tables, after which the allocators give back what it has freed: workers stay, and would hold
+    it while others run."""
+
+    def one(x: pa.Table) -> pa.Table:
+        try:
+            return f(x)
+        finally:
+            trim()
+
+    def two(x: pa.Table, y: pa.Table) -> pa.Table:
+        try:
+            return f(x, y)
+        finally:
+            trim()
+
+    return two if f.__code__.co_argcount == 2 else one  # Spark counts arguments
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    if give_back := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        give_back(0)
+
+
 def sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     """Sums of integers by place."""
     return np.bincount(at, weights=values, minlength=n).astype(np.int64)[:n]
@@ -108,21 +139,26 @@ def by_last(last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _piece(number: int, held: list) -> pa.RecordBatch:
-    """One row for texts (ids, held out, keys, parents' contexts, first tokens)."""
+    """One row for texts (ids, held out, keys, parents' contexts, first tokens), which are taken out of the list."""
     ids = pa.concat_arrays([x[0] for x in held])
     out = np.concatenate([x[1] for x in held])
-    k = np.concatenate([x[2] for x in held])
     size = np.concatenate([np.diff(x[4]) for x in held])
     first = np.concatenate([[0], np.cumsum(size)])
-    words, w = numbered(np.append(k, BEGIN).view(bw.U))
+    k, u = np.concatenate([*(x[2] for x in held), [BEGIN]]), np.concatenate([x[3] for x in held])
+    held.clear()
+    words, w = numbered(k.view(bw.U))
     begin, w = w[-1], w[:-1]
-    v = np.empty_like(w)
+    v = k[:-1]  # the words before are written over the keys
     v[1:] = w[:-1]
     v[first[:-1]] = begin
     last = np.zeros(len(words), np.uint8)
-    last[v] = np.concatenate([x[3] for x in held])
+    last[v] = u
     by, place = by_last(last)
-    pairs, of = numbered(w * len(words) + place[v])
+    v = place[v]
+    del k
+    v += w * len(words)
+    pairs, of = numbered(v)
+    del v
     learned = np.repeat(~out, size)
     n = np.bincount(w[learned], minlength=len(words))
     n[begin] = (~out).sum()
@@ -139,7 +175,7 @@ def _piece(number: int, held: list) -> pa.RecordBatch:
         "token": pack(rank[w]),
     }
     ids = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([len(k)], pa.int64()), *[pa.array([x], pa.binary()) for x in columns.values()]], names=["piece", "ids", "tokens", *columns])
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), ids, pa.array([len(w)], pa.int64()), *[pa.array([x], pa.binary()) for x in columns.values()]], names=["piece", "ids", "tokens", *columns])
 
 
 def _cut(limit: int):
@@ -153,15 +189,17 @@ def _cut(limit: int):
         for b in batches:
             raw, offsets = bw.texts(b.column(1))
             out = b.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            for lo, hi, r, o in bw.chunks(raw, offsets, min(bw.CHUNK, 8 * limit)):
+            for lo, hi, r, o in bw.chunks(raw, offsets, min(TEXTS, 8 * limit)):
                 k, u, first = tokens(r, o)
                 held.append((b.column(0).slice(lo, hi - lo), out[lo:hi], k, u, first))
                 n += len(k)
                 if n >= limit:
                     yield _piece(number, held)
-                    number, held, n = number + 1, [], 0
+                    number, n = number + 1, 0
         if held:
             yield _piece(number, held)
+        bw.forget()
+        trim()
 
     return run
 
@@ -186,11 +224,14 @@ class Piece:
     def tokens(self, get) -> tuple[np.ndarray, np.ndarray]:
         """The pair of every token, and the first token of each text."""
         w, first = self.by[unpack(get("token"))], np.concatenate([[0], np.cumsum(unpack(get("size")))])
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        v[first[:-1]] = np.searchsorted(self.keys, BEGIN.view(bw.U))
         place = by_last(np.frombuffer(get("last"), np.uint8))[1]
-        return numbered(w * len(self.keys) + place[v])[1], first  # a piece has no pairs but those of its tokens
+        x = np.empty_like(w)
+        x[1:] = place[w[:-1]]
+        x[first[:-1]] = place[np.searchsorted(self.keys, BEGIN.view(bw.U))]
+        w *= len(self.keys)
+        x += w
+        del w
+        return numbered(x)[1], first  # a piece has no pairs but those of its tokens
 
     def with_parents(self, get) -> Piece:
         """Also the restaurants above that the words are dishes of (word * 256 + last byte before), and that of each pair."""
@@ -229,7 +270,9 @@ def _ask_counts(parts: int):
                 keys, c = keys[order], unpack(get("pc"))[order]
                 at = cuts_of(keys, parts)
                 rows = [(REQUEST, r, get("piece"), pack(gaps(keys[x:y]), c[x:y])) for r, (x, y) in enumerate(zip(at[:-1], at[1:])) if x < y]
+                del keys, order, c
                 yield from _table(rows).to_batches()
+        trim()
 
     return run
 
@@ -454,7 +497,9 @@ def _answer(history: list[Totals], salt: int, kind: int, first: bool):
                 for piece, asked in zip(get("pieces"), get("asked")):
                     w, d = (ascending(z).view(np.int64) for z in unpack_all(asked))
                     rows.append((kind, part, piece, pack(x.after[w], x.root[w], x.c[d], x.t[d], *[x.n[w]][:first])))
+                del x
                 yield from _table(rows).to_batches()
+        trim()
 
     return run
 
@@ -465,10 +510,10 @@ class Answers:
     def __init__(self, t: pa.Table):
         kind, part = (t.column(x).to_numpy() for x in ("kind", "part"))
         order = np.lexsort((part, kind))
-        self.rows = {int(k): t.take(order[kind[order] == k]) for k in np.unique(kind)}
+        self.blocks, self.rows = t.column("block"), {int(k): order[kind[order] == k] for k in np.unique(kind)}
 
     def of(self, kind: int) -> list[np.ndarray]:
-        return [joined(x) for x in _unpacked(self.rows[kind])]
+        return [joined(x) for x in zip(*(unpack_all(self.blocks[i].as_py()) for i in self.rows[kind].tolist()))]
 
 
 def _sweep(number: int, d: float, seen: Totals | None, ranges: int):
@@ -486,21 +531,28 @@ def _sweep(number: int, d: float, seen: Totals | None, ranges: int):
             old = got.of(TABLES + number - 1)[0] if number > 1 else t
             after, tables, above, above_t, *n = got.of(WORDS + number - 1)
             n = n[0] if n else got.of(KNOWN)[0]
-            live = np.flatnonzero(c > 1)
-            w, v, u, dish = p.w[live], p.v[live], p.u[live], p.dish[live]
-            parent = seen.parent(u, above[dish], above_t[dish], seen.root(n, tables)[w])
-            seeds = p.pairs(live) ^ bw.mix(np.array([number], bw.U))
-            t[live] = seat(c[live], parent - old[live], STRENGTH + d * (after[v] - old[live]), d, 0.0, STRENGTH + seen.c[u], seeds)
+            root, salt = seen.root(n, tables), bw.mix(np.array([number], bw.U))
+            several = np.flatnonzero(c > 1)
+            several = several[falling(c[several])]  # so that only the first of them wait for long
+            for x in range(0, len(several), SEATED):
+                live = several[x : x + SEATED]
+                w, v, u, dish = p.w[live], p.v[live], p.u[live], p.dish[live]
+                parent = seen.parent(u, above[dish], above_t[dish], root[w])
+                t[live] = seat(c[live], parent - old[live], STRENGTH + d * (after[v] - old[live]), d, 0.0, STRENGTH + seen.c[u], p.pairs(live) ^ salt)
+            del c, old, after, above, above_t, tables, root, several
             rows.append((TABLES + number, 0, piece, pack(t)))
             if number == 1:
                 rows.append((KNOWN, 0, piece, pack(n)))
+            del n
         else:
             counted = np.empty(len(p.w), np.int64)
             counted[order_of(p.pairs())] = got.of(COUNTS)[0]
             c, own = counted >> 1, counted & 1
             t = np.minimum(c, 1)
             rows.append((COUNTS, 0, piece, pack(c, own)))
-        after, customers = sums(p.v, t * own, len(p.keys)), sums(p.dish, t * own, len(p.dishes))
+            del counted, c
+        t *= own
+        after, customers = sums(p.v, t, len(p.keys)), sums(p.dish, t, len(p.dishes))
         word, u = p.dishes >> 8, p.dishes & 255
         at = cuts_of(p.keys, ranges)
         held = np.searchsorted(word, at)
@@ -525,12 +577,17 @@ def _scored(samples: list[tuple[int, Totals]], d: float):
         n = got.of(KNOWN)[0]
         for k, seen in samples:
             after, tables, above, above_t = got.of(WORDS + k)
-            mean += refined(p, c, got.of(TABLES + k)[0], n, after, d, parents(p, n, tables, above, above_t, seen)) / len(samples)
+            t, parent = got.of(TABLES + k)[0], parents(p, n, tables, above, above_t, seen)
+            for x in range(0, len(c), SEATED):
+                at = slice(x, x + SEATED)
+                mean[at] += refined(p, at, c, t, n, after, d, parent) / len(samples)
+            del after, tables, above, above_t, t, parent
         seen = samples[-1][1]
+        values = [(n > 0)[p.w].astype(np.int64), np.log10((n + 1) / (seen.tokens + seen.words + 1))[p.w], np.log10(mean)]
+        del got, c, mean, n, p.w, p.v, p.u, p.dish, p.dishes
         token, first = p.tokens(get)
-        base = np.log10((n + 1) / (seen.tokens + seen.words + 1))
         added = lambda x: np.add.reduceat(x, first[:-1]) if len(first) > 1 else x[:0]
-        columns = [added((n > 0)[p.w][token].astype(np.int64)), added(base[p.w][token]), added(np.log10(mean)[token])]
+        columns = [added(x[token]) for x in values]
         ids = pieces.column("ids").combine_chunks().flatten()
         held = pa.array(np.frombuffer(get("held"), np.uint8).astype(bool))
         return pa.table([ids, held, pa.array(np.diff(first)), *map(pa.array, columns)], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
@@ -545,10 +602,11 @@ def parents(p: Piece, n: np.ndarray, tables: np.ndarray, above: np.ndarray, abov
     return np.where(seen.c[u] > 0, seen.parent(u, above, above_t, root) / (STRENGTH + seen.c[u]), root)
 
 
-def refined(p: Piece, c: np.ndarray, t: np.ndarray, n: np.ndarray, after: np.ndarray, d: float, parent: np.ndarray) -> np.ndarray:
-    """The probability of each pair of p in its word's restaurant, given those of its dishes above."""
-    below = STRENGTH + n[p.v]  # a word has as many customers after it as it has tokens
-    return (c - d * t + (STRENGTH + d * after[p.v]) * parent[p.dish]) / below
+def refined(p: Piece, at: slice, c: np.ndarray, t: np.ndarray, n: np.ndarray, after: np.ndarray, d: float, parent: np.ndarray) -> np.ndarray:
+    """The probability of some pairs of p in their words' restaurants, given those of its dishes above."""
+    v = p.v[at]
+    below = STRENGTH + n[v]  # a word has as many customers after it as it has tokens
+    return (c[at] - d * t[at] + (STRENGTH + d * after[v]) * parent[p.dish[at]]) / below
 
 
 # --- Learning and scoring.
@@ -559,7 +617,7 @@ def _cogrouped(pieces: DataFrame, answers: list[DataFrame], f, schema: str, scra
     given, out = reduce(DataFrame.unionByName, answers), []
     for k in range(WAVES):
         now = [x.where(F.pmod(F.xxhash64("piece"), F.lit(WAVES)) == k).groupBy("piece") for x in (pieces, given)]
-        out.append(scratch.keep(now[0].cogroup(now[1]).applyInArrow(f, schema), f"{tag}-{k}"))
+        out.append(scratch.keep(now[0].cogroup(now[1]).applyInArrow(trimmed(f), schema), f"{tag}-{k}", BLOCKS))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -570,11 +628,11 @@ class Learned:
     def __init__(self, rows: DataFrame, scratch: Scratch, piece: int = PIECE, part: int = PART, range_: int = RANGE):
         """rows: doc_id, text (not null) and held_out."""
         self.id_type = dict(rows.dtypes)["doc_id"]
-        self.pieces = scratch.keep(rows.select("doc_id", "text", "held_out").mapInArrow(_cut(piece), f"piece long, ids array<{self.id_type}>, tokens long, {_PIECE}"), "pieces")
+        self.pieces = scratch.keep(rows.select("doc_id", "text", "held_out").mapInArrow(_cut(piece), f"piece long, ids array<{self.id_type}>, tokens long, {_PIECE}"), "pieces", BLOCKS)
         n = self.pieces.agg(F.sum("tokens")).first()[0] or 0
         parts, ranges = (max(1, -(-n // x)) for x in (part, range_))
         asked = self.pieces.select("piece", "keys", "n", "pw", "pv", "pc").mapInArrow(_ask_counts(parts), _ROW)
-        counts = scratch.keep(asked.groupBy("part").applyInArrow(_add_counts, _ROW), "counts")
+        counts = scratch.keep(asked.groupBy("part").applyInArrow(trimmed(_add_counts), _ROW), "counts", BLOCKS)
         self.d = _discount(counts)
         #: What a piece is told for good: its pairs' counts, and from sweep 1 on its words' tokens.
         self.told = {COUNTS: counts.where("piece >= 0")}
@@ -589,19 +647,19 @@ class Learned:
         pieces = self.pieces.select("piece", "keys", "last", "n", "pw", "pv")
         out = _cogrouped(pieces, given, _sweep(k, self.d, self.totals.get(k - 1), ranges), _ROW, scratch, f"sweep-{k}")
         if k:
-            self.tables[k] = scratch.keep(out.where(F.col("kind") == TABLES + k), f"tables-{k}")
+            self.tables[k] = scratch.keep(out.where(F.col("kind") == TABLES + k), f"tables-{k}", BLOCKS)
         if k <= 1:
             kind = KNOWN if k else COUNTS
-            self.told[kind] = scratch.keep(out.where(F.col("kind") == kind), f"told-{kind}")
+            self.told[kind] = scratch.keep(out.where(F.col("kind") == kind), f"told-{kind}", BLOCKS)
             scratch.drop("counts")
         asked = out.where(F.col("kind") == REQUEST).groupBy("part")
-        added = self.held.groupBy("part").cogroup(asked).applyInArrow(_add_again, _WORDS) if k else asked.applyInArrow(_add_words, _WORDS)
-        words = self.held = scratch.keep(added, f"words-{k}")
+        added = self.held.groupBy("part").cogroup(asked).applyInArrow(trimmed(_add_again), _WORDS) if k else asked.applyInArrow(trimmed(_add_words), _WORDS)
+        words = self.held = scratch.keep(added, f"words-{k}", BLOCKS)
         scratch.drop(*[f"sweep-{k}-{x}" for x in range(WAVES)], f"words-{k - 1}")
         history: list[Totals] = []
         for j in range(ABOVE):
             history.append(totals(words.drop("pieces", "asked").mapInArrow(_redrawn(history, k), "block binary") if j else words.select("seen")))
-        answers = scratch.keep(words.mapInArrow(_answer(history, k, WORDS + k, not k), _ROW), f"answers-{k}")
+        answers = scratch.keep(words.mapInArrow(_answer(history, k, WORDS + k, not k), _ROW), f"answers-{k}", BLOCKS)
         self.totals[k] = totals(answers.where("piece < 0").select("block"))
         self.words[k] = answers.where("piece >= 0")
         if 0 <= k - 1 <= BURN:  # what was drawn before isn't averaged
